@@ -22,21 +22,21 @@ BUCKETS = 32
 RankOf = Callable[[Column], Column]
 
 
-def _bucketed(vc: DataFrame, keys: Sequence[str], value: str, buckets: int) -> DataFrame:
+def _bucketed(vc: DataFrame, keys: Sequence[str], value: str, weight: str, buckets: int) -> DataFrame:
     cuts = [i / buckets for i in range(1, buckets)]
+    # the total is taken here as well, so this branch reads the same columns as
+    # the others and Spark runs the pre-aggregation once (exchange reuse)
     edges = vc.groupBy(*keys).agg(
-        F.percentile_approx(value, cuts, 20 * buckets).alias("_edges"))
+        F.percentile_approx(value, cuts, 20 * buckets).alias("_edges"), F.sum(weight).alias("_n"))
     # one row per group; AQE picks the join strategy from its measured size
     return vc.join(edges, list(keys)).withColumn(
         "_b", F.size(F.filter("_edges", lambda e: e < F.col(value)))).drop("_edges")
 
 
 def _bucket_totals(b: DataFrame, keys: Sequence[str], weight: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    run = w.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    return (b.groupBy(*keys, "_b").agg(F.sum(weight).alias("_bw"))
+    run = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    return (b.groupBy(*keys, "_b").agg(F.sum(weight).alias("_bw"), F.first("_n").alias("_n"))
             .withColumn("_hi", F.sum("_bw").over(run))
-            .withColumn("_n", F.sum("_bw").over(w))
             .withColumn("_lo", F.col("_hi") - F.col("_bw")))
 
 
@@ -58,20 +58,24 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
     vc = df.groupBy(*keys, value).agg(
         (F.sum(weight) if weight else F.count(F.lit(1))).cast("bigint").alias("_w"))
     vc = vc.where("_w > 0") if weight else vc
-    b = _bucketed(vc, keys, value, buckets)
+    b = _bucketed(vc, keys, value, "_w", buckets)
     tot = _bucket_totals(b, keys, "_w")
-    wanted = [fn(F.col("_n")).cast("bigint") for fn in ranks.values()]
+    # ranks are evaluated on the bucket totals only: a few rows per group
+    for name, fn in ranks.items():
+        tot = tot.withColumn(f"_r_{name}", fn(F.col("_n")).cast("bigint"))
+    rcols = [f"_r_{name}" for name in ranks]
     hit = F.lit(False)
-    for k in wanted:
-        hit = hit | ((k > F.col("_lo")) & (k <= F.col("_hi")))
-    need = tot.where(hit).select(*keys, "_b", "_lo", "_n")
+    for k in rcols:
+        hit = hit | F.coalesce((F.col(k) > F.col("_lo")) & (F.col(k) <= F.col("_hi")), F.lit(False))
+    # the last bucket always stays, so a group without a valid rank keeps its row
+    need = tot.where(hit | (F.col("_hi") == F.col("_n"))).select(*keys, "_b", "_lo", "_n", *rcols)
     inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(
         Window.unboundedPreceding, 0)
-    c = b.join(need, keys + ["_b"]).withColumn("_c", F.col("_lo") + F.sum("_w").over(inside))
+    c = b.drop("_n").join(need, keys + ["_b"]).withColumn("_c", F.col("_lo") + F.sum("_w").over(inside))
     out = c.groupBy(*keys).agg(
         F.first("_n").alias(count_as),
-        *[F.min(F.when(F.col("_c") >= k, F.col(value))).alias(name)
-          for name, k in zip(ranks, wanted)])
+        *[F.min(F.when(F.col("_c") >= F.col(k), F.col(value))).alias(name)
+          for name, k in zip(ranks, rcols)])
     return out.drop("_all") if drop else out
 
 
@@ -96,9 +100,9 @@ def dense_rank_rows(df: DataFrame, keys: Sequence[str], order: str, *, name: str
     """1-based row number by a unique numeric column, split over buckets."""
     keys = list(keys)
     one = df.withColumn("_one", F.lit(1).cast("bigint"))
-    b = _bucketed(one, keys, order, buckets)
+    b = _bucketed(one, keys, order, "_one", buckets)
     lo = _bucket_totals(b, keys, "_one").select(*keys, "_b", "_lo", F.col("_n").alias(f"{name}_n"))
     inside = Window.partitionBy(*keys, "_b").orderBy(order)
-    return (b.join(lo, keys + ["_b"])
+    return (b.drop("_n").join(lo, keys + ["_b"])
             .withColumn(name, (F.col("_lo") + F.row_number().over(inside)).cast("bigint"))
             .drop("_b", "_lo", "_one"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_evidence",)
+MODULES = ("q_evidence", "q_calibrate")
 
 
 def load_all() -> None:

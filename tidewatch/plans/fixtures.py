@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.config import SUPPLIER, USER, MonitorConfig
-from tidewatch.operators.evidence import drift_overlay
+from tidewatch.operators.evidence import KEYS, drift_overlay
 from tidewatch.sources.tables import table
 
 ROLES = ("calibration_valid", "test_valid", "test_invalid")
@@ -24,15 +24,15 @@ def role_of(entity: Column) -> Column:
 
 def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_discount", "l_quantity")
-    daily = li.groupBy("l_suppkey", "l_shipdate").agg(
+    daily = li.groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("date")).agg(
         F.avg("l_discount").alias("d"), F.avg("l_quantity").alias("q"))
-    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate")
-    return daily.select(
+    # keys are derived before the days are numbered: filters on them reach the
+    # scan, and the numbering shares its partitioning with every later window
+    daily = daily.select(
         F.when(F.col("l_suppkey") % 2 == 0, "even").otherwise("odd").alias("scenario"),
-        role_of(F.col("l_suppkey")).alias("path_set"),
-        F.col("l_suppkey").alias("entity"),
-        F.row_number().over(w).alias("day"),
-        F.col("l_shipdate").cast("date").alias("date"),
+        role_of(F.col("l_suppkey")).alias("path_set"), F.col("l_suppkey").alias("entity"), "date", "d", "q")
+    return daily.select(
+        *KEYS, F.row_number().over(Window.partitionBy(*KEYS).orderBy("date")).alias("day"), "date",
         ((F.col("d") - 0.05) * 0.2).alias("ret"),
         # positive, day-varying variance that plays the part of the latent one
         (F.lit(SUPPLIER.sigma_daily ** 2) * (F.lit(0.5) + F.col("q") / 50.0)).alias("true_var"))
@@ -59,14 +59,14 @@ def panel_user(spark: SparkSession, sf_dir: str, cfg: MonitorConfig = USER) -> D
     map task before the shuffle, so one user holding a third of the events does
     not become one large partition.
     """
-    ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    d = ev.withColumn("day", F.row_number().over(w)).where(F.col("day") <= cfg.horizon)
-    return d.select(
+    ev = table(spark, sf_dir, "events").select(
         F.lit("all").alias("scenario"), role_of(F.col("user_id")).alias("path_set"),
-        F.col("user_id").alias("entity"), "day",
-        ((F.col("value") / 50.0 - 1.0) * F.lit(cfg.sigma_daily)).alias("ret"),
-        (F.col("event_type") == "error").cast("int").alias("event_count"))
+        F.col("user_id").alias("entity"), "ts", "event_id", "event_type", "value")
+    w = Window.partitionBy(*KEYS).orderBy("ts", "event_id")
+    d = ev.withColumn("day", F.row_number().over(w)).where(F.col("day") <= cfg.horizon)
+    return d.select(*KEYS, "day",
+                    ((F.col("value") / 50.0 - 1.0) * F.lit(cfg.sigma_daily)).alias("ret"),
+                    (F.col("event_type") == "error").cast("int").alias("event_count"))
 
 
 SHIFT_DAYS = 8036  # 1,148 weeks: keeps weekdays and lands inside both calendars
