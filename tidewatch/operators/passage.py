@@ -167,3 +167,229 @@ def evidence_at_failure(panel: DataFrame, methods: Sequence[str], cfg: MonitorCo
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(m).alias("u")) for m in methods]))
     return (per.select(*KEYS, "t_last_valid", cells.alias("_c"))
             .select(*KEYS, "t_last_valid", "_c.method", "_c.u").withColumn("q", expit(F.col("u"))))
+
+
+# --- probability read-outs --------------------------------------------------------
+
+def probability_highs(lows: DataFrame) -> DataFrame:
+    """q = expit(-L) at each new low of L, which is each new high of q."""
+    return lows.withColumn("q", expit(-F.col("stat")))
+
+
+def threshold_hits(lows: DataFrame, levels: Sequence[float], horizon: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """First day q >= b per entity; -1 when the level is never reached.
+
+    The first crossing of any level happens on a new high, so the ledger of lows
+    of the log-odds answers it for every level at once.
+    """
+    q = expit(-F.col("stat"))
+    per = lows.groupBy(*keys, "method").agg(*[
+        F.coalesce(F.min(F.when((q >= b) & (F.col("day") <= horizon), F.col("day"))), F.lit(NEVER)).cast("int").alias(f"_b{i}")
+        for i, b in enumerate(levels)])
+    cells = F.explode(F.array(*[F.struct(F.lit(float(b)).alias("level"), F.col(f"_b{i}").alias("tau"))
+                                for i, b in enumerate(levels)]))
+    return per.select(*keys, "method", cells.alias("_c")).select(*keys, "method", "_c.*")
+
+
+def hit_table(hits: DataFrame, group: Sequence[str], horizon: int, coverage: float = 0.8) -> DataFrame:
+    g = hits.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_if(alarmed()).alias("n_reached"))
+    med = median_day(hits, group, horizon, name="median_first_hit")
+    cov = median_day(hits, group, horizon, share=coverage, name="days_to_coverage")
+    return (g.join(med, list(group), "left").join(cov, list(group), "left")
+            .withColumn("frac_reached", ratio(F.col("n_reached"), F.col("n"))))
+
+
+def reliability_bins(p: Column, n_bins: int) -> Column:
+    """0-based bin by comparison with the evenly spaced edges; the last bin is closed."""
+    edges = [i / n_bins for i in range(1, n_bins)]
+    idx = F.lit(0)
+    for e in edges:
+        idx = idx + F.when(p >= F.lit(e), 1).otherwise(0)
+    return idx
+
+
+def brier_summary(q: DataFrame, group: Sequence[str]) -> DataFrame:
+    """`q` has the probability `q` and the outcome `y` (1 = really invalid)."""
+    y = F.col("y").cast("double")
+    g = q.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("q") - y, F.lit(2.0))).alias("brier"),
+        F.var_pop(y).alias("brier_base_rate"), F.avg("q").alias("mean_q"), F.avg(y).alias("observed_frac"))
+    return g.withColumn("brier_skill", 1.0 - ratio(F.col("brier"), F.col("brier_base_rate")))
+
+
+def reliability_table(q: DataFrame, group: Sequence[str], n_bins: int = 10) -> DataFrame:
+    b = q.withColumn("bin", reliability_bins(F.col("q"), n_bins))
+    return b.groupBy(*group, "bin").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("q").alias("mean_q"), F.avg(F.col("y").cast("double")).alias("observed_frac"))
+
+
+# --- paired comparisons ------------------------------------------------------------
+
+def paired(fp: DataFrame, pairs: DataFrame, cfg: MonitorConfig, horizon: int,
+           group: Sequence[str] = ("far_target",)) -> DataFrame:
+    """Per-entity differences between two methods on the same entities.
+
+    `pairs` has method_a and method_b. Detection counts use the invalid role,
+    false alarms the valid one; intervals are normal, over entities.
+    """
+    base = fp.select("scenario", "path_set", "entity", "method", *[g for g in group if g != "scenario"],
+                     alarmed_by(horizon).cast("double").alias("hit"), truncated(horizon).cast("double").alias("t"))
+    ids = list(dict.fromkeys([*group, "scenario", "path_set", "entity"]))
+    a = base.join(pairs, base["method"] == pairs["method_a"]).drop("method").withColumnsRenamed({"hit": "ha", "t": "ta"})
+    b = base.withColumnsRenamed({"method": "method_b", "hit": "hb", "t": "tb"})
+    j = a.join(b, [*ids, "method_b"])
+    inv, val = F.col("path_set") == "test_invalid", F.col("path_set") == "test_valid"
+    d, dt = F.when(inv, F.col("ha") - F.col("hb")), F.when(inv, F.col("ta") - F.col("tb"))
+    n = F.count(d)
+    ha, hb = F.when(inv, F.col("ha")), F.when(inv, F.col("hb"))
+    g = j.groupBy(*group, "method_a", "method_b").agg(
+        n.alias("n_paired"), F.avg(ha).alias("detect_a"), F.avg(hb).alias("detect_b"),
+        F.avg(F.when(val, F.col("ha"))).alias("far_a"), F.avg(F.when(val, F.col("hb"))).alias("far_b"),
+        F.avg(d).alias("detect_diff"), (F.stddev_samp(d) / F.sqrt(n)).alias("_se"),
+        F.count_if(d > 0).alias("discordant_a_only"), F.count_if(d < 0).alias("discordant_b_only"),
+        F.avg(F.when(inv, F.col("ta"))).alias("time_a"), F.avg(F.when(inv, F.col("tb"))).alias("time_b"),
+        F.avg(dt).alias("time_diff"), (F.stddev_samp(dt) / F.sqrt(n)).alias("_set"),
+        F.sqrt(F.var_samp(ha) / n + F.var_samp(hb) / n).alias("_un"))
+    z = cfg.wilson_z
+    return (g.withColumn("detect_diff_lo", F.col("detect_diff") - z * F.col("_se"))
+            .withColumn("detect_diff_hi", F.col("detect_diff") + z * F.col("_se"))
+            .withColumn("time_diff_lo", F.col("time_diff") - z * F.col("_set"))
+            .withColumn("time_diff_hi", F.col("time_diff") + z * F.col("_set"))
+            .withColumn("se_ratio", ratio(F.col("_se"), F.col("_un")))
+            .drop("_se", "_set", "_un"))
+
+
+# --- alarms relative to events ------------------------------------------------------
+
+def event_classes(fp: DataFrame, panel: DataFrame, window: int, keep: Sequence[str] = ("method", "far_target")) -> DataFrame:
+    """1 on an event day, 2 within `window` days after the latest earlier event, 3 elsewhere, 0 none.
+
+    As-of lookup as an ordered window over the panel, then an equi-join on the
+    alarm day: events after the alarm are invisible.
+    """
+    before = by_day(KEYS).rowsBetween(Window.unboundedPreceding, -1)
+    has = F.col("event_count") >= 1
+    ev = panel.select(*KEYS, "day", has.alias("on_event"),
+                      F.last(F.when(has, F.col("day")), ignorenulls=True).over(before).alias("prev_event"))
+    j = fp.join(ev.withColumnRenamed("day", "tau"), [*KEYS, "tau"], "left")
+    recent = F.col("prev_event").isNotNull() & (F.col("tau") - F.col("prev_event") <= window)
+    return j.select(*KEYS, *keep, "tau", F.when(~alarmed(), 0).when(F.col("on_event"), 1)
+                    .when(recent, 2).otherwise(3).alias("event_class"))
+
+
+def event_timing(classes: DataFrame, group: Sequence[str], cfg: MonitorConfig) -> DataFrame:
+    """Counts, shares and the chance baseline averaged over the observed alarm days."""
+    import math
+    p = -math.expm1(-cfg.event_rate_annual / cfg.days_per_year)
+    look = F.least(F.lit(cfg.event_window), F.col("tau") - 1).cast("double")
+    c2 = F.lit(1.0 - p) * (1.0 - F.pow(F.lit(1.0 - p), look))
+    names = {1: "on_event_day", 2: "within_window", 3: "elsewhere"}
+    g = classes.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(alarmed()).alias("n_alarms"),
+        *[F.count_if(F.col("event_class") == k).alias(f"n_{v}") for k, v in names.items()],
+        F.avg(F.when(alarmed(), look)).alias("mean_lookback"), F.avg(F.when(alarmed(), c2)).alias("_c2"))
+    n, na = F.col("n"), F.col("n_alarms")
+    theory = {"on_event_day": F.when(na > 0, F.lit(p)), "within_window": F.col("_c2"), "elsewhere": 1.0 - F.lit(p) - F.col("_c2")}
+    cols = [F.col(c) for c in (*group, "n", "n_alarms", "mean_lookback")]
+    for v in names.values():
+        k = F.col(f"n_{v}")
+        cols += [k, ratio(k, na).alias(f"share_{v}"), ratio(k, n).alias(f"prob_{v}"),
+                 theory[v].alias(f"share_{v}_theory"), (theory[v] * ratio(na, n)).alias(f"prob_{v}_theory")]
+    return g.select(*cols)
+
+
+# --- horizon arms, subgroups, laws ---------------------------------------------------
+
+def horizon_arms(lows: DataFrame, thr: DataFrame, cutoffs: Sequence[int], cfg: MonitorConfig) -> DataFrame:
+    """Arm A reads the longest horizon's threshold early, arm B uses each cutoff's own.
+
+    `thr` is keyed (method, horizon, far_target). The first passage of the long
+    threshold is computed once and truncated at each cutoff.
+    """
+    longest = max(cutoffs)
+    fp = first_passage(lows, thr, ["method"], budget=["horizon", "far_target"])
+    c = F.explode(F.array(*[F.lit(h) for h in cutoffs]))
+    a = fp.where(F.col("horizon") == longest).withColumn("cutoff", c).withColumn("arm", F.lit("A"))
+    b = fp.withColumn("cutoff", F.col("horizon")).withColumn("arm", F.lit("B"))
+    both = a.unionByName(b).withColumn(
+        "tau", F.when(alarmed() & (F.col("tau") <= F.col("cutoff")), F.col("tau")).otherwise(NEVER))
+    v, i = F.col("path_set") == "test_valid", F.col("path_set") == "test_invalid"
+    t = F.when(i, F.when(alarmed(), F.col("tau")).otherwise(F.col("cutoff")).cast("double"))
+    key = ["arm", "method", "far_target", "cutoff"]
+    g = both.groupBy(*key).agg(
+        F.first("threshold").alias("threshold"), F.count_if(v).alias("n_valid"), F.count_if(i).alias("n_invalid"),
+        F.count_if(v & alarmed()).alias("k_far"), F.count_if(i & alarmed()).alias("k_detect"),
+        F.avg(t).alias("mean_min_tau"), (F.stddev_samp(t) / F.sqrt(F.count(t))).alias("mean_min_tau_se"))
+    med = median_day(both.where(i), key, longest, name="median_first_alarm")
+    fl, fh = wilson(F.col("k_far"), F.col("n_valid"), cfg.wilson_z)
+    dl, dh = wilson(F.col("k_detect"), F.col("n_invalid"), cfg.wilson_z)
+    det = ratio(F.col("k_detect"), F.col("n_invalid"))
+    return g.join(med, key, "left").select(
+        *key, "threshold", "n_valid", "n_invalid", ratio(F.col("k_far"), F.col("n_valid")).alias("far"),
+        fl.alias("far_lo"), fh.alias("far_hi"), det.alias("detect"), dl.alias("detect_lo"), dh.alias("detect_hi"),
+        "mean_min_tau", "mean_min_tau_se", (1.0 - det).alias("undetected"), "median_first_alarm")
+
+
+def out_of_horizon(lows: DataFrame, thr: DataFrame, days: Sequence[int]) -> DataFrame:
+    """Short-horizon thresholds kept running: rates at each later day."""
+    fp = first_passage(lows, thr, ["method"], budget=["horizon", "far_target"])
+    v, i = F.col("path_set") == "test_valid", F.col("path_set") == "test_invalid"
+    g = fp.groupBy("method", "horizon", "far_target").agg(
+        F.first("threshold").alias("threshold"), F.count_if(v).alias("n_valid"), F.count_if(i).alias("n_invalid"),
+        *[F.count_if(v & alarmed_by(d)).alias(f"_f{d}") for d in days],
+        *[F.count_if(i & alarmed_by(d)).alias(f"_d{d}") for d in days])
+    return g.select("method", F.col("horizon").alias("src_horizon"), "far_target", "threshold", "n_valid", "n_invalid",
+                    *[ratio(F.col(f"_f{d}"), F.col("n_valid")).alias(f"far_d{d}") for d in days],
+                    *[ratio(F.col(f"_d{d}"), F.col("n_invalid")).alias(f"detect_d{d}") for d in days])
+
+
+def subgroups(fp: DataFrame, attributes: DataFrame, cfg: MonitorConfig, horizon: int) -> DataFrame:
+    """A frozen rule read back on a 2x2 of attributes plus the margins of the cube.
+
+    NULL in an attribute flag marks the margin over it.
+    """
+    j = fp.join(attributes, "entity")
+    v, i = F.col("path_set") == "test_valid", F.col("path_set") == "test_invalid"
+    hit = alarmed_by(horizon)
+    g = (j.groupBy("method", "far_target", "a_high", "k_high", "path_set")
+         .agg(F.count(F.lit(1)).alias("_n"), F.count_if(hit).alias("_k"))
+         .cube("method", "far_target", "a_high", "k_high")
+         .agg(F.sum(F.when(v, F.col("_n")).otherwise(0)).alias("n_valid"), F.sum(F.when(v, F.col("_k")).otherwise(0)).alias("k_far"),
+              F.sum(F.when(i, F.col("_n")).otherwise(0)).alias("n_invalid"), F.sum(F.when(i, F.col("_k")).otherwise(0)).alias("k_detect"))
+         .where(F.col("method").isNotNull() & F.col("far_target").isNotNull()))
+    fl, fh = wilson(F.col("k_far"), F.col("n_valid"), cfg.wilson_z)
+    dl, dh = wilson(F.col("k_detect"), F.col("n_invalid"), cfg.wilson_z)
+    return g.select("method", "far_target", "a_high", "k_high", "n_valid", "n_invalid",
+                    ratio(F.col("k_far"), F.col("n_valid")).alias("far"), fl.alias("far_lo"), fh.alias("far_hi"),
+                    ratio(F.col("k_detect"), F.col("n_invalid")).alias("detect"), dl.alias("detect_lo"), dh.alias("detect_hi"))
+
+
+def evidence_law(panel: DataFrame, cfg: MonitorConfig, days: Sequence[int]) -> DataFrame:
+    """Empirical mean and sd of U = -L against the Gaussian law, per role and day."""
+    wide = wide_statistics(panel.where(F.col("day") <= max(days)), ["binary_gaussian"], cfg)
+    u = wide.where(F.col("day").isin(*days)).select("path_set", "day", (-F.col("binary_gaussian")).alias("u"))
+    g = u.groupBy("path_set", "day").agg(F.count("u").alias("n"), F.avg("u").alias("mean_u"), F.stddev_samp("u").alias("sd_u"))
+    s, D = cfg.sharpe_valid, float(cfg.days_per_year)
+    true_s = F.when(F.col("path_set") == "test_invalid", F.lit(cfg.sharpe_invalid)).otherwise(F.lit(cfg.sharpe_valid))
+    law = F.lit(-cfg.prior_log_odds) + F.col("day") * (s * (s - 2.0 * true_s) / (2.0 * D))
+    sd = F.sqrt(F.col("day") * F.lit(s * s / D))
+    return g.select("path_set", "day", "n", "mean_u", "sd_u", law.alias("law_mean"), sd.alias("law_sd"),
+                    ((F.col("mean_u") - law) / (sd / F.sqrt("n"))).alias("z_mean"))
+
+
+def headroom(observed: DataFrame, bound: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Observed detection against a supplied bound: gap, fraction, violation."""
+    j = observed.join(F.broadcast(bound) if bound.isLocal() else bound, list(on))
+    return (j.withColumn("gap", F.col("bound") - F.col("observed"))
+            .withColumn("fraction_of_bound", ratio(F.col("observed"), F.col("bound")))
+            .withColumn("violates", F.col("observed") > F.col("bound")))
+
+
+def gain_ladder(metrics: DataFrame, steps: Sequence[tuple[str, str, str]], group: Sequence[str], value: str) -> DataFrame:
+    """What each added treatment contributes: differences along a ladder of methods."""
+    methods = list(dict.fromkeys(m for _, a, b in steps for m in (a, b)))
+    wide = metrics.groupBy(*group).pivot("method", methods).agg(F.max(value))
+    cells = F.explode(F.array(*[F.struct(
+        F.lit(name).alias("step"), F.col(a).alias("before"), F.col(b).alias("after"),
+        ((F.col(b) - F.col(a)) * 100.0).alias("gain_points")) for name, a, b in steps]))
+    return wide.select(*group, cells.alias("_c")).select(*group, "_c.*")
