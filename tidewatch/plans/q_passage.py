@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidewatch.config import SUPPLIER as CFG
@@ -343,7 +345,7 @@ def _timing_sql():
 g AS (SELECT path_set, method, far_target, count(*) AS n, count(*) FILTER (WHERE tau <> -1) AS na, avg(least({USER.event_window}, tau - 1)) FILTER (WHERE tau <> -1) AS look, avg({c2}) FILTER (WHERE tau <> -1) AS c2,
   count(*) FILTER (WHERE event_class = 1) AS n1, count(*) FILTER (WHERE event_class = 2) AS n2, count(*) FILTER (WHERE event_class = 3) AS n3 FROM cls GROUP BY path_set, method, far_target)
 SELECT path_set, method, far_target, n, na AS n_alarms, {sg.rnd('look')} AS mean_lookback"""
-    th = {1: f"CASE WHEN na > 0 THEN {p!r} END", 2: "c2", 3: f"1.0 - {p!r} - c2"}
+    th = {1: f"CASE WHEN na > 0 THEN {p!r}::DOUBLE END", 2: "c2", 3: f"1.0 - {p!r} - c2"}
     for k, v in ((1, "on_event_day"), (2, "within_window"), (3, "elsewhere")):
         out += (f", n{k} AS n_{v}, {sg.rnd(f'n{k} / nullif(na, 0)')} AS share_{v}, {sg.rnd(f'n{k} / n')} AS prob_{v}, "
                 f"{sg.rnd(th[k])} AS share_{v}_theory, {sg.rnd(f'({th[k]}) * na / n')} AS prob_{v}_theory")
@@ -375,8 +377,8 @@ def subgroup_readback(spark, sf):
 # --- entities that fail later ----------------------------------------------------------
 
 WINDOWS = (63, 126, 188)
-SQL_FAIL = (f"{qc.SQL_THR.replace('panel AS', 'panel0 AS').replace('FROM panel p', 'FROM panel0 p').replace('stat AS', 'stat0 AS').replace('FROM stat ', 'FROM stat0 ').replace('wide AS', 'wide0 AS').replace('FROM wide', 'FROM wide0').replace('st_a', 'st_a0')}, "
-            f"{fx.SQL_FAILING.split('sup_days AS', 1)[1].split('),', 1)[1] if False else fx.SQL_FAILING[fx.SQL_FAILING.index('panel AS'):]}"
+_BASE = re.sub(r"\b(panel|stat|wide|st_a)\b(?= AS|$|\n| p\b| WHERE| UNION|\))(?<!min_stat)", r"\g<1>0", qc.SQL_THR).replace("min(stat0)", "min(stat)")
+SQL_FAIL = (f"{_BASE}, {fx.SQL_FAILING[fx.SQL_FAILING.index('panel AS'):]}"
             f"{sg.statistics(CFG, M, extra=', t_last_valid')}{sg.long_stats(M)}{sg.first_passage(CFG)}"
             f",\nft AS (SELECT f.*, CAST(f.entity * 37 % 253 AS INTEGER) AS t FROM fp f)")
 
@@ -512,8 +514,8 @@ STEPS = (("student_t", "binary_gaussian", "binary_student_t"), ("adaptive_varian
 _LADDER = ("binary_gaussian", "binary_student_t", "ewma_student_t", "ewma_trunc_student_t")
 
 
-@query("gain_ladder", f"""WITH RECURSIVE {fx.SQL_PANEL}{sg.statistics(CFG, _LADDER)}{sg.long_stats(_LADDER)}{sg.minima(CFG)}{sg.thresholds(CFG)}{sg.first_passage(CFG)},
-d AS (SELECT scenario, far_target, method, count(*) FILTER (WHERE {AL}) / count(*) AS v FROM fp WHERE path_set = 'test_invalid' GROUP BY scenario, far_target, method),
+@query("gain_ladder", f"""WITH RECURSIVE {fx.SQL_PANEL}{sg.statistics(CFG, _LADDER)}{sg.long_stats(_LADDER)}{sg.minima(CFG)}{sg.thresholds(CFG)},
+d AS (SELECT m.scenario, t.far_target, m.method, count(*) FILTER (WHERE m.min_stat < t.threshold) / count(*) AS v FROM minima m JOIN thr t USING (method) WHERE path_set = 'test_invalid' GROUP BY m.scenario, t.far_target, m.method),
 s(step, a, b) AS (VALUES {', '.join(str(x) for x in STEPS)})
 SELECT x.scenario, x.far_target, s.step, {sg.rnd('x.v')} AS before, {sg.rnd('y.v')} AS after, {sg.rnd('100.0 * (y.v - x.v)')} AS gain_points
 FROM s JOIN d x ON x.method = s.a JOIN d y ON y.method = s.b AND y.scenario = x.scenario AND y.far_target = x.far_target""")
