@@ -77,8 +77,15 @@ cal AS MATERIALIZED (SELECT *, covered AND isodow(date) < 6 AND name IS NULL AS
   CAST(sum(CAST(covered AND isodow(date) < 6 AND name IS NULL AS INTEGER)) OVER (PARTITION BY calendar ORDER BY date) AS BIGINT) AS ordinal FROM cal0)"""
 
 
+_calendars: dict[str, object] = {}
+
+
 def calendar(spark):
-    return cl.trading_calendar(spark, CAL_START, CAL_END)
+    """The date dimension, evaluated once per session (two rows per calendar day)."""
+    app = spark.sparkContext.applicationId
+    if app not in _calendars:
+        _calendars[app] = rt.freeze(cl.trading_calendar(spark, CAL_START, CAL_END))
+    return _calendars[app]
 
 
 def _cal_of(c="asset"):
