@@ -14,6 +14,7 @@ from tidewatch.plans import fixtures as fx
 from tidewatch.plans import sqlgen as sg
 from tidewatch.plans.catalog import query
 from tidewatch.sources import sinks
+from tidewatch.sources.tables import handoff
 
 M = ev.JVM_METHODS
 KEYS = ev.KEYS
@@ -25,8 +26,9 @@ SQL_FP = SQL_THR + sg.first_passage(CFG)
 
 
 def lows(spark, sf, methods=M):
-    """Ledger of new lows, hash-partitioned by entity for everything after it."""
-    return ev.record_lows(fx.panel_supplier(spark, sf), methods, CFG).repartition("scenario", "entity")
+    """Ledger of new lows: a compact stage table everything after it reads."""
+    return handoff(spark, ("lows", sf, tuple(methods)),
+                   lambda: ev.record_lows(fx.panel_supplier(spark, sf), methods, CFG))
 
 
 def minima(spark, sf, methods=M):
@@ -227,3 +229,9 @@ def transfer_vs_own_arms(spark, sf):
         (F.count_if(v & pa.alarmed()) / F.count_if(v)).alias("far_H"), (F.count_if(i & pa.alarmed()) / F.count_if(i)).alias("detect_H"))
     return g.select("arm", "scenario", "method", "far_target", r("threshold", 7).alias("threshold"), "n_test_valid",
                     "n_test_invalid", r("far_H").alias("far_H"), r("detect_H").alias("detect_H"))
+
+
+from tidewatch.plans.catalog import ORACLES as _ORACLES  # noqa: E402
+
+#: the study as SQL, for the comparison with a supplied law
+ORACLES_REPL = _ORACLES["calibration_replication_study"]

@@ -19,7 +19,7 @@ from tidewatch.plans import fixtures as fx
 from tidewatch.plans import q_calibrate as qc
 from tidewatch.plans import sqlgen as sg
 from tidewatch.plans.catalog import query
-from tidewatch.sources.tables import table
+from tidewatch.sources.tables import handoff, table
 
 M, KEYS, H, DAYS = qc.M, ev.KEYS, CFG.horizon, CFG.report_days
 RULE = ["path_set", "method", "far_target"]
@@ -316,8 +316,8 @@ SQL_USER = (f"WITH {fx.SQL_USER}{sg.statistics(USER, M)}{sg.long_stats(M)}{sg.mi
             + sg.first_passage(USER))
 
 
-def user_passages(spark, sf, everyone=True):
-    lw = ev.record_lows(fx.panel_user(spark, sf), M, USER).repartition("scenario", "entity")
+def user_passages(spark, sf):
+    lw = handoff(spark, ("user_lows", sf), lambda: ev.record_lows(fx.panel_user(spark, sf), M, USER))
     thr = freeze(cal.thresholds(cal.path_minima(lw), USER))
     return pa.first_passage(lw.where(F.col("path_set") != cal.CALIBRATION), thr, ["method"])
 
@@ -386,7 +386,7 @@ SQL_FAIL = (f"{_BASE}, {fx.SQL_FAILING[fx.SQL_FAILING.index('panel AS'):]}"
 def failing_passages(spark, sf):
     """Every entity failing at its own day, scored under always-valid thresholds."""
     thr = freeze(cal.thresholds(qc.minima(spark, sf), CFG))
-    lw = ev.record_lows(fx.failing_supplier(spark, sf), M, CFG).repartition("scenario", "entity")
+    lw = handoff(spark, ("failing_lows", sf), lambda: ev.record_lows(fx.failing_supplier(spark, sf), M, CFG))
     fp = pa.first_passage(lw, thr, ["method"])
     return fp.withColumn("t_last_valid", (F.col("entity") * 37 % 253).cast("int"))
 

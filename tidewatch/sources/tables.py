@@ -49,3 +49,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+_handoffs: dict[tuple, tuple[str, StructType]] = {}
+
+
+def handoff(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """A stage table written once per session to the shared folder and read by later stages.
+
+    Stages hand over compact tables (ledgers, path statistics) instead of
+    recomputing them; the copy is on shared storage, so losing an executor
+    costs a re-read.
+    """
+    k = (spark.sparkContext.applicationId, *key)
+    if k not in _handoffs:
+        path = scratch_path(spark, key[0])
+        df = build()
+        df.write.parquet(path)
+        _handoffs[k] = (path, df.schema)
+    path, schema = _handoffs[k]
+    return spark.read.schema(schema).parquet(path)
+
+
+def forget_handoffs() -> None:
+    """Make the next call rebuild every stage table (benchmarks)."""
+    _handoffs.clear()
