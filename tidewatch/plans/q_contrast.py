@@ -33,6 +33,7 @@ ob AS MATERIALIZED (SELECT period, scenario, statistic, arg_min(value, entity) A
 _TG = "(" + ", ".join(f"'{t}'" for t in ct.TARGETS) + ")"
 _RVT = "(" + ", ".join(f"'{t}'" for t in ct.RV_TARGETS) + ")"
 _EX = f"CASE WHEN statistic IN {_RVT} THEN ln(value) ELSE value END"
+_EXL = f"CASE WHEN l.statistic IN {_RVT} THEN ln(l.value) ELSE l.value END"
 SQL_T = SQL_L + f""",
 tv AS MATERIALIZED (SELECT period, scenario, candidate, statistic, CASE WHEN any_value(statistic) IN {_RVT} THEN ln(quantile_cont(value, 0.5)) ELSE quantile_cont(value, 0.5) END AS target FROM lg WHERE statistic IN {_TG} GROUP BY period, scenario, candidate, statistic),
 rt AS MATERIALIZED (SELECT period, scenario, statistic, {_EX} AS real FROM ob WHERE statistic IN {_TG}),
@@ -228,11 +229,11 @@ def flipped_verdicts(spark, sf):
     return ct.flipped(ranges(spark, sf), ["scenario", "candidate"], "period", "P1", "P2")
 
 
-@query("energy_score", f"""{SQL_T}, vv AS (SELECT l.period, l.scenario, l.candidate, l.entity, l.statistic, ({_EX}) / sc.scale AS v FROM lg l JOIN sc USING (period, scenario, statistic)),
+@query("energy_score", f"""{SQL_T}, vv AS (SELECT l.period, l.scenario, l.candidate, l.entity, l.statistic, ({_EXL}) / sc.scale AS v FROM lg l JOIN sc USING (period, scenario, statistic)),
 oe AS (SELECT scenario, min(entity) AS entity FROM pan GROUP BY scenario), ix AS (SELECT scenario, candidate, entity, row_number() OVER (PARTITION BY scenario, candidate ORDER BY entity) AS i, count(*) OVER (PARTITION BY scenario, candidate) // 2 AS h FROM (SELECT DISTINCT scenario, candidate, entity FROM pan)),
 d AS (SELECT a.period, a.scenario, a.candidate, x.i, sqrt(sum(power(a.v - o.v, 2))) AS dy, sqrt(sum(power(a.v - b.v, 2))) AS dx FROM vv a JOIN ix x ON x.entity = a.entity JOIN ix y ON y.scenario = x.scenario AND y.candidate = x.candidate AND y.i = x.i + x.h
   JOIN vv b ON b.entity = y.entity AND b.period = a.period AND b.statistic = a.statistic JOIN oe ON oe.scenario = a.scenario JOIN vv o ON o.entity = oe.entity AND o.period = a.period AND o.statistic = a.statistic WHERE x.i <= x.h GROUP BY a.period, a.scenario, a.candidate, x.i)
-SELECT period, scenario, candidate, count(*) AS n_pairs, {sg.rnd('avg(dy) - 0.5 * avg(dx)', 6)} AS energy_score FROM d GROUP BY period, scenario, candidate""".replace(f"({_EX})", f"(CASE WHEN l.statistic IN {_RVT} THEN ln(l.value) ELSE l.value END)"))
+SELECT period, scenario, candidate, count(*) AS n_pairs, {sg.rnd('avg(dy) - 0.5 * avg(dx)', 6)} AS energy_score FROM d GROUP BY period, scenario, candidate""")
 def energy_score(spark, sf):
     lg, _, _, sc = _loss_parts(spark, sf)
     v = ct.stat_vectors(lg, sc.drop("floored"), OBS, IDS)
