@@ -21,14 +21,13 @@ def read_level_csv(spark: SparkSession, path: str, series_id: str) -> DataFrame:
     """`date,value` export; blanks and '.' become NULL and their rows stay."""
     raw = spark.read.schema("date string, raw string").option("header", False).csv(path)
     header = F.col("date").rlike("(?i)[a-z]")
-    bad = header & ~((F.trim("raw") == series_id) | (F.trim("date") == series_id))
-    checked = raw.withColumn("raw", F.when(bad, F.raise_error(F.concat(
-        F.lit(f"unexpected header, expected {series_id}: "), F.col("date")))).otherwise(F.col("raw")))
+    bad = header & ~F.coalesce((F.trim("raw") == series_id) | (F.trim("date") == series_id), F.lit(False))
     v = F.nullif(F.nullif(F.trim("raw"), F.lit("")), F.lit("."))
-    # the check sits in the value column, so header rows are filtered on a value
-    # that depends on it and cannot be pruned away
-    return checked.withColumn("_v", v.try_cast("double")).where(F.col("date").try_cast("date").isNotNull() & (F.col("raw").isNull() | F.col("raw").isNotNull())).select(
-        F.lit(series_id).alias("asset"), F.col("date").try_cast("date").alias("date"), F.col("_v").alias("value"))
+    date = F.col("date").try_cast("date")
+    # the check is part of the row filter: a wrong header fails the read
+    keep = F.when(bad, F.raise_error(F.concat(
+        F.lit(f"unexpected header, expected {series_id}: "), F.col("date"))).cast("boolean")).otherwise(date.isNotNull())
+    return raw.where(keep).select(F.lit(series_id).alias("asset"), date.alias("date"), v.try_cast("double").alias("value"))
 
 
 def read_factor_text(spark: SparkSession, path: str, asset: str) -> DataFrame:

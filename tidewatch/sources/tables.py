@@ -62,7 +62,7 @@ def handoff(spark: SparkSession, key: tuple, build) -> DataFrame:
     costs a re-read.
     """
     k = (spark.sparkContext.applicationId, *key)
-    if k not in _handoffs:
+    if k not in _handoffs or not _exists(spark, _handoffs[k][0]):
         path = scratch_path(spark, key[0])
         df = build()
         df.write.parquet(path)
@@ -71,6 +71,11 @@ def handoff(spark: SparkSession, key: tuple, build) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def forget_handoffs() -> None:
     """Make the next call rebuild every stage table (benchmarks)."""
     _handoffs.clear()
