@@ -14,6 +14,7 @@ from tidewatch.config import SUPPLIER, USER, MonitorConfig
 from tidewatch.operators.evidence import KEYS, drift_overlay
 from tidewatch.sources.tables import table
 
+PRICE_TERM = 7.853981633974483e-10
 ROLES = ("calibration_valid", "test_valid", "test_invalid")
 
 
@@ -33,9 +34,9 @@ def supplier_days(spark: SparkSession, sf_dir: str) -> DataFrame:
         role_of(F.col("l_suppkey")).alias("path_set"), F.col("l_suppkey").alias("entity"), "date", "d", "q", "p")
     return daily.select(
         *KEYS, F.row_number().over(Window.partitionBy(*KEYS).orderBy("date")).alias("day"), "date",
-        # the price term is tiny; it keeps statistics off the lattice of two-digit
-        # discounts, where a value could tie with a threshold
-        ((F.col("d") - 0.05) * 0.2 + (F.col("p") - 38000.0) * 1e-9).alias("ret"),
+        # the price term is tiny and not a decimal fraction; it keeps statistics off
+        # the lattice of two-digit discounts, where values tie with thresholds
+        ((F.col("d") - 0.05) * 0.2 + (F.col("p") - 38000.0) * PRICE_TERM).alias("ret"),
         # positive, day-varying variance that plays the part of the latent one
         (F.lit(SUPPLIER.sigma_daily ** 2) * (F.lit(0.5) + F.col("q") / 50.0)).alias("true_var"))
 
@@ -118,7 +119,7 @@ sup_days AS (
          l_suppkey AS entity,
          CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate) AS INTEGER) AS day,
          CAST(l_shipdate AS DATE) AS date,
-         (avg(l_discount) - 0.05) * 0.2 + (avg(l_extendedprice) - 38000.0) * 1e-9 AS noise,
+         (avg(l_discount) - 0.05) * 0.2 + (avg(l_extendedprice) - 38000.0) * {PRICE_TERM!r} AS noise,
          {_S2} * (0.5 + avg(l_quantity) / 50.0) AS true_var
   FROM lineitem GROUP BY l_suppkey, l_shipdate)"""
 
