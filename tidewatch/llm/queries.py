@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import fingerprints, line_dedup, mixing, quality, sharding, url_filter
+from tidewatch.llm import bpe, fingerprints, line_dedup, mixing, quality, sharding, url_filter
 from tidewatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir)).withColumn("failed", F.array_join("failed", ","))
 
 
+def tokenizer_file() -> str:
+    """The installed public byte-level vocabulary."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op5_bpe")
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, sf_dir), tokenizer_file())
+
+
 OWN_RULES = (url_filter.host_rule("block", "com", "/en/"), url_filter.host_rule("allow", "example.com", "/en/7"),
              url_filter.host_rule("allow", "net", "/de/"), url_filter.host_rule("block", "example.net", "/de/8"),
              url_filter.host_rule("block", "org", "/es/"))
