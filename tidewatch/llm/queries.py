@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, fingerprints, line_dedup, mixing, quality, sharding, url_filter
+from tidewatch.llm import bpe, fingerprints, line_dedup, mixing, quality, sharding, simhash, url_filter
 from tidewatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,6 +91,12 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_report(documents(spark, sf_dir))
 
 
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 #: target weights of the mixing query: one source is wanted three times as often as another
 TARGETS = {f"src{k}": 1.0 + k % 3 for k in range(20)}
 
