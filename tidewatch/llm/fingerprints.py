@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import let, narrowed, numbered
+from tidewatch.llm.common import LAST_ID, let, narrowed, numbered
 
 SHINGLE = 5
 #: one hash in SCALE is retained
@@ -88,14 +88,15 @@ def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     own = rows.select(F.when(F.col("r") == 0, F.lit(total - 1)).otherwise(F.col("r") - 1).alias("r"),
                       F.col("d").alias("to_d"), F.col("th").alias("to_th"), F.floor(F.col("n") / 3).cast("int").alias("need"))
     donors = own.join(rows.select("r", "d", "th"), "r").select("d", "th", "to_d", "to_th", "need")
-    once = F.row_number().over(W.partitionBy("d", "th").orderBy("d")) == 1
-    base = docs.select("d", "th", "id", "text")
-    lent = (base.withColumn("once", once).where("once").join(donors.hint("shuffle_hash"), ["d", "th"])
+    # a running count, as a rank filter would be pushed below the exchange, which then could not be shared
+    nth = F.count("*").over(W.partitionBy("d", "th").orderBy("d").rowsBetween(W.unboundedPreceding, W.currentRow))
+    base = docs.select("d", "th", "text")
+    lent = (base.withColumn("nth", nth).where("nth = 1").join(donors.hint("shuffle_hash"), ["d", "th"])
             .select(F.col("to_d").alias("d"), F.col("to_th").alias("th"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("loan"),
                     sketch(F.col("text")).alias("next_s")))
     both = base.join(lent, ["d", "th"]).withColumn("n_chars", F.char_length("text"))
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - F.floor(F.col("n_chars") / 3).cast("int")), F.col("loan")))
-    both = both.select("id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+    both = both.select(F.when(F.col("d") != LAST_ID, F.col("d")).alias("id"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
                        sketch(F.col("text")).alias("s"), sketch(F.col("edited")).alias("e"), "next_s")
     s, e, n = F.col("s"), F.col("e"), F.col("next_s")
     return both.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", printed(s).alias("fingerprint"), printed(e).alias("edited_fingerprint"),

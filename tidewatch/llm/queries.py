@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, fingerprints, line_dedup, mixing, quality, sharding, simhash, substring_dedup, url_filter
+from tidewatch.llm import bpe, class_lm, fingerprints, line_dedup, mixing, quality, sharding, simhash, substring_dedup, url_filter
 from tidewatch.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,13 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_class_lm")
+def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return class_lm.score_documents(docs, held).withColumnRenamed("id", "doc_id")
+
+
 @query("op2_line_dedup", r"""
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 l AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d),
