@@ -272,7 +272,7 @@ def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -
 
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: digests of `encode`'s ids and of the text they decode to, in one pass."""
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256: `encode`'s ids, and digests of them and of the text they decode to, in one pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for part in slices(batches, "value", 2 << 20):
@@ -281,9 +281,11 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             listed = ids.tolist()
             hashed = [hashlib.sha256(",".join([bpe.decimal[i] for i in listed[a:b]]).encode()).hexdigest() for a, b in spans]
             back = [hashlib.sha256(t.encode()).hexdigest() for t in bpe.decode(ids, off)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), pa.array(hashed, pa.string()), pa.array(back, pa.string())],
-                                             names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(off)), lists, pa.array(hashed, pa.string()), pa.array(back, pa.string())],
+                                             names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
 
     rows = _rows(df, id_col, text_col).withColumn("value", F.coalesce("value", F.lit("")))
-    schema = rows.select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
+    schema = rows.select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_tokens"), F.array().cast("array<int>").alias("ids"),
+                         F.lit("").alias("ids_sha256"), F.lit("").alias("decoded_sha256")).schema
     return rows.mapInArrow(run, schema)

@@ -75,7 +75,7 @@ def tokenizer_file() -> str:
 
 @query("op5_bpe")
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(documents(spark, sf_dir), tokenizer_file())
+    return bpe.round_trip(documents(spark, sf_dir), tokenizer_file()).drop("ids")
 
 
 OWN_RULES = (url_filter.host_rule("block", "com", "/en/"), url_filter.host_rule("allow", "example.com", "/en/7"),
