@@ -1,20 +1,15 @@
-"""Small tables with a measured size."""
+"""Tables whose size is bounded by their design."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LIMIT = 50_000
 
+def small(df: DataFrame) -> DataFrame:
+    """Broadcasts a table that parameters bound, whatever the data's size.
 
-def freeze(df: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Evaluate a table of rules once and broadcast it, if it really is small.
-
-    At most `limit + 1` rows reach the driver. A larger table is returned as it
-    was, and the joins that use it fall back to a shuffle.
+    For methods x budgets, scenarios x statistics, registries, period tables and calendars.
+    Nothing is evaluated here; tables keyed by data are joined without a hint.
     """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return F.broadcast(df)

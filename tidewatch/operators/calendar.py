@@ -46,21 +46,21 @@ def last_weekday(year: Column, month: int, weekday: int) -> Column:
     return F.date_sub(last, F.pmod(F.weekday(last) - F.lit(weekday), F.lit(7)))
 
 
-def easter(year: Column) -> Column:
-    """Easter Sunday by Oudin's integer formula (Gregorian, any year)."""
-    def div(a, b):
-        return F.floor(a / b).cast("int")
-    c = div(year, 100)
-    n = year - div(year, 19) * 19
-    k = div(c - 17, 25)
-    i = c - div(c, 4) - div(c - k, 3) + n * 19 + 15
-    i = i - div(i, 30) * 30
-    i = i - div(i, 28) * (F.lit(1) - div(i, 28) * div(F.lit(29), i + 1) * div(F.lit(21) - n, 11))
-    j = year + div(year, 4) + i + 2 - c + div(c, 4)
-    j = j - div(j, 7) * 7
-    el = i - j
-    month = div(el + 40, 44) + 3
-    return F.make_date(year, month, el + 28 - div(month, 4) * 31)
+def with_easter(years: DataFrame) -> DataFrame:
+    """Adds `easter`, Easter Sunday of `year`, by Oudin's integer formula (Gregorian, any year).
+
+    Every step is a column of its own: as one expression each step would be repeated
+    wherever the next one uses it.
+    """
+    steps = (("_c", "year div 100"), ("_n", "year % 19"), ("_k", "(_c - 17) div 25"),
+             ("_i", "(_c - _c div 4 - (_c - _k) div 3 + _n * 19 + 15) % 30"),
+             ("_h", "_i - (_i div 28) * (1 - (_i div 28) * (29 div (_i + 1)) * ((21 - _n) div 11))"),
+             ("_l", "_h - (year + year div 4 + _h + 2 - _c + _c div 4) % 7"), ("_m", "(_l + 40) div 44 + 3"),
+             ("easter", "make_date(year, int(_m), int(_l + 28 - (_m div 4) * 31))"))
+    out = years
+    for name, step in steps:
+        out = out.withColumn(name, F.expr(step))
+    return out.select(*years.columns, "easter")
 
 
 def observed(day: Column) -> Column:
@@ -90,7 +90,7 @@ def nyse_closures(spark: SparkSession, lo: int, hi: int) -> DataFrame:
         ("New Year's Day", observed(_date(y, 1, 1))),
         ("Martin Luther King Jr. Day", nth_weekday(y, 1, 0, 3)),
         ("Washington's Birthday", nth_weekday(y, 2, 0, 3)),
-        ("Good Friday", F.date_sub(easter(y), 2)),
+        ("Good Friday", F.date_sub("easter", 2)),
         ("Memorial Day", last_weekday(y, 5, 0)),
         ("Juneteenth National Independence Day", F.when(y >= 2022, observed(_date(y, 6, 19)))),
         ("Independence Day", observed(_date(y, 7, 4))),
@@ -98,7 +98,7 @@ def nyse_closures(spark: SparkSession, lo: int, hi: int) -> DataFrame:
         ("Thanksgiving Day", nth_weekday(y, 11, 3, 4)),
         ("Christmas Day", observed(_date(y, 12, 25))),
     ]
-    ruled = _closures(_years(spark, lo, hi), rules).select("date", "name")
+    ruled = _closures(with_easter(_years(spark, lo, hi)), rules).select("date", "name")
     extra = _literal(spark, AD_HOC_CLOSURES).where(F.year("date").between(lo, hi))
     return ruled.unionByName(extra).select(F.lit("nyse").alias("calendar"), "date", "name")
 
@@ -113,9 +113,9 @@ def jpx_closures(spark: SparkSession, lo: int = JPX_YEARS[0], hi: int = JPX_YEAR
             d = F.to_date(F.lit(iso))
             eq[k] = F.when(y == year, d) if eq[k] is None else eq[k].when(y == year, d)
     kept = ~y.isin(*JPX_MOVED_YEARS)
-    rules = [(f"New Year (exchange closed)", _date(y, 1, d)) for d in (1, 2, 3)]
+    rules = [(f"January holiday, no session", _date(y, 1, d)) for d in (1, 2, 3)]
     rules += [
-        ("Year end (exchange closed)", _date(y, 12, 31)),
+        ("December holiday, no session", _date(y, 12, 31)),
         ("Coming of Age Day", nth_weekday(y, 1, 0, 2)),
         ("National Foundation Day", after_sunday(_date(y, 2, 11))),
         ("Emperor's Birthday", F.when(y >= 2020, after_sunday(_date(y, 2, 23)))),

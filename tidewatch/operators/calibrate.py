@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import MonitorConfig
 from tidewatch.functions.expr import expit, ratio, wilson
 from tidewatch.functions.ranking import _bucket_totals, _bucketed, order_statistics
-from tidewatch.functions.small import freeze
+from tidewatch.functions.small import small
 from tidewatch.operators.evidence import DETECTORS, KEYS, resolve, wide_statistics
 
 CALIBRATION = "calibration_valid"
@@ -111,7 +111,7 @@ def nominal_rank_of(n: Column, alpha: Column) -> Column:
 def with_achieved_rate(thr: DataFrame, minima: DataFrame, by: Sequence[str] = ("method",)) -> DataFrame:
     """Adds the share of calibration minima strictly below each threshold."""
     cal = minima.where(F.col("path_set") == CALIBRATION).select(*by, "min_stat")
-    hits = cal.join(freeze(thr.select(*by, "far_target", "threshold")), list(by)).groupBy(*by, "far_target").agg(
+    hits = cal.join(small(thr.select(*by, "far_target", "threshold")), list(by)).groupBy(*by, "far_target").agg(
         F.count_if(F.col("min_stat") < F.col("threshold")).alias("n_alarms"))
     return thr.join(hits, [*by, "far_target"]).withColumn(
         "achieved_far", ratio(F.col("n_alarms"), F.col("n_paths")))
@@ -205,7 +205,7 @@ def matched_continuation(pre_post: DataFrame, target: float, floor: float = 0.5,
     """
     v = pre_post.select("method", F.explode(F.array("pre", "post")).alias("v"))
     grid = _quantile_grid(v, "method", "v", points)
-    arr = freeze(grid.groupBy("method").agg(
+    arr = small(grid.groupBy("method").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("g")))
     block = 64
 
@@ -258,7 +258,7 @@ def validate_frozen(lows: DataFrame, thr: DataFrame, cfg: MonitorConfig, t: int,
     """
     per = lows.where(F.col("day") <= t + post).groupBy(*KEYS, "method").agg(
         F.min(F.when(F.col("day") <= t, F.col("stat"))).alias("pre"), F.min("stat").alias("full"))
-    j = per.join(freeze(thr.select(*on, "far_target", "threshold")), list(on))
+    j = per.join(small(thr.select(*on, "far_target", "threshold")), list(on))
     early = F.coalesce(F.col("pre") < F.col("threshold"), F.lit(False))
     out = j.groupBy("path_set", *on, "far_target", "threshold").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(early).alias("n_pre"),
@@ -277,7 +277,7 @@ def replication_study(minima: DataFrame, cfg: MonitorConfig, replicate: str = "r
     by = [replicate, "method"]
     thr = thresholds(minima, cfg, by)
     test = minima.where(F.col("path_set") == "test_valid")
-    far = test.join(freeze(thr), by).groupBy(*by, "far_target", "threshold").agg(
+    far = test.join(small(thr), by).groupBy(*by, "far_target", "threshold").agg(
         F.count(F.lit(1)).alias("n"),
         (F.count_if(F.col("min_stat") < F.col("threshold")) / F.count(F.lit(1))).alias("far"))
     g = far.groupBy("method", "far_target").agg(

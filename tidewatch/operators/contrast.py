@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.expr import ratio
 from tidewatch.functions.ranking import dense_rank_rows, quantiles
-from tidewatch.functions.small import freeze
+from tidewatch.functions.small import small
 
 # fixed values: the fitted statistics and the ones held out of the objective
 RV_TARGETS = ("rv21_q10", "rv21_q50", "rv21_q90")
@@ -104,7 +104,7 @@ def gap_overview(contrast: DataFrame, keys: Sequence[str]) -> DataFrame:
     g = g.withColumn("coverage", ratio(F.col("n_inside"), F.col("statistics"))).withColumn("w1_ratio", F.lit(None).cast("double"))
     w = contrast.where(F.col("statistic").isin(W1_OBS, W1_REF)).groupBy(*keys).agg(
         F.max(F.when(F.col("statistic") == W1_OBS, F.col("sim_median"))).alias("_o"), F.max(F.when(F.col("statistic") == W1_REF, F.col("sim_median"))).alias("_r"))
-    w = w.select(*keys, F.lit("W1 / sim-sim reference").alias("group"), F.lit(1).cast("bigint").alias("statistics"),
+    w = w.select(*keys, F.lit("distance / own reference").alias("group"), F.lit(1).cast("bigint").alias("statistics"),
                  F.lit(None).cast("bigint").alias("n_inside"), F.lit(None).cast("double").alias("coverage"), ratio(F.col("_o"), F.col("_r")).alias("w1_ratio"))
     return g.unionByName(w)
 
@@ -217,7 +217,7 @@ def selection_stability(rec: DataFrame, keys: Sequence[str], delta: Column) -> D
 
 def compare_with_replications(analytic: DataFrame, rep: DataFrame) -> DataFrame:
     """z of the simulated against the analytic sd; unmatched keys are refused."""
-    j = rep.join(freeze(analytic), "far_target", "left")
+    j = rep.join(small(analytic), "far_target", "left")
     sd = F.when(F.col("analytic_sd").isNull(), F.raise_error(F.lit("replications carry a budget the analytic table lacks")).cast("double")).otherwise(F.col("analytic_sd"))
     se = F.col("sd_far") / F.sqrt(2.0 * (F.col("n_replications") - 1))
     return j.select("method", "far_target", "n_replications", "sd_far", se.alias("sd_far_se"), sd.alias("analytic_sd"),

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.expr import pair_corr, ratio, unpivot
 from tidewatch.functions.ranking import dense_rank_rows, quantiles
-from tidewatch.functions.small import freeze
 
 LAGS = (1, 5, 10, 21, 63)
 LEAD_LAGS = (1, 5, 21)
@@ -136,23 +135,25 @@ def max_exceedances(df: DataFrame, keys: Sequence[str], by: str = "day", sd: flo
 
 
 def wasserstein1(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str = "z") -> DataFrame:
-    """Mean absolute difference of equal-rank values; both sides need equal sizes."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    n = Window.partitionBy(*keys)
+    """Area between the two empirical distribution functions, and the first sample's size n.
 
-    def ranked(d: DataFrame, tag: str) -> DataFrame:
-        return d.select(*keys, F.col(value).alias(f"_{tag}"), F.row_number().over(w).alias("_rank"), F.count(F.lit(1)).over(n).alias(f"_n{tag}"))
-    j = ranked(a, "a").join(ranked(b, "b"), [*keys, "_rank"], "full")
-    gap = F.when(F.equal_null("_na", "_nb"), F.abs(F.col("_a") - F.col("_b"))).otherwise(
-        F.raise_error(F.lit("distance is defined for equal-size samples only")).cast("double"))
-    return j.groupBy(*keys).agg(F.avg(gap).alias("w1"), F.count(F.lit(1)).alias("n"))
+    For equal sizes this is the mean absolute difference of equal-rank values; sizes may
+    differ. Both samples go through one shuffle on the keys; there is no join.
+    """
+    one = lambda d, x, y: d.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_x"), F.lit(x).alias("_a"), F.lit(y).alias("_b"))
+    both = one(a, 1, 0).unionByName(one(b, 0, 1))
+    by = Window.partitionBy(*keys).orderBy("_x")
+    run, whole = by.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
+    share = lambda c: F.sum(c).over(run) / F.nullif(F.sum(c).over(whole), F.lit(0))
+    d = both.withColumn("_t", F.abs(share("_a") - share("_b")) * (F.lead("_x").over(by) - F.col("_x")))
+    return d.groupBy(*keys).agg(F.sum("_t").alias("w1"), F.sum("_a").alias("n")).where(F.col("w1").isNotNull())
 
 
 def path_statistics(df: DataFrame, keys: Sequence[str], by: str = "day") -> DataFrame:
     """One wide row per series with every headline statistic.
 
     `df` needs a dense 1-based `day` inside the series. Windows and the grouped
-    aggregation share the partitioning on the keys: one shuffle for all of it.
+    aggregation share the partitioning on the keys, so the series is shuffled once.
     """
     w = _order(keys, by)
     d = with_leads(df, keys, by, LAGS).withColumn("rv", realised_vol_col(keys, by))
@@ -160,6 +161,9 @@ def path_statistics(df: DataFrame, keys: Sequence[str], by: str = "day") -> Data
     hit = (F.abs("_z") > CONC_SD).cast("int")
     cw = w.rowsBetween(-(CONC_WINDOW - 1), 0)
     d = d.withColumn("_conc", F.when(F.count("_z").over(cw) == CONC_WINDOW, F.sum(hit).over(cw)))
+    # the compounded return of a whole h-day block stands on its last day; windows keep the one sort
+    block = {h: F.col("ret") if h == 1 else F.when(F.col(by) % h == 0, F.product(1.0 + F.col("ret")).over(w.rowsBetween(-(h - 1), 0)) - 1.0) for h in AGG_DAYS}
+    d = d.withColumns({f"_agg{h}": c for h, c in block.items()})
     m = moments("ret")
     rv = F.percentile("rv", F.array(F.lit(.1), F.lit(.5), F.lit(.9)))
     aggs = [m["n"].alias("n_days"), m["sd"].alias("sd_daily"), m["skewness"].alias("skewness"),
@@ -169,18 +173,15 @@ def path_statistics(df: DataFrame, keys: Sequence[str], by: str = "day") -> Data
         aggs += [F.count_if(F.col("_z") < -c).cast("double").alias(f"tail_below_m{c}_count"),
                  F.count_if(F.col("_z") > c).cast("double").alias(f"tail_above_p{c}_count")]
     aggs += [c.alias(n) for n, c in {**acf_columns(), **lead_lag_columns()}.items()]
+    for h in AGG_DAYS:
+        am = moments(f"_agg{h}")
+        aggs += [am["sd"].alias(f"agg{h}d_sd"), am["skewness"].alias(f"agg{h}d_skewness"), am["excess_kurtosis"].alias(f"agg{h}d_excess_kurtosis"),
+                 am["n"].cast("double").alias(f"agg{h}d_n_blocks")]
     out = d.groupBy(*keys).agg(*aggs).withColumns({f"rv21_q{q}": F.col("_rv")[i] for i, q in enumerate((10, 50, 90))})
     for c in TAILS:
         for side in (f"below_m{c}", f"above_p{c}"):
             out = out.withColumn(f"tail_{side}_freq", F.col(f"tail_{side}_count") / F.col("n_days"))
-    out = out.drop("_rv")
-    for h in AGG_DAYS:
-        am = moments("agg_ret")
-        a = aggregate_returns(df, keys, h).groupBy(*keys).agg(
-            am["sd"].alias(f"agg{h}d_sd"), am["skewness"].alias(f"agg{h}d_skewness"),
-            am["excess_kurtosis"].alias(f"agg{h}d_excess_kurtosis"), am["n"].cast("double").alias(f"agg{h}d_n_blocks"))
-        out = out.join(a, list(keys), "left")
-    return out
+    return out.drop("_rv")
 
 
 def statistic_names() -> list[str]:
@@ -225,7 +226,7 @@ def diagnose_period(df: DataFrame, keys: Sequence[str], by: str, lags: Sequence[
 def pooled_autocorr(df: DataFrame, group: Sequence[str], entity: str, value: Column, lag: int, by: str = "day") -> DataFrame:
     """Lag autocorrelation around the GLOBAL mean, with a delta-method error over entities."""
     x = df.select(*group, entity, by, value.alias("_x"))
-    mu = freeze(x.groupBy(*group).agg(F.avg("_x").alias("_mu")))
+    mu = x.groupBy(*group).agg(F.avg("_x").alias("_mu"))
     c = x.join(mu, list(group)).withColumn("_c", F.col("_x") - F.col("_mu"))
     c = c.withColumn("_l", F.lead("_c", lag).over(_order([*group, entity], by)))
     per = c.groupBy(*group, entity).agg(F.avg(F.col("_c") * F.col("_l")).alias("num"), F.avg(F.col("_c") * F.col("_c")).alias("den"))
@@ -294,7 +295,7 @@ def market_state_summary(level: DataFrame, keys: Sequence[str], factor: Column,
 
 def top_extremes(returns: DataFrame, keys: Sequence[str], k: int = 10, by: str = "date") -> DataFrame:
     """The k largest absolute returns per series; Spark keeps k per task before the shuffle."""
-    stats = freeze(returns.groupBy(*keys).agg(F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s")))
+    stats = returns.groupBy(*keys).agg(F.avg("ret").alias("_m"), F.stddev_samp("ret").alias("_s"))
     w = Window.partitionBy(*keys).orderBy(F.abs("ret").desc(), by)
     t = returns.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).join(stats, list(keys))
     return t.withColumn("prev_price", F.col("price") / (1.0 + F.col("ret"))).withColumn(
@@ -317,15 +318,21 @@ def rv_shape_ratio(stats: DataFrame) -> DataFrame:
     return stats.withColumns({f"rv21_q{q}_over_sd": F.col(f"rv21_q{q}") / s for q in (10, 50, 90)})
 
 
-def paired_half_reference(z: DataFrame, entities: DataFrame, days: int, group: Sequence[str] = ()) -> DataFrame:
-    """W1 between entity i and entity i + n/2 on their first `days` standardised values."""
+def half_pairs(entities: DataFrame, group: Sequence[str]) -> DataFrame:
+    """group, pair, entity, entity_b: entity i and entity i + n/2 of each group."""
     idx = dense_rank_rows(entities, group, "entity", name="idx")
     half = F.floor(F.col("idx_n") / 2)
     a = idx.where(F.col("idx") <= half).select(*group, F.col("idx").alias("pair"), "entity")
-    b = idx.where((F.col("idx") > half) & (F.col("idx") <= 2 * half)).select(*group, (F.col("idx") - half).alias("pair"), "entity")
-    zz = z.where(F.col("day") <= days)
+    b = idx.where((F.col("idx") > half) & (F.col("idx") <= 2 * half)).select(*group, (F.col("idx") - half).alias("pair"), F.col("entity").alias("entity_b"))
+    return a.join(b, [*group, "pair"])
+
+
+def paired_half_reference(z: DataFrame, entities: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """W1 between the whole standardised series of entity i and entity i + n/2."""
+    p = half_pairs(entities, group)
     keys = [*group, "pair"]
-    return wasserstein1(zz.join(a, [*group, "entity"]).select(*keys, "z"), zz.join(b, [*group, "entity"]).select(*keys, "z"), keys)
+    a, b = p.select(*keys, "entity"), p.select(*keys, F.col("entity_b").alias("entity"))
+    return wasserstein1(z.join(a, [*group, "entity"]).select(*keys, "z"), z.join(b, [*group, "entity"]).select(*keys, "z"), keys)
 
 
 def scale_invariance(a: DataFrame, b: DataFrame, ids: Sequence[str], scale: float, tol: float = 1e-9) -> DataFrame:
@@ -346,6 +353,6 @@ def reference_overlap(ref: DataFrame, obs: DataFrame, keys: Sequence[str], value
     qr = quantiles(ref, keys, value, {f"reference_{k}": p for k, p in probs.items()}, count_as="n_reference")
     qo = quantiles(obs, keys, value, {f"observed_{k}": p for k, p in probs.items()}, count_as="n_observed")
     mm = ref.groupBy(*keys).agg(F.min(value).alias("reference_min"), F.max(value).alias("reference_max"))
-    cut = freeze(qr.select(*keys, "reference_p95"))
+    cut = qr.select(*keys, "reference_p95")
     share = obs.join(cut, list(keys)).groupBy(*keys).agg(F.avg((F.col(value) < F.col("reference_p95")).cast("double")).alias("share_below_reference_p95"))
     return qr.join(qo, list(keys)).join(mm, list(keys)).join(share, list(keys))

@@ -62,28 +62,31 @@ def variance_student_step(ret: Column, var: Column, cfg: MonitorConfig) -> Colum
 
 # --- variance forecasts ---------------------------------------------------------
 
-def _closed_form_fits(cfg: MonitorConfig) -> bool:
-    return -math.log(cfg.ewma_lambda) * cfg.max_days < 650.0
+def _block_days(cfg: MonitorConfig) -> int:
+    """Days over which the decay stays far inside the range of a double."""
+    return max(1, int(300.0 / -math.log(cfg.ewma_lambda)))
 
 
 def with_ewma_variance(panel: DataFrame, cfg: MonitorConfig, keys: Sequence[str] = KEYS,
                        name: str = "v_ewma") -> DataFrame:
-    """Adds the forecast for day t made from days before t only.
+    """Adds the forecast for day t made from days before t only, for series of any length.
 
-    The recursion is linear, so it unrolls to a running sum of scaled squared
-    residuals: no Python and no extra shuffle. Series too long for the scale
-    factor (see `max_days`) use the carried recursion instead.
+    The recursion is linear, so inside a block of days it unrolls to a running sum of scaled
+    squared residuals. A block starts from the sum over the block before it; what lies
+    further back has decayed by e^-300, which no double can show. Both sums are windows
+    over the series' own partition: no Python and no further shuffle.
     """
-    if not _closed_form_fits(cfg):
-        return _carried_variance(panel, cfg, keys, name, math.inf)
-    lam, s2 = cfg.ewma_lambda, cfg.sigma_daily ** 2
-    past = by_day(keys).rowsBetween(Window.unboundedPreceding, -1)
+    lam, s2, size = cfg.ewma_lambda, cfg.sigma_daily ** 2, _block_days(cfg)
+    d = panel.withColumn("_b", F.floor((F.col("day") - 1) / size)).withColumn("_o", ((F.col("day") - 1) % size).cast("double"))
     e2 = F.pow(F.col("ret") - F.lit(cfg.midpoint), F.lit(2.0))
-    scaled = F.sum(e2 * F.pow(F.lit(lam), -F.col("day").cast("double"))).over(past)
-    decay = F.pow(F.lit(lam), F.col("day").cast("double") - 1.0)
-    v = decay * (F.lit(s2) + F.lit(1.0 - lam) * F.coalesce(scaled, F.lit(0.0)))
-    raw = panel.withColumn(name, v)
+    inside = Window.partitionBy(*keys, "_b").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-1, -1)
+    run = F.coalesce(F.sum(e2 * F.pow(F.lit(lam), -F.col("_o") - 1.0)).over(inside), F.lit(0.0))
+    last = F.coalesce(F.sum(e2 * F.pow(F.lit(lam), F.lit(size - 1.0) - F.col("_o"))).over(before), F.lit(0.0))
+    first = F.when(F.col("_b") == 0, F.lit(s2)).when(F.col("_b") == 1, F.lit(s2 * lam ** size)).otherwise(F.lit(0.0))
+    v = F.pow(F.lit(lam), F.col("_o")) * (first + F.lit(1.0 - lam) * (last + run))
     floor = cfg.variance_floor_factor * s2
+    raw = d.withColumn(name, v).drop("_b", "_o")
     return (raw.withColumn(f"{name}_floored", F.col(name) < F.lit(floor))
             .withColumn(name, F.greatest(F.col(name), F.lit(floor))))
 

@@ -379,7 +379,7 @@ def evidence_law(panel: DataFrame, cfg: MonitorConfig, days: Sequence[int]) -> D
 
 def headroom(observed: DataFrame, bound: DataFrame, on: Sequence[str]) -> DataFrame:
     """Observed detection against a supplied bound: gap, fraction, violation."""
-    j = observed.join(F.broadcast(bound) if bound.isLocal() else bound, list(on))
+    j = observed.join(bound, list(on))
     return (j.withColumn("gap", F.col("bound") - F.col("observed"))
             .withColumn("fraction_of_bound", ratio(F.col("observed"), F.col("bound")))
             .withColumn("violates", F.col("observed") > F.col("bound")))

@@ -16,25 +16,33 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import MonitorConfig
 from tidewatch.functions.ranking import dense_rank_rows, quantiles
-from tidewatch.functions.small import freeze
+from tidewatch.functions.small import small
 
-# fixed values: constants of the portable draw hash
-MOD = 2147483647
-REP_STEP, DRAW_STEP, SALT_STEP = 7919, 104729, 15485863
+# fixed values: constants of the portable draw hash, two words of 31 bits each
+MOD = (2147483647, 2147483629)
+STEPS = ((7919, 104729, 15485863), (1299709, 6700417, 32452843))
+MIX = ((48271, 65537, 40014, 69621, 32749, 12345), (39373, 46337, 20011, 40692, 28657, 54773))
+#: replicates of the protocol
+REPS = 2000
 
 SALTS = {"calibration_valid": 1, "test_valid": 2, "test_invalid": 3}
 BUCKET = 4096
 
 
 def draw_index(rep: Column, draw: Column, salt: Column, n: Column) -> Column:
-    """0-based index below n; all arguments BIGINT."""
-    m = F.lit(MOD).cast("bigint")
-    a = (rep * REP_STEP + draw * DRAW_STEP + salt * SALT_STEP) % m
-    h = (a * 48271) % m
-    h = (h * (h % 65537) + 40014) % m
-    h = (h * 69621) % m
-    h = (h * (h % 32749) + 12345) % m
-    return h % n
+    """0-based index below n; all arguments BIGINT.
+
+    Each word starts from its own linear form modulo its own prime. Two streams could only be
+    shifted copies if both congruences held, so replicates stay apart for up to some 10^18 draws.
+    """
+    words = []
+    for mod, (r, d, s), (a, b, c, e, f, g) in zip(MOD, STEPS, MIX, strict=True):
+        m = F.lit(mod).cast("bigint")
+        h = ((rep * r + draw * d + salt * s) % m * a) % m
+        h = (h * (h % b) + c) % m
+        h = (h * e) % m
+        words.append((h * (h % f) + g) % m)
+    return (words[0] * F.lit(MOD[1]).cast("bigint") + words[1]) % n
 
 
 def weights(entities: DataFrame, cell: Sequence[str], reps: int, salt: Column) -> DataFrame:
@@ -51,44 +59,56 @@ def weights(entities: DataFrame, cell: Sequence[str], reps: int, salt: Column) -
     return cnt.join(idx.select(*cell, (F.col("idx") - 1).alias("_i"), "entity"), [*cell, "_i"]).drop("_i")
 
 
+def packed(minima: DataFrame, keys: Sequence[str], *values: str) -> DataFrame:
+    """One row per entity with all its methods, so what a replicate repeats does not grow with their number."""
+    return minima.groupBy(*keys, "entity").agg(F.collect_list(F.struct("method", *values)).alias("_m"))
+
+
+def unpacked(p: DataFrame, w: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Entity rows with their multiplicities, opened to methods behind the join: what follows is combined map-side."""
+    return p.join(w, [*keys, "entity"]).select(*keys, "rep", "w", F.explode("_m").alias("_x")).select(*keys, "rep", "w", "_x.*")
+
+
 def replicate_thresholds(minima: DataFrame, w: DataFrame, cell: Sequence[str], ranks: DataFrame) -> DataFrame:
     """Threshold per (cell, rep, method, budget) from resampled calibration minima.
 
     `ranks` holds (far_target, alpha_rank_of n) as the 1-based rank per cell.
     Counting draws per bucket of the original rank locates the wanted rank; only
-    that bucket is then summed in order.
+    that bucket is then summed in order. The located buckets are a row per replicate,
+    method and budget, which parameters bound, so they are broadcast.
     """
-    r = dense_rank_rows_by_value(minima, [*cell, "method"])
-    j = r.join(w, [*cell, "entity"]).withColumn("_b", F.floor((F.col("rk") - 1) / BUCKET))
+    r = value_ranks(minima, [*cell, "method"])
+    j = unpacked(packed(r, cell, "rk", "min_stat"), w, cell).withColumn("_b", F.floor((F.col("rk") - 1) / BUCKET))
     key = [*cell, "rep", "method"]
     tot = j.groupBy(*key, "_b").agg(F.sum("w").alias("_w"))
     run = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     tot = tot.withColumn("_hi", F.sum("_w").over(run)).withColumn("_lo", F.col("_hi") - F.col("_w"))
-    need = tot.join(freeze(ranks), list(cell)).where((F.col("rank") > F.col("_lo")) & (F.col("rank") <= F.col("_hi")))
-    c = j.join(need.select(*key, "_b", "_lo", "far_target", "rank"), [*key, "_b"])
+    need = tot.join(ranks, list(cell)).where((F.col("rank") > F.col("_lo")) & (F.col("rank") <= F.col("_hi")))
+    c = j.join(small(need.select(*key, "_b", "_lo", "far_target", "rank")), [*key, "_b"])
+    c = c.groupBy(*key, "far_target", "rank", "_lo", "rk", "min_stat").agg(F.sum("w").alias("w"))
     inside = Window.partitionBy(*key, "far_target").orderBy("rk").rowsBetween(Window.unboundedPreceding, 0)
     c = c.withColumn("_c", F.col("_lo") + F.sum("w").over(inside))
     return c.where(F.col("_c") >= F.col("rank")).groupBy(*key, "far_target").agg(F.min("min_stat").alias("threshold"))
 
 
-def dense_rank_rows_by_value(minima: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rank of each entity by its minimum; a tie is broken by entity inside its bucket."""
-    from tidewatch.functions.ranking import _bucket_totals, _bucketed
-    one = minima.withColumn("_one", F.lit(1).cast("bigint"))
-    b = _bucketed(one, keys, "min_stat", "_one", 32)
-    lo = _bucket_totals(b, keys, "_one").select(*keys, "_b", "_lo")
-    w = Window.partitionBy(*keys, "_b").orderBy("min_stat", "entity")
-    return b.drop("_n").join(lo, [*keys, "_b"]).withColumn("rk", F.col("_lo") + F.row_number().over(w)).drop("_b", "_lo", "_one")
+def value_ranks(minima: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rank of each entity's minimum among the distinct values of its method; equal minima share a rank.
+
+    Values are counted map-side first, so a mass of equal minima is one row wherever it is ranked.
+    """
+    distinct = minima.groupBy(*keys, "min_stat").agg(F.count(F.lit(1)).alias("_k")).drop("_k")
+    return minima.join(dense_rank_rows(distinct, keys, "min_stat", name="rk").drop("rk_n"), [*keys, "min_stat"])
 
 
 def replicate_rates(minima: DataFrame, w: DataFrame, thr: DataFrame, cell: Sequence[str]) -> DataFrame:
     """Weighted share below the replicate's threshold: (cell, path_set, rep, method, far_target, rate)."""
-    j = minima.join(w, ["path_set", *cell, "entity"]).join(thr, [*cell, "rep", "method"])
+    keys = ["path_set", *cell]
+    j = unpacked(packed(minima, keys, "min_stat"), w, keys).join(small(thr), [*cell, "rep", "method"])
     hit = F.when(F.col("min_stat") < F.col("threshold"), F.col("w")).otherwise(0)
     return j.groupBy(*cell, "path_set", "rep", "method", "far_target").agg((F.sum(hit) / F.sum("w")).alias("rate"))
 
 
-def bootstrap_rates(minima: DataFrame, cfg: MonitorConfig, reps: int, cell: Sequence[str] = ()) -> DataFrame:
+def bootstrap_rates(minima: DataFrame, cfg: MonitorConfig, reps: int = REPS, cell: Sequence[str] = ()) -> DataFrame:
     """Rates of every method and budget per replicate; replicate -1 is the plain sample."""
     cal_cell = list(cell) or ["_all_entities"]
     m = minima if cell else minima.withColumn("_all_entities", F.lit(1))
@@ -138,7 +158,7 @@ def with_plain(rows: DataFrame, cell: Sequence[str], reps: int, salt: Column | N
     return w.select(*cell, "rep", "w", "entity").unionByName(plain)
 
 
-def unified_rates(minima: DataFrame, cfg: MonitorConfig, reps: int) -> tuple[DataFrame, DataFrame]:
+def unified_rates(minima: DataFrame, cfg: MonitorConfig, reps: int = REPS) -> tuple[DataFrame, DataFrame]:
     """Every scenario's calibration block resampled, lowest threshold taken, then tested.
 
     Returns the replicate rates and which scenario bound the threshold.
@@ -153,7 +173,8 @@ def unified_rates(minima: DataFrame, cfg: MonitorConfig, reps: int) -> tuple[Dat
     thr = replicate_thresholds(minima.where(is_cal), w.where(is_cal).drop("path_set"), cell, ranks)
     uni = thr.groupBy("rep", "method", "far_target").agg(
         F.min("threshold").alias("threshold"), F.min_by("scenario", F.struct("threshold", "scenario")).alias("binding"))
-    j = minima.where(~is_cal).join(w.where(~is_cal), ["path_set", *cell, "entity"]).join(uni, ["rep", "method"])
+    keys = ["path_set", *cell]
+    j = unpacked(packed(minima.where(~is_cal), keys, "min_stat"), w.where(~is_cal), keys).join(small(uni), ["rep", "method"])
     hit = F.when(F.col("min_stat") < F.col("threshold"), F.col("w")).otherwise(0)
     rates = j.groupBy(*cell, "path_set", "rep", "method", "far_target").agg((F.sum(hit) / F.sum("w")).alias("rate"))
     return rates, uni

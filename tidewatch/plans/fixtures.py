@@ -55,21 +55,22 @@ def failing_supplier(spark: SparkSession, sf_dir: str, cfg: MonitorConfig = SUPP
     return drift_overlay(base, cfg)
 
 
-def panel_user(spark: SparkSession, sf_dir: str, cfg: MonitorConfig = USER) -> DataFrame:
-    """Short panel with event flags, cut at the monitoring horizon.
+def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per user and calendar day over all events: mean return, number of error events."""
+    ev = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("date").alias("date"), "event_type", "value")
+    daily = ev.groupBy("user_id", "date").agg(F.avg("value").alias("v"), F.count_if(F.col("event_type") == "error").alias("e"))
+    return daily.select(F.lit("all").alias("scenario"), role_of(F.col("user_id")).alias("path_set"), F.col("user_id").alias("entity"), "date",
+                        ((F.col("v") / 50.0 - 1.0) * F.lit(USER.sigma_daily)).alias("ret"), F.col("e").cast("int").alias("event_count"))
 
-    `row_number() <= H` lets Spark keep only the first H rows of a user on each
-    map task before the shuffle, so one user holding a third of the events does
-    not become one large partition.
+
+def panel_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short panel with event flags: all days of every user, numbered.
+
+    The day-level aggregation is combined map-side, so a user holding a third of the
+    events is reduced to at most one row per day and task before anything is shuffled.
     """
-    ev = table(spark, sf_dir, "events").select(
-        F.lit("all").alias("scenario"), role_of(F.col("user_id")).alias("path_set"),
-        F.col("user_id").alias("entity"), "ts", "event_id", "event_type", "value")
-    w = Window.partitionBy(*KEYS).orderBy("ts", "event_id")
-    d = ev.withColumn("day", F.row_number().over(w)).where(F.col("day") <= cfg.horizon)
-    return d.select(*KEYS, "day",
-                    ((F.col("value") / 50.0 - 1.0) * F.lit(cfg.sigma_daily)).alias("ret"),
-                    (F.col("event_type") == "error").cast("int").alias("event_count"))
+    w = Window.partitionBy(*KEYS).orderBy("date")
+    return user_days(spark, sf_dir).select(*KEYS, F.row_number().over(w).alias("day"), "date", "ret", "event_count")
 
 
 SHIFT_DAYS = 8036  # 1,148 weeks: keeps weekdays and lands inside both calendars
@@ -137,14 +138,13 @@ panel AS MATERIALIZED (
 
 SQL_USER = f"""
 panel AS MATERIALIZED (
-  SELECT * FROM (
-    SELECT 'all' AS scenario,
-           CASE user_id % 3 WHEN 0 THEN 'calibration_valid' WHEN 1 THEN 'test_valid' ELSE 'test_invalid' END AS path_set,
-           user_id AS entity,
-           CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS day,
-           (value / 50.0 - 1.0) * {USER.sigma_daily!r} AS ret,
-           CAST(event_type = 'error' AS INTEGER) AS event_count
-    FROM events) WHERE day <= {USER.horizon})"""
+  SELECT 'all' AS scenario,
+         CASE user_id % 3 WHEN 0 THEN 'calibration_valid' WHEN 1 THEN 'test_valid' ELSE 'test_invalid' END AS path_set,
+         user_id AS entity,
+         CAST(row_number() OVER (PARTITION BY user_id ORDER BY date) AS INTEGER) AS day, date,
+         (v / 50.0 - 1.0) * {USER.sigma_daily!r} AS ret, e AS event_count
+  FROM (SELECT user_id, CAST(ts AS DATE) AS date, avg(value) AS v, CAST(count(*) FILTER (WHERE event_type = 'error') AS INTEGER) AS e
+        FROM events GROUP BY 1, 2))"""
 
 SQL_LEVEL = f"""
 level AS MATERIALIZED (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import SUPPLIER as CFG
 from tidewatch.functions.expr import r
-from tidewatch.functions.small import freeze
+from tidewatch.functions.small import small
 from tidewatch.operators import calibrate as cal
 from tidewatch.operators import evidence as ev
 from tidewatch.operators import passage as pa
@@ -27,7 +27,7 @@ SQL_FP = SQL_THR + sg.first_passage(CFG)
 
 def lows(spark, sf, methods=M):
     """Ledger of new lows: a compact stage table everything after it reads."""
-    return handoff(spark, ("lows", sf, tuple(methods)),
+    return handoff(spark, ("lows", sf, tuple(methods), CFG),
                    lambda: ev.record_lows(fx.panel_supplier(spark, sf), methods, CFG))
 
 
@@ -216,7 +216,7 @@ SELECT a.arm, a.scenario, a.method, a.far_target, {sg.rnd('a.threshold', 7)} AS
 FROM arms a JOIN minima m ON m.scenario = a.scenario AND m.method = a.method GROUP BY ALL""")
 def transfer_vs_own_arms(spark, sf):
     lw = lows(spark, sf)
-    thr = freeze(cal.thresholds(cal.path_minima(lw), CFG, ["scenario", "method"]))
+    thr = small(cal.thresholds(cal.path_minima(lw), CFG, ["scenario", "method"]))
     own = thr.select(F.lit("own").alias("arm"), "scenario", "method", "far_target", "threshold")
     scen = F.explode(F.array(F.lit("even"), F.lit("odd")))
     transfer = thr.where(F.col("scenario") == "even").select(

@@ -6,8 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewatch.config import SUPPLIER as CFG
-from tidewatch.functions.ranking import dense_rank_rows
-from tidewatch.functions.small import freeze
+from tidewatch.functions.small import small
 from tidewatch.operators import calibrate as cal
 from tidewatch.operators import contrast as ct
 from tidewatch.operators import diagnostics as dg
@@ -19,14 +18,15 @@ from tidewatch.plans.catalog import query
 from tidewatch.sources.tables import handoff
 
 rr, rsel = qd.rr, qd.rsel
-HALF = 220
+#: the second period starts here; every day of the panel is in one of the two
+SPLIT = "1998-07-01"
 IDS = ["period", "scenario", "candidate", "entity"]
 CELL = ["period", "scenario", "candidate"]
 OBS = ["period", "scenario"]
 NAMES = dg.statistic_names()
 PERIODS = ("P1", "P2")
 
-SQL_L = f"""WITH {qd.SQL_P}, pan2 AS MATERIALIZED (SELECT CASE WHEN day <= {HALF} THEN 'P1' ELSE 'P2' END AS period, scenario, candidate, entity, CAST((day - 1) % {HALF} + 1 AS INTEGER) AS day, ret FROM pan),
+SQL_L = f"""WITH {qd.SQL_P}, pan2 AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY period, entity ORDER BY date) AS INTEGER) AS day FROM (SELECT CASE WHEN date < DATE '{SPLIT}' THEN 'P1' ELSE 'P2' END AS period, scenario, candidate, entity, date, ret FROM pan)),
 {qd.ms('pan2', 'period, scenario, candidate, entity', 'day')}{qd.path_stats_sql('period, scenario, candidate, entity', base='pan2')},
 lg AS MATERIALIZED ({qd._unp('ps', NAMES, 'period, scenario, candidate, entity')}),
 ob AS MATERIALIZED (SELECT period, scenario, statistic, arg_min(value, entity) AS value FROM lg GROUP BY period, scenario, statistic)"""
@@ -42,12 +42,17 @@ lt AS (SELECT tv.*, rt.real, sc.scale, power((target - real) / scale, 2) AS term
 ls AS MATERIALIZED (SELECT *, 0.5 * rv21_component + 0.5 * acf_abs_component AS loss FROM (SELECT period, scenario, candidate, avg(term) FILTER (WHERE statistic IN {_RVT}) AS rv21_component, avg(term) FILTER (WHERE statistic NOT IN {_RVT}) AS acf_abs_component FROM lt GROUP BY period, scenario, candidate))"""
 
 
+def periods(spark, sf):
+    """Every day of the panel with its period."""
+    return qd.panel(spark, sf).select(F.when(F.col("date") < F.to_date(F.lit(SPLIT)), "P1").otherwise("P2").alias("period"),
+                                      "scenario", "candidate", "entity", "date", "ret")
+
+
 def stats(spark, sf):
-    """Path statistics of every entity in each half of the panel."""
-    p = qd.panel(spark, sf)
-    p = p.select(F.when(F.col("day") <= HALF, "P1").otherwise("P2").alias("period"), "scenario", "candidate", "entity",
-                 ((F.col("day") - 1) % HALF + 1).alias("day"), "ret")
-    return handoff(spark, ("path_statistics", sf), lambda: dg.path_statistics(p, IDS))
+    """Path statistics of every entity in each period of the panel."""
+    p = periods(spark, sf)
+    p = p.withColumn("day", F.row_number().over(Window.partitionBy(*IDS).orderBy("date")))
+    return handoff(spark, ("path_statistics", sf, SPLIT, CFG), lambda: dg.path_statistics(p, IDS))
 
 
 def long(spark, sf, names=NAMES):
@@ -62,8 +67,8 @@ def observed(lg):
 def _loss_parts(spark, sf):
     lg = long(spark, sf, ct.TARGETS)
     tv = ct.target_values(lg, CELL)
-    sc = freeze(ct.standardising_scales(lg.where(F.col("candidate") == 0), OBS))
-    return lg, tv, freeze(ct.observed_targets(observed(lg), OBS)), sc
+    sc = small(ct.standardising_scales(lg.where(F.col("candidate") == 0), OBS))
+    return lg, tv, small(ct.observed_targets(observed(lg), OBS)), sc
 
 
 def losses(spark, sf):
@@ -74,7 +79,7 @@ def losses(spark, sf):
 @query("target_values", f"{SQL_T} SELECT period, scenario, candidate, statistic, {sg.rnd('target', 7)} AS target, {sg.rnd('real', 7)} AS real FROM lt")
 def target_values(spark, sf):
     lg = long(spark, sf, ct.TARGETS)
-    return rr(ct.target_values(lg, CELL).join(freeze(ct.observed_targets(observed(lg), OBS)), [*OBS, "statistic"]))
+    return rr(ct.target_values(lg, CELL).join(small(ct.observed_targets(observed(lg), OBS)), [*OBS, "statistic"]))
 
 
 @query("standardising_scales", f"{SQL_T} SELECT period, scenario, statistic, {sg.rnd('scale', 7)} AS scale, floored FROM sc")
@@ -107,7 +112,7 @@ _SM = ["sim_median", "sim_lo", "sim_hi", "sim_median_mc_se"]
 
 def ranges(spark, sf):
     lg = long(spark, sf)
-    return ct.inside_range(ct.summarise(lg, CELL), freeze(observed(lg)), OBS)
+    return ct.inside_range(ct.summarise(lg, CELL), small(observed(lg)), OBS)
 
 
 @query("summarise_ensemble", f"{SQL_L}, {_summary_sql()} SELECT period, scenario, candidate, statistic, n_paths, {rsel(_SM)} FROM sm")
@@ -120,12 +125,14 @@ def inside_range(spark, sf):
     return rr(ranges(spark, sf))
 
 
-_RK4 = "row_number() OVER (PARTITION BY period, entity ORDER BY z)"
-SQL_CT = f"""{SQL_L}, zz AS MATERIALIZED (SELECT period, scenario, candidate, entity, z, {_RK4} AS rk FROM mz),
-oe AS (SELECT scenario, min(entity) AS entity FROM pan GROUP BY scenario),
-wo AS (SELECT a.period, a.scenario, a.candidate, a.entity, '{ct.W1_OBS}' AS statistic, avg(abs(a.z - b.z)) AS value FROM zz a JOIN oe ON oe.scenario = a.scenario JOIN zz b ON b.entity = oe.entity AND b.period = a.period AND b.rk = a.rk GROUP BY a.period, a.scenario, a.candidate, a.entity),
+SQL_CT = f"""{SQL_L}, oe AS (SELECT scenario, min(entity) AS entity FROM pan GROUP BY scenario),
+zo AS (SELECT period, scenario, z FROM mz JOIN oe USING (scenario, entity)),
+wo AS (SELECT period, scenario, candidate, entity, '{ct.W1_OBS}' AS statistic, w1 AS value FROM ({qd.w1_sql("""SELECT period, scenario, candidate, entity, z AS x, 1 AS a, 0 AS b FROM mz
+  UNION ALL SELECT p.period, p.scenario, p.candidate, p.entity, zo.z, 0, 1 FROM (SELECT DISTINCT period, scenario, candidate, entity FROM mz) p JOIN zo USING (period, scenario)""", 'period, scenario, candidate, entity')})),
 ix AS (SELECT scenario, candidate, entity, row_number() OVER (PARTITION BY scenario, candidate ORDER BY entity) AS i, count(*) OVER (PARTITION BY scenario, candidate) // 2 AS h FROM (SELECT DISTINCT scenario, candidate, entity FROM pan)),
-wr AS (SELECT a.period, a.scenario, a.candidate, a.entity, '{ct.W1_REF}' AS statistic, avg(abs(a.z - b.z)) AS value FROM zz a JOIN ix x ON x.entity = a.entity JOIN ix y ON y.scenario = x.scenario AND y.candidate = x.candidate AND y.i = x.i + x.h JOIN zz b ON b.entity = y.entity AND b.period = a.period AND b.rk = a.rk WHERE x.i <= x.h GROUP BY a.period, a.scenario, a.candidate, a.entity),
+pr AS (SELECT x.scenario, x.candidate, x.entity, y.entity AS entity_b FROM ix x JOIN ix y ON y.scenario = x.scenario AND y.candidate = x.candidate AND y.i = x.i + x.h WHERE x.i <= x.h),
+wr AS (SELECT period, scenario, candidate, entity, '{ct.W1_REF}' AS statistic, w1 AS value FROM ({qd.w1_sql("""SELECT mz.period, mz.scenario, mz.candidate, mz.entity, z AS x, 1 AS a, 0 AS b FROM mz JOIN pr USING (scenario, candidate, entity)
+  UNION ALL SELECT mz.period, mz.scenario, mz.candidate, pr.entity, z, 0, 1 FROM mz JOIN pr ON pr.scenario = mz.scenario AND pr.candidate = mz.candidate AND pr.entity_b = mz.entity""", 'period, scenario, candidate, entity')}) WHERE w1 IS NOT NULL),
 sh AS ({' UNION ALL '.join(f"SELECT period, scenario, candidate, entity, 'rv21_q{q}_over_sd' AS statistic, rv21_q{q} / (sd_daily * sqrt(252)) AS value FROM ps" for q in (10, 50, 90))}),
 la AS MATERIALIZED (SELECT * FROM lg UNION ALL SELECT * FROM sh UNION ALL SELECT * FROM wo UNION ALL SELECT * FROM wr), {_summary_sql('la')},
 ob2 AS (SELECT period, scenario, statistic, arg_min(value, entity) AS value FROM (SELECT * FROM lg UNION ALL SELECT * FROM sh) GROUP BY period, scenario, statistic),
@@ -138,24 +145,20 @@ def contrast_table(spark, sf):
     shape = dg.rv_shape_ratio(st)
     shaped = NAMES + [f"rv21_q{q}_over_sd" for q in (10, 50, 90)]
     lg = dg.stats_long(shape, IDS, shaped)
-    p = qd.panel(spark, sf).select(F.when(F.col("day") <= HALF, "P1").otherwise("P2").alias("period"), "scenario", "candidate", "entity", "ret")
-    z = dg.standardise(p, IDS)
-    rank = F.row_number().over(Window.partitionBy(*IDS).orderBy("z")).alias("rank")
-    z = z.select(*IDS, "z", rank)
+    p = periods(spark, sf)
+    z = dg.standardise(p, IDS).select(*IDS, "z")
     ent = p.select("scenario", "candidate", "entity").distinct()
-    first = freeze(ent.groupBy("scenario").agg(F.min("entity").alias("entity")))
-    obs_z = z.join(first, ["scenario", "entity"]).select("period", "scenario", "rank", F.col("z").alias("zo"))
-    w_obs = z.join(obs_z, ["period", "scenario", "rank"]).groupBy(*IDS).agg(F.avg(F.abs(F.col("z") - F.col("zo"))).alias("value"))
-    idx = dense_rank_rows(ent, ["scenario", "candidate"], "entity", name="idx")
-    half = F.floor(F.col("idx_n") / 2)
+    # the observed series has a row per day, period and scenario; every entity is compared with it
+    first = small(ent.groupBy("scenario").agg(F.min("entity").alias("entity")))
+    obs_z = small(z.join(first, ["scenario", "entity"]).select(*OBS, "z"))
+    w_obs = dg.wasserstein1(z, p.select(*IDS).distinct().join(obs_z, OBS), IDS)
+    pairs = dg.half_pairs(ent, ["scenario", "candidate"]).drop("pair")
     g = ["scenario", "candidate"]
-    a = idx.where(F.col("idx") <= half).select(*g, F.col("idx").alias("pair"), "entity")
-    b = idx.where((F.col("idx") > half) & (F.col("idx") <= 2 * half)).select(*g, (F.col("idx") - half).alias("pair"), F.col("entity").alias("entity_b"))
-    pairs = a.join(b, [*g, "pair"])
-    zb = z.select("period", *g, F.col("entity").alias("entity_b"), "rank", F.col("z").alias("zb"))
-    w_ref = z.join(pairs, [*g, "entity"]).join(zb, ["period", *g, "entity_b", "rank"]).groupBy(*IDS).agg(F.avg(F.abs(F.col("z") - F.col("zb"))).alias("value"))
+    zb = z.withColumnRenamed("entity", "entity_b").join(pairs, [*g, "entity_b"])
+    w_ref = dg.wasserstein1(z.join(pairs, [*g, "entity"]), zb, IDS)
+    w_obs, w_ref = (w.select(*IDS, F.col("w1").alias("value")) for w in (w_obs, w_ref))
     full = lg.unionByName(w_obs.withColumn("statistic", F.lit(ct.W1_OBS))).unionByName(w_ref.withColumn("statistic", F.lit(ct.W1_REF)))
-    c = ct.inside_range(ct.summarise(full, CELL), freeze(observed(lg)), OBS)
+    c = ct.inside_range(ct.summarise(full, CELL), small(observed(lg)), OBS)
     return c.withColumn("comparison", ct.comparison_type(F.col("statistic")))
 
 
@@ -172,7 +175,7 @@ _GRP = "CASE " + " ".join(f"WHEN statistic IN ({', '.join(repr(s) for s in v)})
 
 @query("gap_overview", f"""{SQL_CT}, g AS (SELECT *, {_GRP} AS grp FROM ir)
 SELECT period, scenario, candidate, grp AS "group", count(*) AS statistics, count(*) FILTER (WHERE inside) AS n_inside, {sg.rnd('count(*) FILTER (WHERE inside) / count(*)')} AS coverage, CAST(NULL AS DOUBLE) AS w1_ratio FROM g WHERE grp IS NOT NULL GROUP BY period, scenario, candidate, grp
-UNION ALL SELECT period, scenario, candidate, 'W1 / sim-sim reference', 1, NULL, NULL, {sg.rnd(f"max(CASE WHEN statistic = '{ct.W1_OBS}' THEN sim_median END) / max(CASE WHEN statistic = '{ct.W1_REF}' THEN sim_median END)")} FROM ir WHERE statistic LIKE 'w1_%' GROUP BY period, scenario, candidate""")
+UNION ALL SELECT period, scenario, candidate, 'distance / own reference', 1, NULL, NULL, {sg.rnd(f"max(CASE WHEN statistic = '{ct.W1_OBS}' THEN sim_median END) / max(CASE WHEN statistic = '{ct.W1_REF}' THEN sim_median END)")} FROM ir WHERE statistic LIKE 'w1_%' GROUP BY period, scenario, candidate""")
 def gap_overview(spark, sf):
     return rr(ct.gap_overview(contrast_table(spark, sf), CELL), 9)
 
@@ -204,7 +207,7 @@ def select_candidate(spark, sf):
 @query("walk_forward_results", f"""{SQL_T}, {_SEL}, ru AS (SELECT l.period, l.scenario, CASE WHEN s.period = l.period THEN 'same_period' ELSE 'other_period' END AS rule, l.loss AS rec, l.candidate FROM sel s JOIN ls l ON l.scenario = s.scenario AND l.candidate = s.selected)
 SELECT r.period, r.scenario, r.rule, r.candidate AS selected, {sg.rnd('r.rec', 5)} AS recalibrated, {sg.rnd('b.loss', 5)} AS fixed_baseline, {sg.rnd('r.rec - b.loss', 5)} AS loss_difference, r.rec - b.loss < 0 AS recalibration_helped FROM ru r JOIN ls b ON b.period = r.period AND b.scenario = r.scenario AND b.candidate = 0""")
 def walk_forward_results(spark, sf):
-    lo = freeze(losses(spark, sf).select(*CELL, "loss"))
+    lo = small(losses(spark, sf).select(*CELL, "loss"))
     sel = _selected(lo).select("scenario", F.col("period").alias("_from"), "selected")
     rule = F.when(F.col("_from") == F.col("period"), "same_period").otherwise("other_period").alias("rule")
     rec = lo.join(sel, "scenario").where(F.col("candidate") == F.col("selected")).select(*OBS, rule, "selected", F.lit("recalibrated").alias("method"), "loss")
@@ -237,7 +240,7 @@ SELECT period, scenario, candidate, count(*) AS n_pairs, {sg.rnd('avg(dy) - 0.5
 def energy_score(spark, sf):
     lg, _, _, sc = _loss_parts(spark, sf)
     v = ct.stat_vectors(lg, sc.drop("floored"), OBS, IDS)
-    obs = freeze(v.groupBy(*OBS).agg(F.min_by("v", "entity").alias("v")))
+    obs = small(v.groupBy(*OBS).agg(F.min_by("v", "entity").alias("v")))
     return rr(ct.energy_score(v, obs, CELL, OBS), 6)
 
 
@@ -252,7 +255,7 @@ rec AS MATERIALIZED (SELECT period, scenario, truth, entity, arg_min(candidate,
 def recovery(spark, sf):
     lg, tv, _, sc = _loss_parts(spark, sf)
     hist = ct.observed_targets(lg.withColumnRenamed("candidate", "truth"), ["period", "scenario", "truth", "entity"])
-    terms = hist.join(freeze(tv), [*OBS, "statistic"]).join(sc.drop("floored"), [*OBS, "statistic"]).withColumn(
+    terms = hist.join(small(tv), [*OBS, "statistic"]).join(sc.drop("floored"), [*OBS, "statistic"]).withColumn(
         "term", F.pow((F.col("target") - F.col("real")) / F.col("scale"), F.lit(2.0)))
     k = ["period", "scenario", "truth", "entity"]
     lo = ct.loss(terms, [*k, "candidate"])
@@ -289,7 +292,7 @@ def heldout_diagnostics(spark, sf):
         ("selected", F.col("selected")), ("fixed_baseline", F.lit(0)), ("true_shape", F.col("truth")))]))
     v = rec.select("period", "scenario", "entity", ver.alias("_v")).select("period", "scenario", "entity", "_v.*")
     real = lg.select("period", "scenario", "entity", "statistic", F.col("value").alias("real")).where(F.col("real").isNotNull())
-    h = v.join(real, ["period", "scenario", "entity"]).join(freeze(ct.summarise(lg, CELL)), [*CELL, "statistic"])
+    h = v.join(real, ["period", "scenario", "entity"]).join(small(ct.summarise(lg, CELL)), [*CELL, "statistic"])
     return rr(ct.heldout(h, ["scenario", "statistic", "version"]))
 
 

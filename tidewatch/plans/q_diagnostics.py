@@ -15,16 +15,21 @@ from tidewatch.plans import sqlgen as sg
 from tidewatch.plans.catalog import query
 
 E = ["entity"]
-DAYS = 440
 
 
 def panel(spark, sf):
-    """The full panel with its candidate number, cut at a common length."""
-    p = fx.panel_supplier(spark, sf).where(F.col("day") <= DAYS)
+    """The full panel with its candidate number."""
+    p = fx.panel_supplier(spark, sf)
     return p.select(F.col("entity").alias("entity"), (F.col("entity") % 5).cast("int").alias("candidate"), "scenario", "day", "date", "ret")
 
 
-SQL_P = f"{fx.SQL_PANEL}, pan AS MATERIALIZED (SELECT entity, CAST(entity % 5 AS INTEGER) AS candidate, scenario, day, date, ret FROM panel WHERE day <= {DAYS})"
+SQL_P = f"{fx.SQL_PANEL}, pan AS MATERIALIZED (SELECT entity, CAST(entity % 5 AS INTEGER) AS candidate, scenario, day, date, ret FROM panel)"
+
+
+def w1_sql(src: str, keys: str) -> str:
+    """Area between two distribution functions; `src` has the keys, x, and a or b = 1 by sample."""
+    return f"""SELECT {keys}, CAST(sum(a) AS BIGINT) AS n, sum(abs(fa / na - fb / nb) * (nx - x)) AS w1 FROM (SELECT *, sum(a) OVER w AS fa, sum(b) OVER w AS fb, sum(a) OVER (PARTITION BY {keys}) AS na,
+  sum(b) OVER (PARTITION BY {keys}) AS nb, lead(x) OVER (PARTITION BY {keys} ORDER BY x) AS nx FROM ({src}) WINDOW w AS (PARTITION BY {keys} ORDER BY x ROWS UNBOUNDED PRECEDING)) GROUP BY {keys}"""
 
 
 def rr(df, digits=7, skip=()):
@@ -162,12 +167,8 @@ def max_exceedances_in_window(spark, sf):
     return dg.max_exceedances(panel(spark, sf), E)
 
 
-_RK = "row_number() OVER (PARTITION BY entity ORDER BY z)"
-
-
-@query("wasserstein1", f"""WITH {SQL_P}, {ms('pan', 'entity', 'day')}, k AS (SELECT entity, z, {_RK} AS rk FROM mz),
-f AS (SELECT entity, z, {_RK} AS rk FROM (SELECT entity, -z AS z FROM mz))
-SELECT entity, count(*) AS n, {sg.rnd('avg(abs(k.z - f.z))', 7)} AS w1 FROM k JOIN f USING (entity, rk) GROUP BY entity""")
+@query("wasserstein1", f"""WITH {SQL_P}, {ms('pan', 'entity', 'day')}
+SELECT entity, n, {sg.rnd('w1', 7)} AS w1 FROM ({w1_sql('SELECT entity, z AS x, 1 AS a, 0 AS b FROM mz UNION ALL SELECT entity, -z, 0, 1 FROM mz', 'entity')})""")
 def wasserstein1(spark, sf):
     """Distance between each standardised series and its mirror image."""
     z = dg.standardise(panel(spark, sf), E).select("entity", "z")
@@ -226,7 +227,7 @@ def subperiod_table(spark, sf):
 SELECT asset, count(*) AS n_days, {sg.rnd('quantile_cont(value, 0.1)', 4)} AS level_p10, {sg.rnd('quantile_cont(value, 0.5)', 4)} AS level_median, {sg.rnd('quantile_cont(value, 0.9)', 4)} AS level_p90, {sg.rnd('min(value)', 4)} AS level_min, {sg.rnd('max(value)', 4)} AS level_max,
   count(*) FILTER (WHERE value < 0) AS n_negative, {sg.rnd('stddev_samp(d)', 4)} AS change_sd, {sg.rnd('quantile_cont(d, 0.01)', 4)} AS change_p01, {sg.rnd('quantile_cont(d, 0.99)', 4)} AS change_p99 FROM d GROUP BY asset""")
 def market_state_summary(spark, sf):
-    lv = rt.period_slice(qr.level(spark, sf), qr.START, qr.END).join(rt.freeze(fx.registry(spark).select("asset", "units")), "asset")
+    lv = rt.period_slice(qr.level(spark, sf), qr.START, qr.END).join(rt.small(fx.registry(spark).select("asset", "units")), "asset")
     return rr(dg.market_state_summary(lv, ["asset"], F.when(F.col("units") == "percent", 100.0).otherwise(1.0)), 4)
 
 
@@ -254,14 +255,13 @@ def rv_shape_ratio(spark, sf):
 
 
 SQL_HALF = f"""ix AS (SELECT scenario, entity, row_number() OVER (PARTITION BY scenario ORDER BY entity) AS i, count(*) OVER (PARTITION BY scenario) // 2 AS h FROM (SELECT DISTINCT scenario, entity FROM pan)),
-rk AS (SELECT scenario, entity, z, {_RK} AS rk FROM mz),
-w1h AS MATERIALIZED (SELECT a.scenario, a.i AS pair, avg(abs(x.z - y.z)) AS w1, count(*) AS n FROM ix a JOIN ix b ON b.scenario = a.scenario AND b.i = a.i + a.h JOIN rk x ON x.entity = a.entity JOIN rk y ON y.entity = b.entity AND y.rk = x.rk WHERE a.i <= a.h GROUP BY a.scenario, a.i)"""
+w1h AS MATERIALIZED ({w1_sql("""SELECT mz.scenario, CASE WHEN i <= h THEN i ELSE i - h END AS pair, z AS x, CAST(i <= h AS INTEGER) AS a, CAST(i > h AS INTEGER) AS b FROM mz JOIN ix USING (scenario, entity) WHERE i <= 2 * h""", 'scenario, pair')})"""
 
 
 def half_reference(spark, sf):
     p = panel(spark, sf)
     z = dg.standardise(p, ["scenario", "entity"]).select("scenario", "entity", "day", "z")
-    return dg.paired_half_reference(z, p.select("scenario", "entity").distinct(), DAYS, ["scenario"])
+    return dg.paired_half_reference(z, p.select("scenario", "entity").distinct(), ["scenario"])
 
 
 @query("paired_half_reference", f"WITH {SQL_P}, {ms('pan', 'entity', 'day')}, {SQL_HALF} SELECT scenario, CAST(pair AS BIGINT) AS pair, n, {sg.rnd('w1', 7)} AS w1 FROM w1h")
@@ -291,8 +291,8 @@ def scale_invariance_classes(spark, sf):
     return c.select("statistic", "scale_class").join(n, "statistic")
 
 
-@query("reference_overlap", f"""WITH {SQL_P}, {ms('pan', 'entity', 'day')}, {SQL_HALF}, mir AS (SELECT entity, z, {_RK} AS rk FROM (SELECT entity, -z AS z FROM mz)),
-ob AS MATERIALIZED (SELECT x.scenario, x.entity, avg(abs(x.z - f.z)) AS w1 FROM rk x JOIN mir f USING (entity, rk) GROUP BY x.scenario, x.entity),
+@query("reference_overlap", f"""WITH {SQL_P}, {ms('pan', 'entity', 'day')}, {SQL_HALF},
+ob AS MATERIALIZED ({w1_sql('SELECT scenario, entity, z AS x, 1 AS a, 0 AS b FROM mz UNION ALL SELECT scenario, entity, -z, 0, 1 FROM mz', 'scenario, entity')}),
 rq AS (SELECT scenario, count(*) AS n_reference, {', '.join(f'quantile_cont(w1, {p}) AS reference_{n}' for n, p in (('p05', .05), ('p50', .5), ('p95', .95)))}, min(w1) AS reference_min, max(w1) AS reference_max FROM w1h GROUP BY scenario),
 oq AS (SELECT scenario, count(*) AS n_observed, {', '.join(f'quantile_cont(w1, {p}) AS observed_{n}' for n, p in (('p05', .05), ('p50', .5), ('p95', .95)))} FROM ob GROUP BY scenario),
 sh AS (SELECT ob.scenario, avg(CAST(ob.w1 < rq.reference_p95 AS DOUBLE)) AS share_below_reference_p95 FROM ob JOIN rq USING (scenario) GROUP BY ob.scenario)

@@ -10,7 +10,7 @@ from tidewatch.config import SUPPLIER as CFG
 from tidewatch.config import USER
 from tidewatch.functions.expr import excludes_zero, r
 from tidewatch.functions.ranking import quantiles
-from tidewatch.functions.small import freeze
+from tidewatch.functions.small import small
 from tidewatch.operators import calibrate as cal
 from tidewatch.operators import evidence as ev
 from tidewatch.operators import passage as pa
@@ -33,7 +33,7 @@ NOT_CAL = "path_set <> 'calibration_valid'"
 def passages(spark, sf, methods=M):
     """First passage of the test roles under thresholds frozen on the calibration role."""
     lw = qc.lows(spark, sf, methods)
-    thr = freeze(cal.thresholds(cal.path_minima(lw), CFG))
+    thr = small(cal.thresholds(cal.path_minima(lw), CFG))
     return pa.first_passage(lw.where(F.col("path_set") != cal.CALIBRATION), thr, ["method"])
 
 
@@ -148,7 +148,7 @@ SQL_FP_S = qc.SQL_THR_S + sg.first_passage(CFG, "scenario, method")
 @query("metric_row_by_scenario", f"{SQL_FP_S}{_metric_sql('scenario, method, far_target')}")
 def metric_row_by_scenario(spark, sf):
     lw = qc.lows(spark, sf)
-    thr = freeze(cal.thresholds(cal.path_minima(lw), CFG, ["scenario", "method"]))
+    thr = small(cal.thresholds(cal.path_minima(lw), CFG, ["scenario", "method"]))
     fp = pa.first_passage(lw.where(F.col("path_set") != cal.CALIBRATION), thr, ["scenario", "method"])
     return _metric_round(pa.metric_rows(fp, ["scenario", "method", "far_target"], CFG))
 
@@ -225,7 +225,7 @@ def brier_reliability(spark, sf):
 # --- paired comparisons ------------------------------------------------------------
 
 def _pairs(spark, reference="binary_gaussian"):
-    return freeze(spark.createDataFrame([(reference, m) for m in M if m != reference], "method_a string, method_b string"))
+    return small(spark.createDataFrame([(reference, m) for m in M if m != reference], "method_a string, method_b string"))
 
 
 _SQLP = f"""{SQL_FP},
@@ -272,7 +272,7 @@ def paired_truncated_time(spark, sf):
 # --- horizons ------------------------------------------------------------------------
 
 def _horizon_thr(lw):
-    return freeze(cal.thresholds(cal.prefix_minima(lw, qc.HORIZONS), CFG, ["method", "horizon"]))
+    return small(cal.thresholds(cal.prefix_minima(lw, qc.HORIZONS), CFG, ["method", "horizon"]))
 
 
 _SQLH = f"""{qc.SQL_PREFIX},
@@ -317,8 +317,8 @@ SQL_USER = (f"WITH {fx.SQL_USER}{sg.statistics(USER, M)}{sg.long_stats(M)}{sg.mi
 
 
 def user_passages(spark, sf):
-    lw = handoff(spark, ("user_lows", sf), lambda: ev.record_lows(fx.panel_user(spark, sf), M, USER))
-    thr = freeze(cal.thresholds(cal.path_minima(lw), USER))
+    lw = handoff(spark, ("user_lows", sf, M, USER), lambda: ev.record_lows(fx.panel_user(spark, sf), M, USER))
+    thr = small(cal.thresholds(cal.path_minima(lw), USER))
     return pa.first_passage(lw.where(F.col("path_set") != cal.CALIBRATION), thr, ["method"])
 
 
@@ -385,8 +385,8 @@ SQL_FAIL = (f"{_BASE}, {fx.SQL_FAILING[fx.SQL_FAILING.index('panel AS'):]}"
 
 def failing_passages(spark, sf):
     """Every entity failing at its own day, scored under always-valid thresholds."""
-    thr = freeze(cal.thresholds(qc.minima(spark, sf), CFG))
-    lw = handoff(spark, ("failing_lows", sf), lambda: ev.record_lows(fx.failing_supplier(spark, sf), M, CFG))
+    thr = small(cal.thresholds(qc.minima(spark, sf), CFG))
+    lw = handoff(spark, ("failing_lows", sf, M, CFG), lambda: ev.record_lows(fx.failing_supplier(spark, sf), M, CFG))
     fp = pa.first_passage(lw, thr, ["method"])
     return fp.withColumn("t_last_valid", (F.col("entity") * 37 % 253).cast("int"))
 
@@ -493,7 +493,7 @@ b(far_target, day, bound) AS (VALUES {', '.join(f'({a}::DOUBLE, {d}, {x}::DOUBLE
 SELECT method, far_target, day, {sg.rnd('observed')} AS observed, {sg.rnd('bound')} AS bound, {sg.rnd('bound - observed')} AS gap, {sg.rnd('observed / bound')} AS fraction_of_bound, observed > bound AS violates FROM o JOIN b USING (far_target, day)""")
 def headroom_vs_bound(spark, sf):
     obs = pa.rates_at_days(passages(spark, sf).where(F.col("path_set") == "test_invalid"), ["method", "far_target"], [252, 440], CFG)
-    bound = freeze(spark.createDataFrame(list(BOUND_ROWS), "far_target double, day int, bound double"))
+    bound = small(spark.createDataFrame(list(BOUND_ROWS), "far_target double, day int, bound double"))
     t = pa.headroom(obs.withColumnRenamed("rate", "observed"), bound, ["far_target", "day"])
     return rr(t, ["method", "far_target", "day", "violates"], ["observed", "bound", "gap", "fraction_of_bound"])
 

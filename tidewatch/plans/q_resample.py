@@ -8,7 +8,7 @@ from tidewatch.config import SUPPLIER as CFG
 from tidewatch.config import USER
 from tidewatch.functions.expr import excludes_zero, ratio
 from tidewatch.functions.ranking import quantiles
-from tidewatch.functions.small import freeze
+from tidewatch.functions.small import small
 from tidewatch.operators import calibrate as cal
 from tidewatch.operators import contrast as ct
 from tidewatch.operators import evidence as ev
@@ -23,19 +23,25 @@ from tidewatch.plans import sqlgen as sg
 from tidewatch.plans.catalog import query
 from tidewatch.sources.tables import handoff
 
-REPS = 100
+#: replicates of the registered queries, a tenth of the protocol's (`resample.REPS`) to keep the SQL comparison short
+REPS = 200
 rr = qd.rr
 M6, GRID = ev.JVM_METHODS, ev.GRID_2X2
 
 
 def _weights_sql(src: str, cell: str = "path_set", salt: str = "CASE path_set WHEN 'calibration_valid' THEN 1 WHEN 'test_valid' THEN 2 ELSE 3 END") -> str:
     """CTE `wt`: multiplicities per (cell, rep, entity); rep -1 is the plain sample."""
-    m = rs.MOD
+    def word(k):
+        m, (r, d, t), (a, b, c, e, f, g) = rs.MOD[k], rs.STEPS[k], rs.MIX[k]
+        one = f"((rep * {r} + i * {d} + ({salt}) * {t}) % {m} * {a}) % {m}"
+        return one, f"(h{k} * (h{k} % {b}) + {c}) % {m}", f"(h{k} * {e}) % {m}", f"(h{k} * (h{k} % {f}) + {g}) % {m}"
+    steps = list(zip(word(0), word(1), strict=True))
+    chain = f"b1 AS (SELECT {cell}, n, rep, {steps[0][0]} AS h0, {steps[0][1]} AS h1 FROM bent, (SELECT unnest(range(0, {REPS})) AS rep) r)"
+    for k, (x, y) in enumerate(steps[1:], 2):
+        chain += f", b{k} AS (SELECT {cell}, n, rep, {x} AS h0, {y} AS h1 FROM b{k - 1})"
     return f""",
 bent AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {cell} ORDER BY entity) - 1 AS i, count(*) OVER (PARTITION BY {cell}) AS n FROM (SELECT DISTINCT {cell}, entity FROM {src})),
-b1 AS (SELECT {cell}, n, rep, (rep * {rs.REP_STEP} + i * {rs.DRAW_STEP} + ({salt}) * {rs.SALT_STEP}) % {m} AS a FROM bent, (SELECT unnest(range(0, {REPS})) AS rep) r),
-b2 AS (SELECT {cell}, n, rep, (a * 48271) % {m} AS h FROM b1), b3 AS (SELECT {cell}, n, rep, (h * (h % 65537) + 40014) % {m} AS h FROM b2),
-b4 AS (SELECT {cell}, n, rep, (h * 69621) % {m} AS h FROM b3), b5 AS (SELECT {cell}, rep, ((h * (h % 32749) + 12345) % {m}) % n AS i FROM b4),
+{chain}, b5 AS (SELECT {cell}, rep, (h0 * {rs.MOD[1]} + h1) % n AS i FROM b4),
 wt AS MATERIALIZED (SELECT {cell}, rep, entity, count(*) AS w FROM b5 JOIN bent USING ({cell}, i) GROUP BY {cell}, rep, entity UNION ALL SELECT {cell}, -1, entity, 1 FROM bent)"""
 
 
@@ -72,7 +78,7 @@ RULE = ["path_set", "far_target"]
 
 def rates(spark, sf, methods=M6):
     """Replicate rates, a stage table shared by the pair, budget and interaction contrasts."""
-    return handoff(spark, ("replicate_rates", sf, tuple(methods)),
+    return handoff(spark, ("replicate_rates", sf, tuple(methods), CFG, REPS),
                    lambda: rs.bootstrap_rates(qc.minima(spark, sf, methods).drop("scenario"), CFG, REPS))
 
 
@@ -116,7 +122,7 @@ def unified_bootstrap(spark, sf):
     out = rs.interval(rates_, ["scenario", "path_set", "method", "far_target"], "rate").drop("excludes_zero")
     sh = bind.where(F.col("rep") >= 0).groupBy("method", "far_target").agg(*[
         F.avg((F.col("binding") == s).cast("double")).alias(f"binding_share_{s}") for s in ("even", "odd")])
-    return rr(out.join(freeze(sh), ["method", "far_target"]), 9, skip=("far_target",))
+    return rr(out.join(small(sh), ["method", "far_target"]), 9, skip=("far_target",))
 
 
 INTERACTION = {
@@ -201,7 +207,7 @@ _UM = (f"WITH {fx.SQL_USER}{sg.statistics(USER, M6)}{sg.long_stats(M6)}, minima
 
 @query("mixture_bootstrap", f"{_UM}, {_wide_sql(M6, 'path_set, far_target')}, {_interval_sql(PAIRS, 'path_set, far_target', scale='100.0')}")
 def mixture_bootstrap(spark, sf):
-    lw = handoff(spark, ("user_lows", sf), lambda: ev.record_lows(fx.panel_user(spark, sf), M6, USER))
+    lw = handoff(spark, ("user_lows", sf, M6, USER), lambda: ev.record_lows(fx.panel_user(spark, sf), M6, USER))
     c = rs.contrasts(rs.bootstrap_rates(cal.path_minima(lw).drop("scenario"), USER, REPS), PAIRS, RULE).withColumn("value", F.col("value") * 100.0)
     return rr(rs.interval(c, [*RULE, "contrast"], "value"), 9, skip=("far_target",))
 

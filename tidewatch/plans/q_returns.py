@@ -10,7 +10,7 @@ from tidewatch.operators import returns as rt
 from tidewatch.plans import fixtures as fx
 from tidewatch.plans import sqlgen as sg
 from tidewatch.plans.catalog import query
-from tidewatch.sources.tables import table
+from tidewatch.sources.tables import handoff
 
 CAL_START, CAL_END = "2016-01-01", "2024-12-31"
 START, END = "2017-02-01", "2021-12-31"
@@ -46,8 +46,8 @@ _NYSE = [("New Year''s Day", _obs(_md(1, 1))), ("Martin Luther King Jr. Day", _n
          ("Juneteenth National Independence Day", f"CASE WHEN y >= 2022 THEN {_obs(_md(6, 19))} END"), ("Independence Day", _obs(_md(7, 4))),
          ("Labor Day", _nth(9, 0, 1)), ("Thanksgiving Day", _nth(11, 3, 4)), ("Christmas Day", _obs(_md(12, 25)))]
 _KEPT = "y NOT IN (2020, 2021)"
-_JPX = [("New Year (exchange closed)", _md(1, 1)), ("New Year (exchange closed)", _md(1, 2)), ("New Year (exchange closed)", _md(1, 3)),
-        ("Year end (exchange closed)", _md(12, 31)), ("Coming of Age Day", _nth(1, 0, 2)), ("National Foundation Day", _sun(_md(2, 11))),
+_JPX = [("January holiday, no session", _md(1, 1)), ("January holiday, no session", _md(1, 2)), ("January holiday, no session", _md(1, 3)),
+        ("December holiday, no session", _md(12, 31)), ("Coming of Age Day", _nth(1, 0, 2)), ("National Foundation Day", _sun(_md(2, 11))),
         ("Emperor''s Birthday", f"CASE WHEN y >= 2020 THEN {_sun(_md(2, 23))} END"), ("Emperor''s Birthday", f"CASE WHEN y <= 2018 THEN {_sun(_md(12, 23))} END"),
         ("Vernal Equinox", _sun("ve")), ("Autumnal Equinox", _sun("ae")), ("Showa Day", _sun(_md(4, 29))),
         ("Constitution Memorial Day", _sun(_md(5, 3))),
@@ -77,15 +77,9 @@ cal AS MATERIALIZED (SELECT *, covered AND isodow(date) < 6 AND name IS NULL AS
   CAST(sum(CAST(covered AND isodow(date) < 6 AND name IS NULL AS INTEGER)) OVER (PARTITION BY calendar ORDER BY date) AS BIGINT) AS ordinal FROM cal0)"""
 
 
-_calendars: dict[str, object] = {}
-
-
-def calendar(spark):
-    """The date dimension, evaluated once per session (two rows per calendar day)."""
-    app = spark.sparkContext.applicationId
-    if app not in _calendars:
-        _calendars[app] = rt.freeze(cl.trading_calendar(spark, CAL_START, CAL_END))
-    return _calendars[app]
+def calendar(spark, sf):
+    """The date dimension (two rows per calendar day), written once per session."""
+    return rt.small(handoff(spark, ("calendar", sf, CAL_START, CAL_END), lambda: cl.trading_calendar(spark, CAL_START, CAL_END)))
 
 
 def _cal_of(c="asset"):
@@ -115,7 +109,7 @@ def source_census(spark, sf):
 SELECT calendar, date, is_open, name, covered, ordinal, u.date IS NOT NULL AS has_data FROM cal LEFT JOIN u USING (date)""".replace("u.date IS NOT NULL", "date IN (SELECT date FROM u)"))
 def trading_calendar(spark, sf):
     seen = fx.level_daily(spark, sf).select("date").distinct().withColumn("has_data", F.lit(True))
-    c = calendar(spark).join(seen, "date", "left")
+    c = calendar(spark, sf).join(seen, "date", "left")
     return c.select("calendar", "date", "is_open", "name", "covered", "ordinal", F.coalesce("has_data", F.lit(False)).alias("has_data"))
 
 
@@ -125,7 +119,7 @@ LEFT JOIN lv v ON v.asset = l.asset AND v.date = c.date GROUP BY l.asset, year(c
 def expected_trading_days(spark, sf):
     lv = level(spark, sf)
     want = lv.select("asset", "calendar").distinct().join(
-        rt.freeze(rt.expected_trading_days(calendar(spark), START, END)), "calendar")
+        (rt.expected_trading_days(calendar(spark, sf), START, END)), "calendar")
     got = lv.select("asset", "date", F.lit(1).alias("_h"))
     return want.join(got, ["asset", "date"], "left").groupBy("asset", F.year("date").cast("bigint").alias("year")).agg(
         F.count(F.lit(1)).alias("n_expected"), F.count("_h").alias("n_observed"))
@@ -134,16 +128,15 @@ def expected_trading_days(spark, sf):
 @query("clean_price_series", f"""{SQL_BOTH}
 SELECT asset, calendar, date, {sg.rnd('value', 6)} AS price FROM lv l WHERE {WIN} AND value IS NOT NULL AND {NOT_SHUT}""")
 def clean_price_series(spark, sf):
-    return rt.clean_prices(level(spark, sf), calendar(spark), START, END).select("asset", "calendar", "date", r("price", 6).alias("price"))
+    return rt.clean_prices(level(spark, sf), calendar(spark, sf), START, END).select("asset", "calendar", "date", r("price", 6).alias("price"))
 
 
 def _lst(cond):
     return f"coalesce(string_agg(CAST(date AS VARCHAR), ',' ORDER BY date) FILTER (WHERE {cond}), '')"
 
 
-_DEF = [("n_dup > 0", "n_dup || ' duplicate date(s)'"), ("n_np > 0", "n_np || ' non-positive price(s)'"), ("ooo", "'dates are not in ascending order in the raw file'"),
-        ("n_blank_open > 0", "n_blank_open || ' blank(s) on a day the calendar says the market was open'"), ("n_absent > 0", "n_absent || ' weekday row(s) missing from the file entirely'"),
-        ("n_closed > 0", "n_closed || ' price(s) printed on a day the calendar says the exchange was closed'"), ("NOT covers", "'the source does not cover the requested window'")]
+_DEF = [("n_dup > 0", "'duplicate_dates=' || n_dup"), ("n_np > 0", "'nonpositive_prices=' || n_np"), ("n_blank_open > 0", "'blank_on_open_day=' || n_blank_open"),
+        ("n_absent > 0", "'open_day_absent=' || n_absent"), ("n_closed > 0", "'value_on_closed_day=' || n_closed"), ("ooo", "'unsorted_dates'"), ("NOT covers", "'range_not_covered'")]
 
 
 @query("cleaning_report", f"""WITH {SQL_CAL}, {fx.SQL_LEVEL_RAW}, lr AS (SELECT *, {_CALSQL} AS calendar FROM level_raw),
@@ -155,15 +148,15 @@ a AS (SELECT asset, calendar, count(*) FILTER (WHERE is_open) AS trading_days_ex
   count(*) FILTER (WHERE n > 0 AND nv = 0 AND shut) AS blank_days_matching_closure, {_lst('n > 0 AND nv = 0 AND is_open')} AS blank_on_open_day, {_lst('n IS NULL AND is_open')} AS open_day_absent,
   {_lst('nv > 0 AND shut')} AS value_on_closed_day, {_lst('n > 1')} AS duplicate_dates, {_lst('nnp > 0')} AS nonpositive_prices,
   count(*) FILTER (WHERE n > 0 AND nv = 0 AND is_open) AS n_blank_open, count(*) FILTER (WHERE n IS NULL AND is_open) AS n_absent, count(*) FILTER (WHERE nv > 0 AND shut) AS n_closed, count(*) FILTER (WHERE n > 1) AS n_dup, count(*) FILTER (WHERE nnp > 0) AS n_np,
-  min(date) FILTER (WHERE nv > 0) AS available_from, max(date) FILTER (WHERE nv > 0) AS available_to FROM g GROUP BY asset, calendar),
+  CAST(coalesce(sum(nv) FILTER (WHERE shut), 0) AS BIGINT) AS closed_day_prints, min(date) FILTER (WHERE nv > 0) AS available_from, max(date) FILTER (WHERE nv > 0) AS available_to FROM g GROUP BY asset, calendar),
 x AS (SELECT a.*, f.rows_in_file, f.rows_in_window, oo.ooo, available_from <= DATE '{START}' + 7 AND available_to >= DATE '{END}' - 7 AS covers FROM a JOIN f USING (asset, calendar) JOIN oo USING (asset))
-SELECT asset, calendar, rows_in_file, rows_in_window, trading_days_expected, trading_days_observed, blank_days, blank_days_matching_closure, blank_on_open_day, open_day_absent, value_on_closed_day, duplicate_dates, nonpositive_prices,
+SELECT asset, calendar, rows_in_file, rows_in_window, trading_days_expected, trading_days_observed, blank_days, blank_days_matching_closure, closed_day_prints, trading_days_observed - closed_day_prints AS prints_used, blank_on_open_day, open_day_absent, value_on_closed_day, duplicate_dates, nonpositive_prices,
   available_from, available_to, ooo AS out_of_order, covers AS covers_request, concat_ws('; ', {', '.join(f"CASE WHEN {c} THEN {t} END" for c, t in _DEF)}) AS defects FROM x""")
 def cleaning_report(spark, sf):
-    rep = rt.cleaning_report(fx.level_raw(spark, sf).withColumn("calendar", _cal_of()), calendar(spark), START, END)
+    rep = rt.cleaning_report(fx.level_raw(spark, sf).withColumn("calendar", _cal_of()), calendar(spark, sf), START, END)
     lists = ("blank_on_open_day", "open_day_absent", "value_on_closed_day", "duplicate_dates", "nonpositive_prices")
     return rep.select("asset", "calendar", "rows_in_file", "rows_in_window", "trading_days_expected", "trading_days_observed", "blank_days",
-                      "blank_days_matching_closure", *[F.array_join(c, ",").alias(c) for c in lists], "available_from", "available_to",
+                      "blank_days_matching_closure", "closed_day_prints", "prints_used", *[F.array_join(c, ",").alias(c) for c in lists], "available_from", "available_to",
                       "out_of_order", "covers_request", F.array_join("defects", "; ").alias("defects"))
 
 
@@ -183,7 +176,7 @@ def _ret_out(df):
 
 @query("simple_returns", f"{SQL_BOTH}, {_lagged(WIN)}\nSELECT {_RCOLS} FROM q {_RJOIN}")
 def simple_returns(spark, sf):
-    cal = calendar(spark)
+    cal = calendar(spark, sf)
     return _ret_out(rt.simple_returns(rt.clean_prices(level(spark, sf), cal, START, END), cal))
 
 
@@ -192,12 +185,12 @@ _RUNUP = f"date BETWEEN DATE '{START}' - {rt.RUN_UP_DAYS} AND DATE '{END}'"
 
 @query("returns_from_prices", f"{SQL_BOTH}, {_lagged(_RUNUP)}\nSELECT {_RCOLS} FROM q {_RJOIN} WHERE q.date >= DATE '{START}'")
 def returns_from_prices(spark, sf):
-    return _ret_out(rt.returns_from_prices(level(spark, sf), calendar(spark), START, END))
+    return _ret_out(rt.returns_from_prices(level(spark, sf), calendar(spark, sf), START, END))
 
 
 @query("returns_from_prices_drop", f"{SQL_BOTH}, {_lagged(WIN)}\nSELECT {_RCOLS} FROM q {_RJOIN} WHERE NOT ({_GAP} > 1)")
 def returns_from_prices_drop(spark, sf):
-    return _ret_out(rt.returns_from_prices(level(spark, sf), calendar(spark), START, END, prior_close=False, on_missing_day="drop"))
+    return _ret_out(rt.returns_from_prices(level(spark, sf), calendar(spark, sf), START, END, prior_close=False, on_missing_day="drop"))
 
 
 @query("returns_from_factor", f"""WITH {SQL_LV}, f AS (SELECT asset, date, lag(date) OVER (PARTITION BY asset ORDER BY date) AS prev_date, value AS ret FROM lv WHERE value IS NOT NULL)
@@ -213,7 +206,7 @@ SELECT asset, calendar, count(*) FILTER (WHERE side = 'm') AS n_missing, count(*
   array_to_string((list(CAST(date AS VARCHAR) ORDER BY date) FILTER (WHERE side = 'm'))[1:20], ',') AS first_missing, array_to_string((list(CAST(date AS VARCHAR) ORDER BY date) FILTER (WHERE side = 'u'))[1:20], ',') AS first_unexpected
 FROM s GROUP BY asset, calendar""")
 def factor_date_set_check(spark, sf):
-    return rt.date_set_check(level(spark, sf), calendar(spark), START, END)
+    return rt.date_set_check(level(spark, sf), calendar(spark, sf), START, END)
 
 
 SQL_SAMPLE = f"""WITH {SQL_CAL}, {fx.SQL_LEVEL}, {fx.SQL_REGISTRY},
@@ -225,7 +218,7 @@ smp AS MATERIALIZED (SELECT q.asset, q.date, q.prev_date, q.price, q.ret, {_GAP}
 
 
 def sample(spark, sf):
-    return rt.sample_returns(fx.level_daily(spark, sf), fx.registry(spark), calendar(spark), START, END)
+    return rt.sample_returns(fx.level_daily(spark, sf), fx.registry(spark), calendar(spark, sf), START, END)
 
 
 @query("sample_returns", f"""{SQL_SAMPLE}
@@ -243,7 +236,7 @@ SELECT q.asset, q.date, q.prev_date, {sg.rnd('q.ret', 7)} AS ret, {_GAP} AS gap_
 UNION ALL SELECT asset, date, prev_date, {sg.rnd('value', 7)}, 1, 'factor' FROM (SELECT asset, date, lag(date) OVER (PARTITION BY asset ORDER BY date) AS prev_date, value FROM lv WHERE category = 'return') WHERE {WIN}""")
 def load_object(spark, sf):
     """Window-internal convention: no close from before the window is used."""
-    s = rt.sample_returns(fx.level_daily(spark, sf), fx.registry(spark), calendar(spark), START, END, prior_close=False)
+    s = rt.sample_returns(fx.level_daily(spark, sf), fx.registry(spark), calendar(spark, sf), START, END, prior_close=False)
     return s.select("asset", "date", "prev_date", r("ret", 7).alias("ret"), "gap_trading_days", "kind")
 
 
@@ -258,7 +251,7 @@ SQL_RET = f"{SQL_BOTH}, {_lagged(f"date BETWEEN DATE '{DEV_START}' AND DATE '{DE
 
 def dev_returns(spark, sf):
     """Clean returns of every asset over the development years."""
-    cal = calendar(spark)
+    cal = calendar(spark, sf)
     return rt.simple_returns(rt.clean_prices(level(spark, sf), cal, DEV_START, DEV_END), cal)
 
 
@@ -297,7 +290,7 @@ SELECT coalesce(q.asset, nw.asset) AS asset, count(q.ret) AS n_old, count(nw.ret
   {sg.rnd('max(abs(q.ret - nw.ret))')} AS max_abs_diff, {sg.rnd('stddev_samp(q.ret) * sqrt(252)', 8)} AS scale_old, {sg.rnd('stddev_samp(nw.ret) * sqrt(252)', 8)} AS scale_new
 FROM q FULL JOIN nw ON q.asset = nw.asset AND q.date = nw.date GROUP BY 1""")
 def compare_return_sources(spark, sf):
-    lv, cal = level(spark, sf), calendar(spark)
+    lv, cal = level(spark, sf), calendar(spark, sf)
     c = rt.compare_sources(rt.returns_from_prices(lv, cal, START, END, prior_close=False), rt.returns_from_prices(lv, cal, START, END))
     return c.select("asset", "n_old", "n_new", "n_shared", "rows_added", "rows_dropped", r("max_abs_diff").alias("max_abs_diff"),
                     r("scale_old", 8).alias("scale_old"), r("scale_new", 8).alias("scale_new"))

@@ -169,7 +169,7 @@ _A = 0.15
 def live_monitor_stream(spark, sf):
     """All events through the online monitor; equals the batch first passage."""
     from tidewatch.sources.tables import handoff
-    lw = handoff(spark, ("user_lows", sf), lambda: ev.record_lows(fx.panel_user(spark, sf), ev.JVM_METHODS, USER))
+    lw = handoff(spark, ("user_lows", sf, ev.JVM_METHODS, USER), lambda: ev.record_lows(fx.panel_user(spark, sf), ev.JVM_METHODS, USER))
     thr = cal.thresholds(cal.path_minima(lw), USER).where((F.col("far_target") == _A) & F.col("method").isin(*mon.METHODS))
     limits = {row["method"]: row["threshold"] for row in thr.collect()}
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", mon.ROCKSDB)

@@ -10,31 +10,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _scratch: dict[str, str] = {}
-_schemas: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # dates of the tables are UTC dates
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's checkpoint folder.
 
-    Only where the session names none (a local test run) is a temporary folder
-    created and set.
+    Only a local session, whose one machine is driver and executor, may lack the
+    setting; it gets a temporary folder. Elsewhere the setting is required, as a
+    folder of one machine would give readers a part of the rows.
     """
-    conf = spark.conf.get("spark.checkpoint.dir", None) or \
-        spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _scratch:
         _scratch[app] = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", _scratch[app])
     return _scratch[app]
 
 
@@ -43,25 +42,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder (survives executor loss)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+_handoffs: dict[tuple, tuple[str, StructType]] = {}
 
 
-_handoffs: dict[tuple, tuple[str, StructType]] = {}
+def source_status(spark: SparkSession, sf_dir: str) -> tuple:
+    """Name, length and change time of each table, as the tables' own file system reports them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p)))
 
 
 def handoff(spark: SparkSession, key: tuple, build) -> DataFrame:
     """A stage table written once per session to the shared folder and read by later stages.
 
-    Stages hand over compact tables (ledgers, path statistics) instead of
-    recomputing them; the copy is on shared storage, so losing an executor
-    costs a re-read.
+    `key` is (name, source folder, what else the rows depend on: methods, configuration).
+    A changed source is read anew. Stages hand over compact tables (ledgers, path
+    statistics) instead of recomputing them; the copy is on shared storage, so losing an
+    executor costs a re-read.
     """
-    k = (spark.sparkContext.applicationId, *key)
+    k = (spark.sparkContext.applicationId, *key, source_status(spark, key[1]))
     if k not in _handoffs or not _exists(spark, _handoffs[k][0]):
         path = scratch_path(spark, key[0])
         df = build()
