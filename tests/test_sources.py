@@ -21,6 +21,11 @@ def test_level_csv_keeps_blank_rows_and_checks_the_header(spark, tmp_path):
     assert [r["value"] for r in rows] == [None, 3.5, None] and rows[0]["date"] == dt.date(2020, 1, 1)
     with pytest.raises(Exception, match="unexpected header"):
         rd.read_level_csv(spark, good, "XYZ").collect()
+    bare = write(tmp_path, "bare.csv", "2020-01-01,1.0\n2020-01-02,3.5\n")
+    with pytest.raises(Exception, match="unexpected header"):
+        rd.read_level_csv(spark, bare, "ABC").collect()
+    stamped = write(tmp_path, "t.csv", "DATE,ABC\n2020-01-01T00:00:00,1.0\n")
+    assert rd.read_level_csv(spark, stamped, "ABC").count() == 1
 
 
 def test_factor_text(spark, tmp_path):
@@ -36,6 +41,8 @@ def test_vendor_and_semicolon(spark, tmp_path):
     s = write(tmp_path, "s.txt", "Datum;Wert\nZürich;1\n02.01.2020;7.5;x\n03.01.2020;-;x\n04.01.2020\n", "latin-1")
     rows = rd.read_semicolon_text(spark, s, "S").collect()
     assert [(r["date"], r["value"]) for r in rows] == [(dt.date(2020, 1, 2), 7.5)]
+    q = write(tmp_path, "q.txt", '"02.01.2020";7.5\n03.01.2020;"8"\n04.01.2020;9;"x\n05.01.2020;10\n', "latin-1")
+    assert [r["value"] for r in rd.read_semicolon_text(spark, q, "S").orderBy("date").collect()] == [9.0, 10.0]
 
 
 def test_landed_file_reasons(spark, tmp_path):
@@ -50,15 +57,26 @@ def test_landed_file_reasons(spark, tmp_path):
 
 
 def test_pinning(spark, tmp_path):
-    write(tmp_path, "abc_1.csv", "old")
-    write(tmp_path, "xyz_1.csv", "x")
-    sha = hashlib.sha256(b"old").hexdigest()
-    prov = spark.createDataFrame([("abc", "abc_1.csv", sha), ("xyz", None, None)], "series string, file string, sha256 string")
-    got = {r["series"]: (r["file"], r["pinned_by"], r["sha_ok"]) for r in rd.pinned_snapshots(spark, str(tmp_path), prov).collect()}
-    assert got == {"abc": ("abc_1.csv", "provenance", True), "xyz": ("xyz_1.csv", "newest file", True)}
-    bad = spark.createDataFrame([("abc", "abc_1.csv", "0" * 64)], "series string, file string, sha256 string")
+    d = tmp_path / "raw"
+    d.mkdir()
+    for name, text in (("DGS10_20240101.csv", "old"), ("DGS10_20240301.csv", "new"), ("A_B_20240101.csv", "x"), ("xyz_1.csv", "y")):
+        write(d, name, text)
+    one = lambda *names: spark.createDataFrame([(n,) for n in names], "series string")
+    side = tmp_path / "side"
+    side.mkdir()
+    for name, text in (("A_B_20240101.csv", "x"), ("xyz_1.csv", "other")):
+        sha = hashlib.sha256(text.encode()).hexdigest()
+        write(side, name + ".json", '{\n  "raw_file": "%s",\n  "sha256": "%s",\n  "bytes": 1,\n  "downloaded_at": "2024-01-02"\n}' % (name, sha))
+    prov = rd.read_provenance(spark, str(side))
+    got = {r["series"]: (r["file"], r["pinned_by"], r["sha_ok"]) for r in rd.pinned_snapshots(spark, str(d), prov, one("DGS10", "A_B", "xyz")).collect()}
+    assert got == {"DGS10": ("DGS10_20240301.csv", "newest file", True), "A_B": ("A_B_20240101.csv", "provenance", True), "xyz": ("xyz_1.csv", "provenance", False)}
     with pytest.raises(Exception, match="checksum mismatch"):
-        rd.pinned_snapshots(spark, str(tmp_path), bad, strict=True).collect()
+        rd.pinned_snapshots(spark, str(d), prov, one("xyz"), strict=True).collect()
+    with pytest.raises(Exception, match="no file for series"):
+        rd.pinned_snapshots(spark, str(d), prov, one("absent")).collect()
+    gone = spark.createDataFrame([("xyz", "xyz_9.csv", "0" * 64)], "series string, file string, sha256 string")
+    with pytest.raises(Exception, match="no file for series"):
+        rd.pinned_snapshots(spark, str(d), gone, one("xyz")).collect()
 
 
 def test_thresholds_survive_csv_exactly(spark, tmp_path):

@@ -6,6 +6,9 @@ reader works on files whose size grows with the tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.config import SUPPLIER as CFG
@@ -20,7 +23,7 @@ from tidewatch.plans import sqlgen as sg
 from tidewatch.plans.catalog import query
 from tidewatch.sources import readers as rd
 from tidewatch.sources import sinks
-from tidewatch.sources.tables import scratch_path, table
+from tidewatch.sources.tables import scratch_path
 from tidewatch.streaming import monitor as mon
 
 _ASSETS = tuple(row[0] for row in fx.REGISTRY_ROWS)
@@ -64,28 +67,24 @@ def landed(spark, sf, kind: str, asset: str) -> str:
 _VAL = "CAST(CAST(value AS DECIMAL(20,4)) AS DOUBLE)"
 
 
-def _lvl(asset: str) -> str:
-    return f"WITH {fx.SQL_LEVEL}, one AS (SELECT * FROM level WHERE asset = '{asset}')"
-
-
 _OUT = {
     "level_csv": f"SELECT asset, date, {sg.rnd(f'CASE WHEN value >= 120000.0 THEN {_VAL} END', 4)} AS value FROM one",
     "factor_text": f"SELECT asset, date, {sg.rnd(f'CASE WHEN value >= 120000.0 THEN {_VAL} / 100.0 END', 6)} AS value FROM one",
     "vendor_csv": f"SELECT asset, date, {sg.rnd(f'CASE WHEN value >= 120000.0 THEN {_VAL} END', 4)} AS value FROM one WHERE day(date) <> 13",
     "semicolon_text": f"SELECT asset, date, {sg.rnd(_VAL, 4)} AS value FROM one WHERE value >= 120000.0",
 }
-_KINDS = {"level_csv": "1-URGENT", "factor_text": "4-NOT SPECIFIED", "vendor_csv": "3-MEDIUM", "semicolon_text": "5-LOW"}
 
 
 def _read(kind):
     def run(spark, sf):
-        asset = _KINDS[kind]
-        return rd.READERS[kind](spark, landed(spark, sf, kind, asset), asset).select("asset", "date", r("value", 6 if kind == "factor_text" else 4).alias("value"))
+        """Every asset landed in this format and read back."""
+        parts = [rd.READERS[kind](spark, landed(spark, sf, kind, a), a) for a in _ASSETS]
+        return reduce(DataFrame.unionByName, parts).select("asset", "date", r("value", 6 if kind == "factor_text" else 4).alias("value"))
     return run
 
 
-for _k in ("level_csv", "factor_text", "vendor_csv", "semicolon_text"):
-    query(f"read_{_k}", f"{_lvl(_KINDS[_k])} {_OUT[_k]}")(_read(_k))
+for _k in _OUT:
+    query(f"read_{_k}", f"WITH {fx.SQL_LEVEL}, one AS (SELECT * FROM level) {_OUT[_k]}")(_read(_k))
 
 
 @query("load_series", f"WITH {fx.SQL_LEVEL}, {fx.SQL_REGISTRY}, x AS (" + " UNION ALL ".join(
@@ -97,15 +96,24 @@ def load_series(spark, sf):
     return s.select("asset", "date", r("value", 6).alias("value"), "reader", "category", "units")
 
 
+def _name():
+    return F.translate(F.regexp_replace("asset", "^[0-9]-", ""), " ", "_")
+
+
+def _lines(spark, sf):
+    """series, k, value: a header line and one line per day of each asset."""
+    lv = fx.level_daily(spark, sf)
+    body = lv.select(_name().alias("series"), F.date_format("date", "yyyy-MM-dd").alias("k"), F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), _fmt()).alias("value"))
+    head = body.select("series").distinct().select("series", F.lit("").alias("k"), F.concat(F.lit("observation_date,"), "series").alias("value"))
+    return head.unionByName(body)
+
+
 def _landing(spark, sf):
     """One file per asset: four good ones and one page of HTML."""
     path = scratch_path(spark, "landing")
-    lv = fx.level_daily(spark, sf)
-    name = F.translate(F.regexp_replace("asset", "^[0-9]-", ""), " ", "_")
-    line = F.concat_ws(",", F.date_format("date", "yyyy-MM-dd"), _fmt())
-    files = lv.groupBy(name.alias("series")).agg(F.concat_ws("\n", F.concat(F.lit("observation_date,"), F.first(name)), F.concat_ws("\n", F.sort_array(F.collect_list(line)))).alias("value"))
-    html = F.when(F.col("series") == "LOW", F.concat(F.lit("<html><body>"), F.col("value"), F.lit("</body></html>"))).otherwise(F.col("value"))
-    files.withColumn("value", html).repartition("series").write.partitionBy("series").option("lineSep", "\u0001").text(path)
+    page = F.when((F.col("series") == "LOW") & (F.col("k") == ""), F.concat(F.lit("<html><body>"), F.col("value"))).otherwise(F.col("value"))
+    (_lines(spark, sf).withColumn("value", page).repartition("series").sortWithinPartitions("series", "k")
+     .select("series", "value").write.partitionBy("series").text(path))
     return path
 
 
@@ -121,27 +129,38 @@ def validate_landed_file(spark, sf):
     return v
 
 
-@query("pinned_snapshot", "SELECT * FROM (VALUES ('level', 'provenance', true), ('stale', 'provenance', false), ('open', 'newest file', true)) v(series, pinned_by, sha_ok) WHERE (SELECT count(*) FROM orders) > 0")
+#: name in the landing folder, and what its record says: the checksum, a wrong one, or nothing
+_RECORDS = (("URGENT", "right"), ("HIGH", "right"), ("MEDIUM", "wrong"), ("NOT_SPECIFIED", "none"), ("LOW", "none"))
+
+
+@query("pinned_snapshot", f"""WITH {fx.SQL_LEVEL}, n AS (SELECT upper(replace(substr(asset, 3), ' ', '_')) AS series, count(*) + 1 AS n_lines FROM level GROUP BY 1)
+SELECT v.series, v.series || '_' || v.version || '.csv' AS file, v.pinned_by, v.sha_ok, CASE WHEN v.version = '20240102' THEN n.n_lines - 1 ELSE n.n_lines END AS n_lines
+FROM (VALUES {', '.join(f"('{s}', '{'20240102' if k == 'none' else '20240101'}', '{'newest file' if k == 'none' else 'provenance'}', {k != 'wrong'})" for s, k in _RECORDS)}) v(series, version, pinned_by, sha_ok) JOIN n USING (series)""")
 def pinned_snapshot(spark, sf):
-    """Three landed series: recorded, recorded with a wrong checksum, and unrecorded."""
-    path = scratch_path(spark, "snapshots")
-    lv = fx.level_daily(spark, sf)
-    lines = lv.select(F.concat_ws(",", "asset", F.date_format("date", "yyyy-MM-dd"), _fmt()).alias("value"))
+    """Two versions of every asset's file, the later without its header; records pin some assets to the earlier."""
+    path, side = scratch_path(spark, "snapshots"), scratch_path(spark, "provenance")
     jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(path))
-    for s in ("level", "stale", "open"):
-        tmp = _text(lines.repartition(1), scratch_path(spark, s))
-        part = [f for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(tmp)) if f.getPath().getName().startswith("part-")][0].getPath()
-        fs.rename(part, jvm.org.apache.hadoop.fs.Path(f"{path}/{s}_20240101.csv"))
-    prov_dir = scratch_path(spark, "provenance")
-    sha = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.sha2("content", 256).alias("sha256"))
-    sha.where(~F.col("file").startswith("open")).select(
-        F.regexp_extract("file", "^([a-z]+)", 1).alias("series"), "file",
-        F.when(F.col("file").startswith("stale"), F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256")).write.json(prov_dir)
-    prov = spark.read.schema("series string, file string, sha256 string").option("multiLine", False).json(prov_dir)
-    blank = spark.createDataFrame([("open", None, None)], prov.schema)
-    return rd.pinned_snapshots(spark, path, prov.unionByName(blank)).select("series", "pinned_by", "sha_ok")
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(at(path))
+    for version, lines in (("20240101", _lines(spark, sf)), ("20240102", _lines(spark, sf).where(F.col("k") != ""))):
+        tmp = scratch_path(spark, "version")
+        lines.repartition("series").sortWithinPartitions("series", "k").select("series", "value").write.partitionBy("series").text(tmp)
+        for s, _ in _RECORDS:
+            part = [f.getPath() for f in fs.listStatus(at(f"{tmp}/series={s}")) if f.getPath().getName().startswith("part-")][0]
+            fs.rename(part, at(f"{path}/{s}_{version}.csv"))
+    sha = spark.read.format("binaryFile").option("pathGlobFilter", "*_20240101.csv").load(path).select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("raw_file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in _RECORDS for x in kv]), rd.stem(F.col("raw_file")))
+    rec = sha.withColumn("kind", kind).where("kind <> 'none'").select(
+        "raw_file", F.when(F.col("kind") == "wrong", F.reverse("sha256")).otherwise(F.col("sha256")).alias("sha256"), "bytes", F.lit("2024-01-03").alias("downloaded_at"))
+    # a sidecar is a JSON record over several lines, a file for each
+    side_text = F.replace(F.to_json(F.struct("raw_file", "sha256", "bytes", "downloaded_at")), F.lit(","), F.lit(",\n  "))
+    rec.select(F.col("raw_file").alias("of"), side_text.alias("value")).repartition("of").write.partitionBy("of").text(side)
+    series = spark.createDataFrame([(s,) for s, _ in _RECORDS], "series string")
+    pins = rd.pinned_snapshots(spark, path, rd.read_provenance(spark, f"{side}/*"), series)
+    lines = spark.read.text(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n_lines"))
+    return pins.join(lines, "file").select("series", "file", "pinned_by", "sha_ok", "n_lines")
 
 
 @query("read_frozen_thresholds", f"{qc.SQL_THR} SELECT method, far_target, {sg.rnd('threshold', 7)} AS threshold FROM thr")
@@ -167,21 +186,22 @@ _A = 0.15
 
 @query("live_monitor_stream", f"{qp.SQL_USER} SELECT entity, method, tau, {sg.rnd('threshold', 7)} AS threshold FROM fp WHERE method IN ('binary_gaussian', 'binary_student_t') AND far_target = {_A} AND tau <> -1")
 def live_monitor_stream(spark, sf):
-    """All events through the online monitor; equals the batch first passage."""
+    """All days of all users through the online monitor, landed in three parts; equals the batch first passage.
+
+    After each part the query is started from its checkpoint, so state is carried over a restart.
+    """
     from tidewatch.sources.tables import handoff
     lw = handoff(spark, ("user_lows", sf, ev.JVM_METHODS, USER), lambda: ev.record_lows(fx.panel_user(spark, sf), ev.JVM_METHODS, USER))
     thr = cal.thresholds(cal.path_minima(lw), USER).where((F.col("far_target") == _A) & F.col("method").isin(*mon.METHODS))
-    limits = {row["method"]: row["threshold"] for row in thr.collect()}
+    limits = {row["method"]: row["threshold"] for row in thr.collect()}  # two rows
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", mon.ROCKSDB)
-    schema = table(spark, sf, "events").schema
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    rows = src.select(F.col("user_id").alias("entity"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id",
-                      ((F.col("value") / 50.0 - 1.0) * F.lit(USER.sigma_daily)).alias("ret"))
-    out, ck = scratch_path(spark, "alarms"), scratch_path(spark, "alarms-state")
-
-    def sink(batch, _):
-        batch.write.mode("append").parquet(out)
-    q = (mon.monitor(rows, USER, limits).writeStream.outputMode("update").option("checkpointLocation", ck)
-         .trigger(availableNow=True).foreachBatch(sink).start())
-    q.awaitTermination()
-    return spark.read.schema(mon.OUTPUT).parquet(out).select("entity", "method", "tau", r("threshold", 7).alias("threshold"))
+    days = fx.user_days(spark, sf).select("entity", F.unix_micros(F.col("date").cast("timestamp")).alias("ts_us"), F.lit(0).cast("bigint").alias("event_id"), "ret")
+    feed, out, ck = (scratch_path(spark, x) for x in ("feed", "alarms", "alarms-state"))
+    edges = days.agg(F.min("ts_us").alias("a"), F.max("ts_us").alias("b")).first()
+    span = (edges["b"] - edges["a"]) // 3 + 1 if edges["a"] is not None else 1
+    for k in range(3):
+        part = F.floor((F.col("ts_us") - F.lit(edges["a"] or 0)) / span) == k
+        days.where(part).write.mode("append").parquet(feed)
+        mon.run_available(spark.readStream.schema(days.schema).parquet(feed), USER, limits, out, ck)
+    found = spark.read.schema(mon.OUTPUT).option("recursiveFileLookup", True).parquet(out)
+    return found.where(F.col("method") != mon.LATE).select("entity", "method", "tau", r("threshold", 7).alias("threshold"))

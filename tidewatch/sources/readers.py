@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_BYTES = 64
@@ -18,16 +18,20 @@ MISSING_CODES = (-99.99, -999.0)
 
 
 def read_level_csv(spark: SparkSession, path: str, series_id: str) -> DataFrame:
-    """`date,value` export; blanks and '.' become NULL and their rows stay."""
-    raw = spark.read.schema("date string, raw string").option("header", False).csv(path)
-    header = F.col("date").rlike("(?i)[a-z]")
-    bad = header & ~F.coalesce((F.trim("raw") == series_id) | (F.trim("date") == series_id), F.lit(False))
+    """`date,value` export; blanks and '.' become NULL and their rows stay.
+
+    Every file must have a header of two columns that names the series; rows of a file
+    without one fail the read. The headers are one row per file.
+    """
+    raw = spark.read.schema("date string, raw string").option("header", False).csv(path).select("date", "raw", F.col("_metadata.file_path").alias("file"))
+    date = F.trim("date").try_cast("date")
+    named = F.coalesce((F.trim("raw") == series_id) | (F.trim("date") == series_id), F.lit(False)) & date.isNull()
+    heads = raw.groupBy("file").agg(F.max(named).alias("headed"))
     v = F.nullif(F.nullif(F.trim("raw"), F.lit("")), F.lit("."))
-    date = F.col("date").try_cast("date")
-    # the check is part of the row filter: a wrong header fails the read
-    keep = F.when(bad, F.raise_error(F.concat(
-        F.lit(f"unexpected header, expected {series_id}: "), F.col("date"))).cast("boolean")).otherwise(date.isNotNull())
-    return raw.where(keep).select(F.lit(series_id).alias("asset"), date.alias("date"), v.try_cast("double").alias("value"))
+    # the check is part of the row filter: it cannot be pruned away
+    keep = F.when(~F.col("headed"), F.raise_error(F.concat(
+        F.lit(f"unexpected header, expected {series_id}: "), F.col("file"))).cast("boolean")).otherwise(date.isNotNull())
+    return raw.join(heads, "file").where(keep).select(F.lit(series_id).alias("asset"), date.alias("date"), v.try_cast("double").alias("value"))
 
 
 def read_factor_text(spark: SparkSession, path: str, asset: str) -> DataFrame:
@@ -50,7 +54,8 @@ def read_semicolon_text(spark: SparkSession, path: str, asset: str, column: int
     """`;`-separated latin-1 text; rows whose first field is dd.mm.yyyy and whose value parses."""
     p = F.split("value", ";")
     d, v = F.trim(p[0]), F.trim(F.get(p, F.lit(column))).try_cast("double")
-    t = spark.read.option("encoding", "ISO-8859-1").schema("value string").option("sep", "\u0001").csv(path)
+    # a line is one field: no separator, no quote and no escape may change it
+    t = spark.read.option("encoding", "ISO-8859-1").schema("value string").option("sep", "\u0001").option("quote", "").option("escape", "").csv(path)
     return t.where(d.rlike(r"^\d{2}\.\d{2}\.\d{4}$") & v.isNotNull()).select(
         F.lit(asset).alias("asset"), F.to_date(d, "dd.MM.yyyy").alias("date"), v.alias("value"))
 
@@ -70,31 +75,57 @@ def load_series(spark: SparkSession, files: dict[str, str], registry: list[tuple
 
 
 def validate_landed(spark: SparkSession, path: str, series_id: str, pattern: str = "*") -> DataFrame:
-    """(path, ok, reason): too short, HTML, or a header that is not two columns with the id."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    head = F.ltrim(F.decode(F.substring("content", 1, 4096), "UTF-8"))
-    cols = F.split(F.trim(F.split(F.decode(F.substring("content", 1, 4096), "UTF-8"), "\n")[0]), ",")
+    """(path, length, ok, reason): too short, HTML, or a header that is not two columns with the id.
+
+    Lengths come from the listing. First lines are found line by line, by place in the file, so
+    no file is held as one value.
+    """
+    sizes = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+             .select(F.col("_metadata.file_path").alias("path"), "length"))
+    lines = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
+             .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i")))
+    first = lines.groupBy("path").agg(F.min_by("value", F.struct("at", "i")).alias("head"))
+    f = sizes.join(first, "path", "left")
+    head = F.ltrim(F.coalesce("head", F.lit("")))
+    cols = F.split(F.trim(head), ",")
     reason = (F.when(F.col("length") < MIN_BYTES, "too short to be a data file")
               .when(head.startswith("<") | F.lower(F.substring(head, 1, 200)).contains("<html"), "looks like HTML")
               .when((F.size(cols) != 2) | ~F.array_contains(F.transform(cols, lambda c: F.trim(c)), series_id), "unexpected header"))
     return f.select("path", "length", reason.isNull().alias("ok"), F.coalesce(reason, F.lit("")).alias("reason"))
 
 
-def pinned_snapshots(spark: SparkSession, path: str, provenance: DataFrame, strict: bool = False) -> DataFrame:
-    """The file each series is pinned to and whether its SHA-256 agrees.
+def stem(name: Column) -> Column:
+    """Series of a file: its name before the last underscore."""
+    return F.regexp_extract(name, r"^(.*)_[^_]*$", 1)
+
+
+def read_provenance(spark: SparkSession, path: str) -> DataFrame:
+    """series, file, sha256, bytes, downloaded_at from sidecars, one multi-line JSON record per file."""
+    raw = spark.read.schema("raw_file string, sha256 string, bytes long, downloaded_at string").option("multiLine", True).json(path)
+    return raw.select(stem(F.col("raw_file")).alias("series"), F.col("raw_file").alias("file"), "sha256", "bytes", "downloaded_at")
+
+
+def pinned_snapshots(spark: SparkSession, path: str, provenance: DataFrame, series: DataFrame, strict: bool = False) -> DataFrame:
+    """series, file, pinned_by, sha_ok of each row of `series`: the file it is pinned to and whether its checksum agrees.
 
-    `provenance` has series, file, sha256 (NULL file = no record). Without a
-    record the newest file of the series is used and `pinned_by` says so.
+    `provenance` has series, file, sha256 and, if known, bytes. Without a record the series'
+    last file by name is used and `pinned_by` says so. A series without any file, and a
+    record whose file is not there, are errors. A file is read whole for its checksum (2 GB at
+    most, Spark's limit for a value), one file per row; if the recorded length already differs
+    the checksum cannot agree.
     """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    got = f.select(name.alias("file"), F.regexp_extract(name, r"^([A-Za-z]+)", 1).alias("series"),
-                   F.sha2("content", 256).alias("actual"), "modificationTime")
-    newest = got.groupBy("series").agg(F.max_by("file", F.struct("modificationTime", "file")).alias("newest"))
-    p = provenance.join(newest, "series", "left").withColumn("use", F.coalesce("file", "newest"))
-    j = p.drop("file").join(got.select(F.col("file").alias("use"), "actual"), "use", "left")
-    out = j.select("series", F.col("use").alias("file"), F.when(F.col("sha256").isNull(), "newest file").otherwise("provenance").alias("pinned_by"),
-                   F.coalesce(F.col("sha256").isNull() | (F.col("sha256") == F.col("actual")), F.lit(False)).alias("sha_ok"))
+    got = f.select(name.alias("file"), stem(name).alias("series"), F.sha2("content", 256).alias("actual"), "length")
+    newest = got.groupBy("series").agg(F.max("file").alias("newest"))
+    if "bytes" not in provenance.columns:
+        provenance = provenance.withColumn("bytes", F.lit(None).cast("long"))
+    p = series.select("series").join(provenance.select("series", "file", "sha256", "bytes"), "series", "left").join(newest, "series", "left")
+    p = p.withColumn("use", F.coalesce("file", "newest")).drop("file")
+    j = p.join(got.select(F.col("file").alias("use"), "actual", "length"), "use", "left")
+    there = F.when(F.col("actual").isNull(), F.raise_error(F.concat(F.lit("no file for series "), F.col("series")))).otherwise(F.col("use"))
+    same = F.col("sha256").isNull() | ((F.col("sha256") == F.col("actual")) & F.coalesce(F.col("bytes") == F.col("length"), F.lit(True)))
+    out = j.select("series", there.alias("file"), F.when(F.col("sha256").isNull(), "newest file").otherwise("provenance").alias("pinned_by"), same.alias("sha_ok"))
     if strict:
         out = out.withColumn("file", F.when(~F.col("sha_ok"), F.raise_error(F.concat(F.lit("checksum mismatch for "), F.col("series")))).otherwise(F.col("file")))
     return out

@@ -2,8 +2,9 @@
 
 State per entity is a handful of numbers. Rows of one trigger arrive unordered;
 only the earliest rows still inside the horizon can matter, so the handler keeps
-at most that many while it reads, however large the entity's batch is. A row
-older than the last one used is counted as late and not used.
+at most that many while it reads, however large the entity's batch is. An entity that
+has raised both alarms or reached the horizon is not read further. A row older than
+the last one used is late: it is not used, and the trigger emits how many there were.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ OUTPUT = "entity bigint, method string, tau int, stat double, threshold double"
 STATE = "day int, last_ts bigint, last_id bigint, gauss double, student double, late bigint, alarm_g int, alarm_s int"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 METHODS = ("binary_gaussian", "binary_student_t")
+#: method of a row that reports late rows; tau is their number
+LATE = "late_rows"
 
 
 class FirstAlarm(StatefulProcessor):
@@ -39,7 +42,10 @@ class FirstAlarm(StatefulProcessor):
             day, ts, eid, g, s, late, ag, as_ = self.state.get()
         else:
             day, ts, eid, g, s, late, ag, as_ = 0, -(1 << 62), -1, c.prior_log_odds, c.prior_log_odds, 0, 0, 0
+        if (ag and as_) or day >= c.horizon:
+            return
         room = c.horizon - day
+        before = late
         heap: list[tuple] = []
         for pdf in rows:
             for t, i, x in zip(pdf["ts_us"].tolist(), pdf["event_id"].tolist(), pdf["ret"].tolist()):
@@ -64,6 +70,8 @@ class FirstAlarm(StatefulProcessor):
             if not as_ and s < self.thr["binary_student_t"]:
                 as_ = day
                 out.append((key[0], "binary_student_t", day, s, self.thr["binary_student_t"]))
+        if late > before:
+            out.append((key[0], LATE, late - before, None, None))
         self.state.update((day, ts, eid, g, s, late, ag, as_))
         yield pd.DataFrame(out, columns=["entity", "method", "tau", "stat", "threshold"])
 
@@ -75,3 +83,17 @@ def monitor(stream: DataFrame, cfg: MonitorConfig, thresholds: dict[str, float])
     """`stream` has entity, ts_us, event_id and ret; needs the RocksDB state store."""
     return stream.groupBy("entity").transformWithStateInPandas(
         statefulProcessor=FirstAlarm(cfg, thresholds), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+
+
+def alarm_sink(path: str):
+    """Writes a trigger's rows to a folder named by its batch id: a batch that is run again replaces its own rows."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    return write
+
+
+def run_available(stream: DataFrame, cfg: MonitorConfig, thresholds: dict[str, float], path: str, checkpoint: str) -> None:
+    """Reads what has landed since the checkpoint's last run and stops; state carries over."""
+    q = (monitor(stream, cfg, thresholds).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).foreachBatch(alarm_sink(path)).start())
+    q.awaitTermination()
