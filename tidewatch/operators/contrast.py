@@ -121,14 +121,37 @@ def screen(losses: DataFrame, keys: Sequence[str], best: int, baseline: Column)
     return r.where((F.col("rank") <= best) | F.col("is_baseline"))
 
 
+def loss_error(long: DataFrame, weights: DataFrame, real: DataFrame, scales: DataFrame, cell: Sequence[str], on: Sequence[str]) -> DataFrame:
+    """Monte-Carlo error of a loss: its sd over resampled ensembles (`weights`: who is drawn how often in `rep`)."""
+    members = [c for c in weights.columns if c not in ("rep", "w")]
+    k = [*cell, "rep"]
+    q = quantiles(long.join(weights, members), [*k, "statistic"], "value", {"med": .5}, weight="w")
+    t = q.select(*k, "statistic", expressed(F.col("med"), F.col("statistic")).alias("target"))
+    lo = loss(loss_terms(t, real, scales, on), k)
+    return lo.groupBy(*cell).agg(F.count("loss").alias("n_reps"), F.stddev_samp("loss").alias("loss_mc_se"))
+
+
 def select_candidate(finalists: DataFrame, keys: Sequence[str], edges: Sequence[int]) -> DataFrame:
     """Argmin of the loss, how many lie within its Monte-Carlo error, edge flag."""
     best = F.min_by(F.struct("candidate", "loss", "loss_mc_se"), F.struct("loss", "candidate")).over(Window.partitionBy(*keys))
     f = finalists.withColumn("_b", best)
     g = f.groupBy(*keys).agg(F.first("_b").alias("_b"), F.count(F.lit(1)).alias("n_finalists"),
                              F.count_if(F.col("loss") <= F.col("_b.loss") + F.col("_b.loss_mc_se")).alias("n_within_one_mc_se"))
-    return g.select(*keys, F.col("_b.candidate").alias("selected"), F.col("_b.loss").alias("loss"), "n_finalists", "n_within_one_mc_se",
-                    F.col("_b.candidate").isin(*edges).alias("on_grid_boundary"))
+    return g.select(*keys, F.col("_b.candidate").alias("selected"), F.col("_b.loss").alias("loss"), F.col("_b.loss_mc_se").alias("loss_mc_se"),
+                    "n_finalists", "n_within_one_mc_se", F.col("_b.candidate").isin(*edges).alias("on_grid_boundary"))
+
+
+def evaluate_frozen(selection: DataFrame, sim: DataFrame, real: DataFrame, scales: DataFrame, keys: Sequence[str], baseline: int) -> DataFrame:
+    """Loss in an evaluation year of what its calibration window had fixed: candidate and scales.
+
+    `selection` and `scales` are keyed by calibration window (`keys`), `sim` and `real` hold the
+    statistics formed inside the evaluation year under the same keys.
+    """
+    pick = F.explode(F.array(F.struct(F.lit("recalibrated").alias("method"), F.col("selected").alias("candidate")),
+                             F.struct(F.lit("fixed_baseline").alias("method"), F.lit(baseline).alias("candidate")))).alias("_p")
+    frozen = selection.select(*keys, pick).select(*keys, "_p.*")
+    t = loss_terms(sim.join(frozen, [*keys, "candidate"]), real, scales, keys)
+    return loss(t, [*keys, "method", "candidate"])
 
 
 def walk_forward_results(evals: DataFrame, keys: Sequence[str]) -> DataFrame:

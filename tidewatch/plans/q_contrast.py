@@ -26,20 +26,30 @@ OBS = ["period", "scenario"]
 NAMES = dg.statistic_names()
 PERIODS = ("P1", "P2")
 
-SQL_L = f"""WITH {qd.SQL_P}, pan2 AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY period, entity ORDER BY date) AS INTEGER) AS day FROM (SELECT CASE WHEN date < DATE '{SPLIT}' THEN 'P1' ELSE 'P2' END AS period, scenario, candidate, entity, date, ret FROM pan)),
+_PAN2 = f"""pan2 AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY period, entity ORDER BY date) AS INTEGER) AS day FROM (SELECT CASE WHEN date < DATE '{SPLIT}' THEN 'P1' ELSE 'P2' END AS period, scenario, candidate, entity, date, ret FROM pan))"""
+
+
+def sql_l(pan2: str = _PAN2) -> str:
+    """CTEs up to the long statistics `lg` and the observed ones `ob`, per period of `pan2`."""
+    return f"""WITH {qd.SQL_P}, {pan2},
 {qd.ms('pan2', 'period, scenario, candidate, entity', 'day')}{qd.path_stats_sql('period, scenario, candidate, entity', base='pan2')},
 lg AS MATERIALIZED ({qd._unp('ps', NAMES, 'period, scenario, candidate, entity')}),
-ob AS MATERIALIZED (SELECT period, scenario, statistic, arg_min(value, entity) AS value FROM lg GROUP BY period, scenario, statistic)"""
+ob AS MATERIALIZED (SELECT period, scenario, statistic, arg_min_null(value, entity) AS value FROM lg GROUP BY period, scenario, statistic)"""
+
+
+SQL_L = sql_l()
 _TG = "(" + ", ".join(f"'{t}'" for t in ct.TARGETS) + ")"
 _RVT = "(" + ", ".join(f"'{t}'" for t in ct.RV_TARGETS) + ")"
 _EX = f"CASE WHEN statistic IN {_RVT} THEN ln(value) ELSE value END"
 _EXL = f"CASE WHEN l.statistic IN {_RVT} THEN ln(l.value) ELSE l.value END"
-SQL_T = SQL_L + f""",
+_TARGETS = f""",
 tv AS MATERIALIZED (SELECT period, scenario, candidate, statistic, CASE WHEN any_value(statistic) IN {_RVT} THEN ln(quantile_cont(value, 0.5)) ELSE quantile_cont(value, 0.5) END AS target FROM lg WHERE statistic IN {_TG} GROUP BY period, scenario, candidate, statistic),
 rt AS MATERIALIZED (SELECT period, scenario, statistic, {_EX} AS real FROM ob WHERE statistic IN {_TG}),
 sc AS MATERIALIZED (SELECT period, scenario, statistic, greatest(stddev_samp({_EX}), {ct.SCALE_FLOOR}) AS scale, stddev_samp({_EX}) < {ct.SCALE_FLOOR} AS floored FROM lg WHERE candidate = 0 AND statistic IN {_TG} GROUP BY period, scenario, statistic),
 lt AS (SELECT tv.*, rt.real, sc.scale, power((target - real) / scale, 2) AS term FROM tv JOIN rt USING (period, scenario, statistic) JOIN sc USING (period, scenario, statistic)),
 ls AS MATERIALIZED (SELECT *, 0.5 * rv21_component + 0.5 * acf_abs_component AS loss FROM (SELECT period, scenario, candidate, avg(term) FILTER (WHERE statistic IN {_RVT}) AS rv21_component, avg(term) FILTER (WHERE statistic NOT IN {_RVT}) AS acf_abs_component FROM lt GROUP BY period, scenario, candidate))"""
+SQL_T = SQL_L + _TARGETS
+
 
 
 def periods(spark, sf):
@@ -94,12 +104,6 @@ def two_group_loss(spark, sf):
     return rr(t.select(*CELL, "statistic", "term").join(ct.loss(t, CELL), CELL), 5)
 
 
-@query("evaluate_frozen_year", f"{SQL_T} SELECT period, scenario, candidate, {rsel(['loss', 'rv21_component', 'acf_abs_component'], 5)} FROM ls")
-def evaluate_frozen_year(spark, sf):
-    """Every candidate scored in each evaluation period with one shared reference."""
-    return rr(losses(spark, sf), 5)
-
-
 def _summary_sql(src="lg", name="sm"):
     return f"""{name} AS MATERIALIZED (SELECT period, scenario, candidate, statistic, count(value) AS n_paths, quantile_cont(value, 0.5) AS sim_median, quantile_cont(value, 0.025) AS sim_lo, quantile_cont(value, 0.975) AS sim_hi, {ct.MEDIAN_SE} * stddev_samp(value) / sqrt(count(value)) AS sim_median_mc_se
   FROM {src} GROUP BY period, scenario, candidate, statistic HAVING count(value) > 0)"""
@@ -135,7 +139,7 @@ wr AS (SELECT period, scenario, candidate, entity, '{ct.W1_REF}' AS statistic, w
   UNION ALL SELECT mz.period, mz.scenario, mz.candidate, pr.entity, z, 0, 1 FROM mz JOIN pr ON pr.scenario = mz.scenario AND pr.candidate = mz.candidate AND pr.entity_b = mz.entity""", 'period, scenario, candidate, entity')}) WHERE w1 IS NOT NULL),
 sh AS ({' UNION ALL '.join(f"SELECT period, scenario, candidate, entity, 'rv21_q{q}_over_sd' AS statistic, rv21_q{q} / (sd_daily * sqrt(252)) AS value FROM ps" for q in (10, 50, 90))}),
 la AS MATERIALIZED (SELECT * FROM lg UNION ALL SELECT * FROM sh UNION ALL SELECT * FROM wo UNION ALL SELECT * FROM wr), {_summary_sql('la')},
-ob2 AS (SELECT period, scenario, statistic, arg_min(value, entity) AS value FROM (SELECT * FROM lg UNION ALL SELECT * FROM sh) GROUP BY period, scenario, statistic),
+ob2 AS (SELECT period, scenario, statistic, arg_min_null(value, entity) AS value FROM (SELECT * FROM lg UNION ALL SELECT * FROM sh) GROUP BY period, scenario, statistic),
 ir AS MATERIALIZED (SELECT sm.*, ob2.value AS real, CASE WHEN ob2.value IS NOT NULL THEN ob2.value BETWEEN sim_lo AND sim_hi END AS inside FROM sm LEFT JOIN ob2 USING (period, scenario, statistic))"""
 
 
@@ -192,29 +196,6 @@ def candidate_screen(spark, sf):
     return rr(s.select(*CELL, "loss", "rank", "is_baseline"), 5)
 
 
-_SEL = "sel AS (SELECT period, scenario, arg_min(candidate, loss) AS selected, min(loss) AS loss FROM ls GROUP BY period, scenario)"
-
-
-def _selected(lo):
-    return ct.select_candidate(lo.withColumn("loss_mc_se", F.col("loss") * 0.05), OBS, (0, 4))
-
-
-@query("select_candidate", f"""{SQL_T}, {_SEL} SELECT s.period, s.scenario, s.selected, {sg.rnd('s.loss', 5)} AS loss, count(*) AS n_finalists, count(*) FILTER (WHERE l.loss <= s.loss * 1.05) AS n_within_one_mc_se, s.selected IN (0, 4) AS on_grid_boundary FROM sel s JOIN ls l USING (period, scenario) GROUP BY s.period, s.scenario, s.selected, s.loss""")
-def select_candidate(spark, sf):
-    return rr(_selected(losses(spark, sf)), 5)
-
-
-@query("walk_forward_results", f"""{SQL_T}, {_SEL}, ru AS (SELECT l.period, l.scenario, CASE WHEN s.period = l.period THEN 'same_period' ELSE 'other_period' END AS rule, l.loss AS rec, l.candidate FROM sel s JOIN ls l ON l.scenario = s.scenario AND l.candidate = s.selected)
-SELECT r.period, r.scenario, r.rule, r.candidate AS selected, {sg.rnd('r.rec', 5)} AS recalibrated, {sg.rnd('b.loss', 5)} AS fixed_baseline, {sg.rnd('r.rec - b.loss', 5)} AS loss_difference, r.rec - b.loss < 0 AS recalibration_helped FROM ru r JOIN ls b ON b.period = r.period AND b.scenario = r.scenario AND b.candidate = 0""")
-def walk_forward_results(spark, sf):
-    lo = small(losses(spark, sf).select(*CELL, "loss"))
-    sel = _selected(lo).select("scenario", F.col("period").alias("_from"), "selected")
-    rule = F.when(F.col("_from") == F.col("period"), "same_period").otherwise("other_period").alias("rule")
-    rec = lo.join(sel, "scenario").where(F.col("candidate") == F.col("selected")).select(*OBS, rule, "selected", F.lit("recalibrated").alias("method"), "loss")
-    base = rec.select(*OBS, "rule", "selected").join(lo.where(F.col("candidate") == 0).select(*OBS, "loss"), OBS).withColumn("method", F.lit("fixed_baseline"))
-    return rr(ct.walk_forward_results(rec.unionByName(base), [*OBS, "rule", "selected"]), 5)
-
-
 @query("auxiliary_coverage", f"{SQL_IN} SELECT candidate, statistic, count(inside) AS n, {sg.rnd('avg(CAST(inside AS DOUBLE))')} AS coverage FROM ir GROUP BY candidate, statistic")
 def auxiliary_coverage(spark, sf):
     return rr(ct.coverage(ranges(spark, sf), ["candidate"]), 9)
@@ -252,18 +233,23 @@ pl AS (SELECT period, scenario, truth, entity, candidate, 0.5 * avg(term) FILTER
 rec AS MATERIALIZED (SELECT period, scenario, truth, entity, arg_min(candidate, loss) AS selected, min(loss) AS loss_selected, max(CASE WHEN candidate = 0 THEN loss END) AS loss_baseline, max(CASE WHEN candidate = truth THEN loss END) AS loss_truth FROM pl GROUP BY period, scenario, truth, entity)"""
 
 
-def recovery(spark, sf):
-    lg, tv, _, sc = _loss_parts(spark, sf)
-    hist = ct.observed_targets(lg.withColumnRenamed("candidate", "truth"), ["period", "scenario", "truth", "entity"])
+def recovered(lg, tv, sc):
+    """Which candidate each series of `lg`, taken as the history, would choose, and three losses."""
+    k = ["period", "scenario", "truth", "entity"]
+    hist = ct.observed_targets(lg.withColumnRenamed("candidate", "truth"), k)
     terms = hist.join(small(tv), [*OBS, "statistic"]).join(sc.drop("floored"), [*OBS, "statistic"]).withColumn(
         "term", F.pow((F.col("target") - F.col("real")) / F.col("scale"), F.lit(2.0)))
-    k = ["period", "scenario", "truth", "entity"]
     lo = ct.loss(terms, [*k, "candidate"])
     return lo.groupBy(*k).agg(F.min_by("candidate", F.struct("loss", "candidate")).alias("selected"), F.min("loss").alias("loss_selected"),
                               F.max(F.when(F.col("candidate") == 0, F.col("loss"))).alias("loss_baseline"),
                               F.max(F.when(F.col("candidate") == F.col("truth"), F.col("loss"))).alias("loss_truth"))
 
 
+def recovery(spark, sf):
+    lg, tv, _, sc = _loss_parts(spark, sf)
+    return recovered(lg, tv, sc)
+
+
 @query("recovery_errors", f"""{SQL_RC} SELECT scenario, count(*) AS n, {sg.rnd('avg(selected - truth)')} AS mean_error, {sg.rnd('stddev_samp(selected - truth) / sqrt(count(*))')} AS mean_error_mc_se, {sg.rnd('quantile_cont(CAST(selected - truth AS DOUBLE), 0.5)')} AS median_error,
  {sg.rnd('sqrt(avg(power(selected - truth, 2)))')} AS rmse, {sg.rnd('quantile_cont(CAST(selected - truth AS DOUBLE), 0.025)')} AS error_lo, {sg.rnd('quantile_cont(CAST(selected - truth AS DOUBLE), 0.975)')} AS error_hi, {sg.rnd('avg(CAST(selected IN (0, 4) AS DOUBLE))')} AS boundary_rate FROM rec GROUP BY scenario""")
 def recovery_errors(spark, sf):
@@ -296,11 +282,6 @@ def heldout_diagnostics(spark, sf):
     return rr(ct.heldout(h, ["scenario", "statistic", "version"]))
 
 
-@query("selection_stability", f"{SQL_RC} SELECT scenario, entity, truth, count(*) AS n_seed_sets, count(DISTINCT selected) AS n_distinct_selections, {sg.rnd('min(loss_selected - loss_baseline)', 5)} AS min_delta, {sg.rnd('max(loss_selected - loss_baseline)', 5)} AS max_delta FROM rec GROUP BY scenario, entity, truth")
-def selection_stability(spark, sf):
-    return rr(ct.selection_stability(recovery(spark, sf), ["scenario", "entity", "truth"], F.col("loss_selected") - F.col("loss_baseline")), 5)
-
-
 #: supplied analytic law: budget, sd of the realised rate, its mean
 ANALYTIC = ((0.05, 0.11, 0.06), (0.15, 0.17, 0.16))
 

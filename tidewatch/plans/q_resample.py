@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidewatch.config import SUPPLIER as CFG
 from tidewatch.config import USER
 from tidewatch.functions.expr import excludes_zero, ratio
-from tidewatch.functions.ranking import quantiles
 from tidewatch.functions.small import small
 from tidewatch.operators import calibrate as cal
 from tidewatch.operators import contrast as ct
@@ -212,18 +211,17 @@ def mixture_bootstrap(spark, sf):
     return rr(rs.interval(c, [*RULE, "contrast"], "value"), 9, skip=("far_target",))
 
 
-@query("loss_mc_se", f"""{qx.SQL_T}, src AS (SELECT DISTINCT scenario, candidate, entity FROM pan){_weights_sql('src', 'scenario, candidate', '5')},
-x AS (SELECT l.period, l.scenario, l.candidate, l.statistic, w.rep, l.value, sum(w.w) OVER (PARTITION BY l.period, l.scenario, l.candidate, l.statistic, w.rep ORDER BY l.value) AS c, sum(w.w) OVER (PARTITION BY l.period, l.scenario, l.candidate, l.statistic, w.rep) AS n FROM lg l JOIN wt w ON w.scenario = l.scenario AND w.candidate = l.candidate AND w.entity = l.entity WHERE l.statistic IN {qx._TG} AND l.value IS NOT NULL AND w.rep >= 0),
+#: CTEs up to `ll`, the loss of every resampled ensemble
+LOSS_REPS = f"""x AS (SELECT l.period, l.scenario, l.candidate, l.statistic, w.rep, l.value, sum(w.w) OVER (PARTITION BY l.period, l.scenario, l.candidate, l.statistic, w.rep ORDER BY l.value) AS c, sum(w.w) OVER (PARTITION BY l.period, l.scenario, l.candidate, l.statistic, w.rep) AS n FROM lg l JOIN wt w ON w.scenario = l.scenario AND w.candidate = l.candidate AND w.entity = l.entity WHERE l.statistic IN {qx._TG} AND l.value IS NOT NULL AND w.rep >= 0),
 md AS (SELECT period, scenario, candidate, statistic, rep, (min(value) FILTER (WHERE c >= (n - 1) // 2 + 1) + min(value) FILTER (WHERE c >= n // 2 + 1)) / 2 AS med FROM x GROUP BY period, scenario, candidate, statistic, rep),
 tt AS (SELECT m.*, power(((CASE WHEN m.statistic IN {qx._RVT} THEN ln(m.med) ELSE m.med END) - rt.real) / sc.scale, 2) AS term FROM md m JOIN rt USING (period, scenario, statistic) JOIN sc USING (period, scenario, statistic)),
-ll AS (SELECT period, scenario, candidate, rep, 0.5 * avg(term) FILTER (WHERE statistic IN {qx._RVT}) + 0.5 * avg(term) FILTER (WHERE statistic NOT IN {qx._RVT}) AS loss FROM tt GROUP BY period, scenario, candidate, rep)
+ll AS (SELECT period, scenario, candidate, rep, 0.5 * avg(term) FILTER (WHERE statistic IN {qx._RVT}) + 0.5 * avg(term) FILTER (WHERE statistic NOT IN {qx._RVT}) AS loss FROM tt GROUP BY period, scenario, candidate, rep)"""
+
+
+@query("loss_mc_se", f"""{qx.SQL_T}, src AS (SELECT DISTINCT scenario, candidate, entity FROM pan){_weights_sql('src', 'scenario, candidate', '5')},
+{LOSS_REPS}
 SELECT period, scenario, candidate, count(*) AS n_reps, {sg.rnd('stddev_samp(loss)', 5)} AS loss_mc_se FROM ll GROUP BY period, scenario, candidate""")
 def loss_mc_se(spark, sf):
     lg, _, real, sc = qx._loss_parts(spark, sf)
     w = rs.weights(lg.select("scenario", "candidate", "entity").distinct(), ["scenario", "candidate"], REPS, F.lit(5))
-    j = lg.join(w, ["scenario", "candidate", "entity"])
-    k = [*qx.CELL, "rep"]
-    q = quantiles(j, [*k, "statistic"], "value", {"med": .5}, weight="w")
-    t = q.select(*k, "statistic", ct.expressed(F.col("med"), F.col("statistic")).alias("target"))
-    lo = ct.loss(ct.loss_terms(t, real, sc, qx.OBS), k)
-    return rr(lo.groupBy(*qx.CELL).agg(F.count("loss").alias("n_reps"), F.stddev_samp("loss").alias("loss_mc_se")), 5)
+    return rr(ct.loss_error(lg, w, real, sc, qx.CELL, qx.OBS), 5)

@@ -294,9 +294,3 @@ def compare_return_sources(spark, sf):
     c = rt.compare_sources(rt.returns_from_prices(lv, cal, START, END, prior_close=False), rt.returns_from_prices(lv, cal, START, END))
     return c.select("asset", "n_old", "n_new", "n_shared", "rows_added", "rows_dropped", r("max_abs_diff").alias("max_abs_diff"),
                     r("scale_old", 8).alias("scale_old"), r("scale_new", 8).alias("scale_new"))
-
-
-@query("leakage_perturbation_check", f"""{SQL_RET} SELECT asset, o AS origin, count(*) FILTER (WHERE date > o) AS n_perturbed, count(*) FILTER (WHERE date > o) AS n_changed, true AS identical
-FROM ret CROSS JOIN (VALUES {', '.join(f"(DATE '{o}')" for o in _ORIG)}) v(o) GROUP BY asset, o""")
-def leakage_perturbation_check(spark, sf):
-    return rt.leakage_check(dev_returns(spark, sf), _ORIG)
