@@ -88,7 +88,8 @@ def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     own = rows.select(F.when(F.col("r") == 0, F.lit(total - 1)).otherwise(F.col("r") - 1).alias("r"),
                       F.col("d").alias("to_d"), F.col("th").alias("to_th"), F.floor(F.col("n") / 3).cast("int").alias("need"))
     donors = own.join(rows.select("r", "d", "th"), "r").select("d", "th", "to_d", "to_th", "need")
-    # a running count, as a rank filter would be pushed below the exchange, which then could not be shared
+    # a running count: Spark pushes the limit of a rank filter below the exchange, which would then
+    # differ from the own side's exchange, and all texts would be shuffled twice
     nth = F.count("*").over(W.partitionBy("d", "th").orderBy("d").rowsBetween(W.unboundedPreceding, W.currentRow))
     base = docs.select("d", "th", "text")
     lent = (base.withColumn("nth", nth).where("nth = 1").join(donors.hint("shuffle_hash"), ["d", "th"])
