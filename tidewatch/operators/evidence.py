@@ -64,7 +64,8 @@ def variance_student_step(ret: Column, var: Column, cfg: MonitorConfig) -> Colum
 
 def _block_days(cfg: MonitorConfig) -> int:
     """Days over which the decay stays far inside the range of a double."""
-    return max(1, int(300.0 / -math.log(cfg.ewma_lambda)))
+    decay = -math.log(cfg.ewma_lambda)
+    return 1 << 30 if decay == 0.0 else max(1, int(min(300.0 / decay, 1 << 30)))
 
 
 def with_ewma_variance(panel: DataFrame, cfg: MonitorConfig, keys: Sequence[str] = KEYS,

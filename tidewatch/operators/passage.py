@@ -225,19 +225,22 @@ def reliability_table(q: DataFrame, group: Sequence[str], n_bins: int = 10) -> D
 
 # --- paired comparisons ------------------------------------------------------------
 
-def paired(fp: DataFrame, pairs: DataFrame, cfg: MonitorConfig, horizon: int,
+def paired(fp: DataFrame, pairs: Sequence[tuple[str, str]], cfg: MonitorConfig, horizon: int,
            group: Sequence[str] = ("far_target",)) -> DataFrame:
     """Per-entity differences between two methods on the same entities.
 
-    `pairs` has method_a and method_b. Detection counts use the invalid role,
+    `pairs` lists (method_a, method_b). Detection counts use the invalid role,
     false alarms the valid one; intervals are normal, over entities.
     """
     base = fp.select("scenario", "path_set", "entity", "method", *[g for g in group if g != "scenario"],
                      alarmed_by(horizon).cast("double").alias("hit"), truncated(horizon).cast("double").alias("t"))
     ids = list(dict.fromkeys([*group, "scenario", "path_set", "entity"]))
-    a = base.join(pairs, base["method"] == pairs["method_a"]).drop("method").withColumnsRenamed({"hit": "ha", "t": "ta"})
-    b = base.withColumnsRenamed({"method": "method_b", "hit": "hb", "t": "tb"})
-    j = a.join(b, [*ids, "method_b"])
+    # all methods of an entity in one row; a pair looks up its two, so nothing is joined with itself
+    per = base.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("method", F.struct("hit", "t")))).alias("_m"))
+    listed = F.explode(F.array(*[F.struct(F.lit(x).alias("method_a"), F.lit(y).alias("method_b")) for x, y in pairs])).alias("_p")
+    j = per.select(*ids, "_m", listed).select(*ids, "_m", "_p.*").where(F.map_contains_key("_m", F.col("method_a")) & F.map_contains_key("_m", F.col("method_b")))
+    at = lambda m, c: F.col("_m")[F.col(m)][c]
+    j = j.select(*ids, "method_a", "method_b", at("method_a", "hit").alias("ha"), at("method_a", "t").alias("ta"), at("method_b", "hit").alias("hb"), at("method_b", "t").alias("tb"))
     inv, val = F.col("path_set") == "test_invalid", F.col("path_set") == "test_valid"
     d, dt = F.when(inv, F.col("ha") - F.col("hb")), F.when(inv, F.col("ta") - F.col("tb"))
     n = F.count(d)

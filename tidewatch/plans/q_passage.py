@@ -224,8 +224,7 @@ def brier_reliability(spark, sf):
 
 # --- paired comparisons ------------------------------------------------------------
 
-def _pairs(spark, reference="binary_gaussian"):
-    return small(spark.createDataFrame([(reference, m) for m in M if m != reference], "method_a string, method_b string"))
+PAIRS = [("binary_gaussian", m) for m in M if m != "binary_gaussian"]
 
 
 _SQLP = f"""{SQL_FP},
@@ -241,7 +240,7 @@ vv AS (SELECT far_target, method_a, method_b, avg(ha) AS far_a, avg(hb) AS far_b
 
 
 def _paired(spark, sf):
-    return pa.paired(passages(spark, sf), _pairs(spark), CFG, H)
+    return pa.paired(passages(spark, sf), PAIRS, CFG, H)
 
 
 @query("paired_table", f"""{_SQLP}
