@@ -16,7 +16,7 @@ from tidewatch.plans import q_diagnostics as qd
 from tidewatch.plans import q_resample as qr
 from tidewatch.plans import sqlgen as sg
 from tidewatch.plans.catalog import query
-from tidewatch.sources.tables import handoff
+from tidewatch.sources.tables import handoff, staged
 
 rr, rsel = qd.rr, qd.rsel
 YEARS = (1998, 1999, 2000, 2001)
@@ -173,15 +173,15 @@ def decided_by(spark, p, origin):
     """Losses of every candidate in all calibration windows that end by the origin; cuts the panel itself."""
     w = windows(spark).where(~_is_year() & (F.col("end") <= F.to_date(F.lit(origin))))
     seen = rt.as_of_cut(p, spark.createDataFrame([(origin,)], "o string").select(F.to_date("o").alias("origin"))).drop("origin")
-    _, tv, real, sc = parts(window_statistics(seen, w))
-    return ct.loss(ct.loss_terms(tv, real, sc, CAL), qx.CELL)
+    _, tv, real, sc = parts(staged(window_statistics(seen, w), "seen"))
+    return staged(ct.loss(ct.loss_terms(tv, real, sc, CAL), qx.CELL), "decided")
 
 
 def decided_without(spark, p, holdout):
     """Losses in all windows and years before the holdout year; cuts the panel itself."""
     w = windows(spark).where(F.col("end") < F.make_date(F.lit(holdout), F.lit(1), F.lit(1)))
-    _, tv, real, sc = parts(window_statistics(rt.period_slice(p, DEV_START, f"{holdout - 1}-12-31"), w))
-    return ct.loss(ct.loss_terms(tv, real, sc, CAL), qx.CELL)
+    _, tv, real, sc = parts(staged(window_statistics(rt.period_slice(p, DEV_START, f"{holdout - 1}-12-31"), w), "seen"))
+    return staged(ct.loss(ct.loss_terms(tv, real, sc, CAL), qx.CELL), "decided")
 
 
 _CELLS = "SELECT count(*) FROM (SELECT DISTINCT v.period, scenario, candidate FROM pan JOIN (VALUES {w}) v(period, s, e) ON date BETWEEN s AND e WHERE {c})"

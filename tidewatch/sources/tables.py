@@ -45,6 +45,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _handoffs: dict[tuple, tuple[str, StructType]] = {}
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """A table that a query reads more than once, written to the shared folder for it alone."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def source_status(spark: SparkSession, sf_dir: str) -> tuple:
     """Name, length and change time of each table, as the tables' own file system reports them."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(sf_dir)
