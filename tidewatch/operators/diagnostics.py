@@ -89,35 +89,43 @@ def with_leads(df: DataFrame, keys: Sequence[str], by: str, lags: Sequence[int])
     return with_location_scale(df, keys).withColumns({f"_lead{h}": F.lead("ret", h).over(w) for h in lags})
 
 
-def acf_columns(lags: Sequence[int] = LAGS, series: Sequence[str] = ("ret", "absret", "sqret")) -> dict[str, Column]:
-    out = {}
-    for name in series:
-        for h in lags:
-            out[f"acf_{name}_lag{h}"] = pair_corr(_transforms(F.col("ret"))[name], _transforms(F.col(f"_lead{h}"))[name])
-    return out
+def lag_pairs(lags: Sequence[int] = LAGS, series: Sequence[str] = ("ret", "absret", "sqret")) -> dict[tuple[str, int], tuple[Column, Column]]:
+    """Members of each autocorrelation, by series transform and lag."""
+    return {(s, h): (_transforms(F.col("ret"))[s], _transforms(F.col(f"_lead{h}"))[s]) for s in series for h in lags}
+
+
+def lead_pairs(lags: Sequence[int] = LEAD_LAGS) -> dict[tuple[str, int], tuple[Column, Column]]:
+    """Return against the later squared one, by lag."""
+    return {("leadlag", h): (F.col("ret"), _transforms(F.col(f"_lead{h}"))["sqret"]) for h in lags}
 
 
-def lead_lag_columns(lags: Sequence[int] = LEAD_LAGS) -> dict[str, Column]:
-    return {f"leadlag_ret_vs_future_sq_lag{h}": pair_corr(F.col("ret"), _transforms(F.col(f"_lead{h}"))["sqret"]) for h in lags}
+def _cell(s: str, h: int, a: Column, b: Column) -> Column:
+    return F.struct(F.lit(s).alias("_s"), F.lit(h).alias("_h"), a.cast("double").alias("_a"), b.cast("double").alias("_b"))
+
+
+def pair_cells(d: DataFrame, keys: Sequence[str], pairs: dict[tuple[str, int], tuple[Column, Column]], once: dict[str, Column] | None = None) -> DataFrame:
+    """(keys, _s, _h, _a, _b): one row per day and pair of series _s and lag _h; values in `once` on a row that `_first` marks.
+
+    Grouping by (keys, _s, _h) needs no shuffle behind windows over the keys, and two
+    plain columns keep the aggregate short enough to be compiled.
+    """
+    cells = F.array(*[_cell(s, h, a, b) for (s, h), (a, b) in pairs.items()])
+    if once:
+        more = F.array(*[_cell(s, 0, a, F.lit(None)) for s, a in once.items()])
+        cells = F.when(F.col("_first"), F.concat(cells, more)).otherwise(cells)
+    return d.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*")
 
 
 def autocorrelation(df: DataFrame, keys: Sequence[str], by: str, lags: Sequence[int],
                     series: Sequence[str] = ("ret", "absret", "sqret")) -> DataFrame:
-    """Long: one row per series transform and lag, with its own pair means."""
-    d = with_leads(df, keys, by, lags)
-    cols = acf_columns(lags, series)
-    per = d.groupBy(*keys).agg(*[c.alias(n) for n, c in cols.items()], *[F.count(f"_lead{h}").alias(f"_n{h}") for h in lags])
-    cells = F.explode(F.array(*[F.struct(F.lit(s).alias("series"), F.lit(h).alias("lag"), F.col(f"_n{h}").alias("n_pairs"),
-                                         F.col(f"acf_{s}_lag{h}").alias("correlation")) for s in series for h in lags]))
-    return per.select(*keys, cells.alias("_c")).select(*keys, "_c.*")
+    """Long: one row per series transform and lag, with its own pair means; n_pairs counts the later members."""
+    cells = pair_cells(with_leads(df, keys, by, lags), keys, lag_pairs(lags, series))
+    return cells.groupBy(*keys, F.col("_s").alias("series"), F.col("_h").alias("lag")).agg(F.count("_b").alias("n_pairs"), pair_corr(F.col("_a"), F.col("_b")).alias("correlation"))
 
 
 def lead_lag(df: DataFrame, keys: Sequence[str], by: str, lags: Sequence[int] = LEAD_LAGS) -> DataFrame:
-    d = with_leads(df, keys, by, lags)
-    per = d.groupBy(*keys).agg(*[c.alias(n) for n, c in lead_lag_columns(lags).items()], *[F.count(f"_lead{h}").alias(f"_n{h}") for h in lags])
-    cells = F.explode(F.array(*[F.struct(F.lit(h).alias("lag"), F.col(f"_n{h}").alias("n_pairs"),
-                                         F.col(f"leadlag_ret_vs_future_sq_lag{h}").alias("correlation")) for h in lags]))
-    return per.select(*keys, cells.alias("_c")).select(*keys, "_c.*")
+    cells = pair_cells(with_leads(df, keys, by, lags), keys, lead_pairs(lags))
+    return cells.groupBy(*keys, F.col("_h").alias("lag")).agg(F.count("_b").alias("n_pairs"), pair_corr(F.col("_a"), F.col("_b")).alias("correlation"))
 
 
 def aggregate_returns(df: DataFrame, keys: Sequence[str], h: int) -> DataFrame:
@@ -152,36 +160,39 @@ def wasserstein1(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str = "
 def path_statistics(df: DataFrame, keys: Sequence[str], by: str = "day") -> DataFrame:
     """One wide row per series with every headline statistic.
 
-    `df` needs a dense 1-based `day` inside the series. Windows and the grouped
-    aggregation share the partitioning on the keys, so the series is shuffled once.
+    `df` needs a dense 1-based `day` inside the series. Windows and both groupings share
+    the partitioning on the keys, so the series is shuffled once.
     """
-    w = _order(keys, by)
-    d = with_leads(df, keys, by, LAGS).withColumn("rv", realised_vol_col(keys, by))
+    w, whole = _order(keys, by), Window.partitionBy(*keys)
+    d = with_leads(df, keys, by, LAGS).withColumn("rv", realised_vol_col(keys, by)).withColumn("_first", F.row_number().over(w) == 1)
+    # the compounded return of a whole h-day block stands on its last day; windows keep the one sort
+    d = d.withColumns({f"_agg{h}": F.col("ret") if h == 1 else F.when(F.col(by) % h == 0, F.product(1.0 + F.col("ret")).over(w.rowsBetween(-(h - 1), 0)) - 1.0)
+                       for h in AGG_DAYS})
     d = d.withColumn("_z", (F.col("ret") - F.col("_mean")) / F.nullif(F.col("_sd"), F.lit(0.0)))
-    hit = (F.abs("_z") > CONC_SD).cast("int")
     cw = w.rowsBetween(-(CONC_WINDOW - 1), 0)
-    d = d.withColumn("_conc", F.when(F.count("_z").over(cw) == CONC_WINDOW, F.sum(hit).over(cw)))
-    # the compounded return of a whole h-day block stands on its last day; windows keep the one sort
-    block = {h: F.col("ret") if h == 1 else F.when(F.col(by) % h == 0, F.product(1.0 + F.col("ret")).over(w.rowsBetween(-(h - 1), 0)) - 1.0) for h in AGG_DAYS}
-    d = d.withColumns({f"_agg{h}": c for h, c in block.items()})
-    m = moments("ret")
-    rv = F.percentile("rv", F.array(F.lit(.1), F.lit(.5), F.lit(.9)))
-    aggs = [m["n"].alias("n_days"), m["sd"].alias("sd_daily"), m["skewness"].alias("skewness"),
-            m["excess_kurtosis"].alias("excess_kurtosis"), rv.alias("_rv"),
-            F.max("_conc").cast("double").alias("concentration_max_exceed_63d")]
-    for c in TAILS:
-        aggs += [F.count_if(F.col("_z") < -c).cast("double").alias(f"tail_below_m{c}_count"),
-                 F.count_if(F.col("_z") > c).cast("double").alias(f"tail_above_p{c}_count")]
-    aggs += [c.alias(n) for n, c in {**acf_columns(), **lead_lag_columns()}.items()]
-    for h in AGG_DAYS:
-        am = moments(f"_agg{h}")
-        aggs += [am["sd"].alias(f"agg{h}d_sd"), am["skewness"].alias(f"agg{h}d_skewness"), am["excess_kurtosis"].alias(f"agg{h}d_excess_kurtosis"),
-                 am["n"].cast("double").alias(f"agg{h}d_n_blocks")]
-    out = d.groupBy(*keys).agg(*aggs).withColumns({f"rv21_q{q}": F.col("_rv")[i] for i, q in enumerate((10, 50, 90))})
+    d = d.withColumn("_conc", F.when(F.count("_z").over(cw) == CONC_WINDOW, F.sum((F.abs("_z") > CONC_SD).cast("int")).over(cw)))
+    d = d.withColumn("_rv", F.percentile("rv", F.array(F.lit(.1), F.lit(.5), F.lit(.9))).over(whole))
+    once = {f"rv21_q{q}": F.col("_rv")[i] for i, q in enumerate((10, 50, 90))}
+    over = {"concentration_max_exceed_63d": F.max("_conc")}
     for c in TAILS:
-        for side in (f"below_m{c}", f"above_p{c}"):
-            out = out.withColumn(f"tail_{side}_freq", F.col(f"tail_{side}_count") / F.col("n_days"))
-    return out.drop("_rv")
+        over |= {f"tail_below_m{c}_count": F.count_if(F.col("_z") < -c), f"tail_above_p{c}_count": F.count_if(F.col("_z") > c)}
+    for h in AGG_DAYS:  # shape is NULL for a constant series
+        x = f"_agg{h}"
+        over |= {f"agg{h}d_sd": F.stddev_samp(x), f"agg{h}d_skewness": F.skewness(x), f"agg{h}d_excess_kurtosis": F.kurtosis(x), f"agg{h}d_n_blocks": F.count(x)}
+    d = d.withColumns({f"_{n}": c.over(whole) for n, c in over.items()})
+    once |= {n: F.col(f"_{n}") for n in over}
+
+    cells = pair_cells(d, keys, {**lag_pairs(), **lead_pairs()}, once).groupBy(*keys, "_s", "_h").agg(
+        pair_corr(F.col("_a"), F.col("_b")).alias("corr"), F.max("_a").alias("value"))
+    at = lambda s, h, c: F.max(F.when((F.col("_s") == s) & (F.col("_h") == h), F.col(c)))
+    wide = {"n_days": at("agg1d_n_blocks", 0, "value").cast("bigint"), "sd_daily": at("agg1d_sd", 0, "value"),
+            "skewness": at("agg1d_skewness", 0, "value"), "excess_kurtosis": at("agg1d_excess_kurtosis", 0, "value")}
+    wide |= {f"acf_{s}_lag{h}": at(s, h, "corr") for s, h in lag_pairs()}
+    wide |= {f"leadlag_ret_vs_future_sq_lag{h}": at(s, h, "corr") for s, h in lead_pairs()}
+    wide |= {n: at(n, 0, "value") for n in once}
+    out = cells.groupBy(*keys).agg(*[c.alias(n) for n, c in wide.items()])
+    return out.withColumns({f"tail_{side}_freq": F.col(f"tail_{side}_count") / F.col("n_days")
+                            for c in TAILS for side in (f"below_m{c}", f"above_p{c}")})
 
 
 def statistic_names() -> list[str]:
