@@ -104,24 +104,30 @@ def metric_rows(fp: DataFrame, group: Sequence[str], cfg: MonitorConfig,
                 days: Sequence[int] | None = None, horizon: int | None = None) -> DataFrame:
     """Wide metric row per rule: false-alarm and detection side by side.
 
-    `fp` holds both test roles; the aggregation is one conditional pass and the
-    medians come from the day-count table, which is bounded by the horizon.
+    `fp` holds both test roles and is read once: entities are counted by role and alarm day,
+    and that table, which the horizon bounds, gives rates, means and the median.
     """
     days = days or cfg.report_days
     h = horizon or cfg.horizon
-    t = truncated(h).cast("double")
-    aggs = []
+    c = fp.groupBy(*group, "path_set", "tau").agg(F.count(F.lit(1)).alias("_k"), F.max("threshold").alias("threshold"))
+    late, run = F.col("path_set") == "test_invalid", Window.partitionBy(*group).orderBy("tau").rowsBetween(Window.unboundedPreceding, 0)
+    live = late & alarmed_by(h)
+    c = (c.withColumn("_c", F.sum(F.when(live, F.col("_k")).otherwise(0)).over(run))
+         .withColumn("_n", F.sum(F.when(late, F.col("_k"))).over(Window.partitionBy(*group))))
+    total = lambda cond, x: F.coalesce(F.sum(F.when(cond, x)), F.lit(0))
+    k, t = F.col("_k"), truncated(h).cast("bigint")
+    aggs = [F.min(F.when(live & (F.col("_c") >= 0.5 * F.col("_n")), F.col("tau"))).alias("median_detect_day")]
     for role, tag in (("test_valid", "far"), ("test_invalid", "detect")):
         mine = F.col("path_set") == role
-        aggs.append(F.count_if(mine).alias(f"n_{role}"))
-        aggs += [F.count_if(mine & alarmed_by(d)).alias(f"_{tag}_{d}") for d in days]
-        aggs.append(F.count_if(mine & alarmed_by(h)).alias(f"_{tag}_H"))
-        x = F.when(mine, t)
-        aggs += [F.avg(x).alias(f"trunc_mean_{tag}"),
-                 (F.stddev_samp(x) / F.sqrt(F.count(x))).alias(f"trunc_se_{tag}")]
-    wide = fp.groupBy(*group).agg(F.max("threshold").alias("threshold"), *aggs)
-    med = median_day(fp.where(F.col("path_set") == "test_invalid"), group, h, name="median_detect_day")
-    wide = wide.join(med, list(group), "left")
+        aggs.append(total(mine, k).alias(f"n_{role}"))
+        aggs += [total(mine & alarmed_by(d), k).alias(f"_{tag}_{d}") for d in days]
+        aggs.append(total(mine & alarmed_by(h), k).alias(f"_{tag}_H"))
+        aggs += [total(mine, k * t).cast("double").alias(f"_{tag}_s1"), total(mine, k * t * t).cast("double").alias(f"_{tag}_s2")]
+    wide = c.groupBy(*group).agg(F.max("threshold").alias("threshold"), *aggs)
+    for role, tag in (("test_valid", "far"), ("test_invalid", "detect")):
+        n, s1 = F.col(f"n_{role}").cast("double"), F.col(f"_{tag}_s1")
+        var = F.greatest(ratio(F.col(f"_{tag}_s2") - ratio(s1 * s1, n), n - 1.0), F.lit(0.0))
+        wide = wide.withColumn(f"trunc_mean_{tag}", ratio(s1, n)).withColumn(f"trunc_se_{tag}", F.when(n > 1, F.sqrt(var) / F.sqrt(n)))
     cols: list[Column] = [F.col(c) for c in (*group, "threshold", "n_test_valid", "n_test_invalid")]
     for role, tag in (("test_valid", "far"), ("test_invalid", "detect")):
         n = F.col(f"n_{role}")
