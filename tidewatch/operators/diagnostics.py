@@ -285,9 +285,9 @@ def lag1_definitions(df: DataFrame, keys: Sequence[str], date: str = "date") ->
 def subperiod_table(df: DataFrame, keys: Sequence[str], by: str = "date") -> DataFrame:
     """Compact statistics per (series, period); keys include the period."""
     d = with_leads(df, keys, by, (1, 5, 21)).withColumn("rv", realised_vol_col(keys, by))
-    m, a = moments("ret"), acf_columns((1, 5, 21), ("ret", "absret"))
+    m, pairs = moments("ret"), lag_pairs((1, 5, 21), ("ret", "absret"))
     return d.groupBy(*keys).agg(m["n"].alias("n"), m["sd"].alias("sd"), m["skewness"].alias("skewness"), m["excess_kurtosis"].alias("excess_kurtosis"),
-                                *[a[c].alias(c) for c in ("acf_ret_lag1", "acf_ret_lag5", "acf_absret_lag1", "acf_absret_lag21")],
+                                *[pair_corr(*pairs[s, h]).alias(f"acf_{s}_lag{h}") for s, h in (("ret", 1), ("ret", 5), ("absret", 1), ("absret", 21))],
                                 F.percentile("rv", F.lit(0.5)).alias("rv21_median"))
 
 
