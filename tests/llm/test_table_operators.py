@@ -180,6 +180,55 @@ def test_simhash_links_of_crafted_fingerprints(spark):
     assert {frozenset(s) for s in got.values()} == {frozenset(s) for s in hand.values()}
 
 
+def shingles_by_hand(text):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    a, b = shingles_by_hand(a), shingles_by_hand(b)
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+@pytest.mark.parametrize("piece", [4 << 20, 3000])
+def test_near_copies_from_similarity_0_8_on(spark, nothing, piece, monkeypatch):
+    """Planted near copies of 0.8 to 0.95 go, whatever their fingerprints' distance; pairs below 0.8 stay."""
+    import corpus_pipeline
+
+    from tidewatch.llm import near_copies
+    monkeypatch.setattr(near_copies, "PIECE_BYTES", piece)
+    rng = np.random.default_rng(8)
+    rows = [r for r in ROUGH if len(r[1] or "") < 10_000]
+    for k in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        edits = 1 + k % 8  # each replaced word changes five of the shingles: similarity 0.97 to 0.76
+        near = list(words)
+        for at in range(edits):
+            near[20 + 30 * at] = f"new{at}"
+        rows += [(1000 + 2 * k, " ".join(words)), (1001 + 2 * k, " ".join(near).upper())]
+    hot = [f"h{x}" for x in range(200)]
+    rows += [(2000 + k, " ".join([*hot[:5 * k], f"own{k}", *hot[5 * k + 1:]])) for k in range(30)]
+    rows += [(3000 + k, " ".join(hot[8 * k:] + [f"z{x}" for x in range(8 * k)])) for k in range(12)]  # a chain
+    sets = [(LAST if i is None else i, t) for i, t in rows]
+    near, left, low = {}, list(range(len(sets))), {}
+    while left:
+        group, left = [left[0]], left[1:]
+        for x in group:
+            near = {y for y in left if alike(sets[x][1], sets[y][1])}
+            group += near
+            left = [y for y in left if y not in near]
+        for x in group:
+            low[x] = min(sets[y][0] for y in group)
+    want = Counter((rows[k][0], None if c == LAST else c) for k, c in low.items())
+    df = rough_frame(spark, rows)
+    assert Counter(map(tuple, near_copies.near_copies(df).collect())) == want
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, SF).collect()}
+    assert kept == {c for _, c in want}
+    planted = [(k, alike(rows_a, rows_b)) for k, (rows_a, rows_b) in enumerate((dict(rows)[1000 + 2 * k], dict(rows)[1001 + 2 * k]) for k in range(40))]
+    assert all((1001 + 2 * k in kept) != gone for k, gone in planted) and 0 < sum(gone for _, gone in planted) < 40
+    assert near_copies.near_copies(nothing).count() == 0
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     edges = [(k, k + 1) for k in range(60)] + [(1000, int(k)) for k in range(1001, 1100)] + [tuple(map(int, rng.integers(2000, 2100, 2))) for _ in range(60)] + [(5, 5)]

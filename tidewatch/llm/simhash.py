@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -186,12 +186,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.join(of, "fp").select("id", "fp", "component_id")
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`df`'s rows of one document per component, all columns: those with the component's smallest id.
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """`df`'s rows of one document per component of `groups`, all columns: those with the component's smallest id.
 
     Rows that share that id are all of that document. Rows without an id stay only where
     their component has no other.
     """
-    kept = near_duplicates(df, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.coalesce("id", F.lit(LAST_ID)).alias("d")).distinct()
+    kept = groups(df, id_col, text_col).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.coalesce("id", F.lit(LAST_ID)).alias("d")).distinct()
     rows = df.select(packed(df), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("d"))
     return rows.join(kept.hint("shuffle_hash"), "d", "left_semi").select("row.*")
