@@ -326,3 +326,25 @@ def test_pipeline(spark):
     stay = {i for (i, _), c in low.items() if i == c}
     assert set(got) == stay and all(got[i].decoded_sha256 == want[i] for i in stay)
     assert all(hashlib.sha256(",".join(map(str, r.ids)).encode()).hexdigest() == r.ids_sha256 and len(r.ids) == r.n_tokens for r in got.values())
+
+
+def test_pipeline_meets_the_target_weights(spark):
+    """run()'s rows are in mixed order, and every source stays within one block of its weight while it has blocks."""
+    import corpus_pipeline
+    assert spark.read.parquet(f"{SF}/documents.parquet").select("source").distinct().count() > 1
+    got = corpus_pipeline.run(spark, SF).collect()
+    order = [(r.slot, r.place) for r in got]
+    assert order == sorted(order) and len(set(order)) == len(order)
+    source = {r.doc_id: r.source for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert all(source[r.doc_id] == r.source for r in got)
+    owner = {r.slot: r.source for r in got}
+    assert sorted(owner) == list(range(len(owner))) and all(owner[r.slot] == r.source for r in got)
+    blocks = Counter(owner.values())
+    done, base, start, alive = Counter(), Counter(), 0, set(blocks)
+    for t in range(len(owner)):
+        done[owner[t]] += 1
+        whole = sum(queries.TARGETS[s] for s in alive)
+        assert all(abs(done[s] - base[s] - (t + 1 - start) * queries.TARGETS[s] / whole) < 1 for s in alive)
+        if any(done[s] == blocks[s] for s in alive):
+            alive = {s for s in alive if done[s] < blocks[s]}
+            base, start = Counter(done), t + 1

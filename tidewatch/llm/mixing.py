@@ -148,10 +148,11 @@ def mix(df: DataFrame, weights: Mapping[str, float] | None = None, block_rows: i
 
 
 def mixed(df: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = 16, seed: int = 11, rest: float = 1.0,
-          id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """`df` itself, all rows and columns, range-partitioned and sorted in mixed order, so files written from it are read in that order.
+          id_col: str = "doc_id", source_col: str = "source", placed: bool = False) -> DataFrame:
+    """`df` itself, all rows and columns, range-partitioned and sorted in mixed order.
 
-    Rows that share id and source are in one place each; a missing id or source is as in `mix`.
+    A scan of files written from it may take them in another order; with `placed` the rows
+    carry their slot and place as further columns, which are the order. Rows that share id and source are in one place each; a missing id or source is as in `mix`.
     """
     m = mix(df, weights, block_rows, seed, rest, id_col, source_col)
     first = m.groupBy("id", "source").agg(F.min(F.struct("slot", "place")).alias("at"))
@@ -159,4 +160,4 @@ def mixed(df: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
     rows = df.select(packed(df), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(LAST_ID)).alias("d"),
                      F.coalesce(F.concat(F.lit("="), F.col(f"`{source_col}`").cast("string")), F.lit("")).alias("src"))
     return (rows.join(first.hint("shuffle_hash"), ["d", "src"], "left").repartitionByRange(partitions(df.sparkSession), "slot", "place")
-            .sortWithinPartitions("slot", "place").select("row.*"))
+            .sortWithinPartitions("slot", "place").select("row.*", *(["slot", "place"] if placed else [])))
