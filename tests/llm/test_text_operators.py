@@ -227,3 +227,45 @@ def test_edit_report(spark):
             want[(i, len(t), sha(t[:len(t) - k] + nxt[(LAST if i is None else i, keys[t])][:k]))] += 1
         assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
         assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+
+
+@pytest.mark.parametrize("least", [1, 8, fingerprints.LEAST])
+def test_short_texts_against_long_ones(spark, least):
+    """Likeness and containment equal those of the whole shingle sets below what both sketches cover; full for short pairs."""
+    full = 2**63 - 1
+    words = [f"w{k}" for k in range(1500)]
+    long = " ".join(words)
+    pairs = [(" ".join(words[k:k + n + 4]), long) for n in range(1, 30) for k in (0, 40, 900)]  # n shingles, all in the long text
+    pairs += [(" ".join(words[:n]), " ".join([*words[:n - 2], "x", "y"])) for n in range(5, 60)]
+    pairs += [(long, long + " end"), ("", long), (long, ""), ("", ""), ("a b", "a b"), ("a b", "c d"), ("a b", "")]
+    df = spark.createDataFrame(pairs, "x string, y string")
+    hashes = df.select(fingerprints.shingle_hashes(F.col("x")).alias("x"), fingerprints.shingle_hashes(F.col("y")).alias("y")).collect()
+    a, b = (fingerprints.sketch(F.col(c), least=least) for c in "xy")
+    got = df.select(F.lit(0).alias("o"), fingerprints.likeness(a, b, least=least).alias("j"), fingerprints.containment(a, b, least=least).alias("c")).collect()
+    ceiling = -(2**63) + 2**64 // fingerprints.SCALE
+
+    def limit(s):
+        few = sorted(s)[:least]
+        return full if len(s) < least else max(ceiling - 1, few[-1])
+
+    for (x, y), h, r in zip(pairs, hashes, got, strict=True):
+        p, q = set(h.x), set(h.y)
+        t = min(limit(p), limit(q))
+        u, v = {k for k in p if k <= t}, {k for k in q if k <= t}
+        j = 1.0 if not p and not q else len(u & v) / len(u | v) if u | v else None
+        c = 1.0 if not p else 0.0 if not q else len(u & v) / len(u) if u else None
+        assert (r.j, r.c) == (j, c), (x[:40], y[:40])
+        if p and p <= q:
+            assert r.c in (1.0, None)  # a wholly contained text never has containment below 1
+        if max(len(p), len(q)) < least and p | q:
+            assert r.j == len(p & q) / len(p | q)
+
+
+def test_report_compares_short_texts_in_full(spark):
+    rows = [(k, " ".join(f"v{k}x{j}" for j in range(9 + k))) for k in range(30)]
+    got = {r.doc_id: r for r in fingerprints.edit_report(frame(spark, rows)).collect()}
+    for k, t in rows:
+        n = len(t) // 3
+        edited = t[:len(t) - n] + dict(rows)[(k - 1) % 30][:n]
+        a, b = ({tuple(x.split()[j:j + 5]) for j in range(len(x.split()) - 4)} for x in (t, edited))
+        assert got[k].near_edited == len(a & b) / len(a | b) > 0 and got[k].held_by_edited == len(a & b) / len(a)

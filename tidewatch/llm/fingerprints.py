@@ -11,6 +11,8 @@ from tidewatch.llm.common import LAST_ID, let, narrowed, numbered
 SHINGLE = 5
 #: one hash in SCALE is retained
 SCALE = 8
+#: hashes that the report's sketches have at least, if the text has as many
+LEAST = 64
 
 
 def shingle_hashes(text: Column, width: int = SHINGLE) -> Column:
@@ -26,44 +28,69 @@ def _ceiling(scale: int) -> int:
     return -(2**63) + 2**64 // scale
 
 
-def retained(hashes: Column, scale: int = SCALE) -> Column:
-    """Sorted distinct hashes below the threshold, or the smallest hash where none is.
+def retained(hashes: Column, scale: int = SCALE, least: int = 1) -> Column:
+    """Sorted distinct hashes below the threshold, or the `least` smallest ones where fewer are.
 
     The rule gives the same sketch whether it is applied to a whole or to a union of
     sketches of parts, so sketches merge; only a text without words has an empty one.
     """
     def of(all_: Column) -> Column:
         low = F.array_sort(F.array_distinct(F.filter(all_, lambda h: h < _ceiling(scale))))
-        return let(low, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array_compact(F.array(F.array_min(all_)))))
+        few = F.slice(F.array_sort(F.array_distinct(all_)), 1, least)
+        return let(low, lambda x: F.when(F.size(x) >= least, x).otherwise(few))
     return let(hashes, of)
 
 
-def sketch(text: Column, width: int = SHINGLE, scale: int = SCALE) -> Column:
-    return retained(shingle_hashes(text, width), scale)
+def sketch(text: Column, width: int = SHINGLE, scale: int = SCALE, least: int = 1) -> Column:
+    return retained(shingle_hashes(text, width), scale, least)
 
 
-def merged(a: Column, b: Column, scale: int = SCALE) -> Column:
+def merged(a: Column, b: Column, scale: int = SCALE, least: int = 1) -> Column:
     """The sketch of the union of two shingle sets."""
-    return retained(F.array_union(a, b), scale)
+    return retained(F.array_union(a, b), scale, least)
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity; two empty sketches are alike."""
-    both = F.size(F.array_union(a, b))
-    return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(both, F.lit(1)))
+def covered(s: Column, scale: int = SCALE, least: int = 1) -> Column:
+    """The largest hash value up to which the sketch holds every hash of its text.
+
+    Fewer than `least` hashes are all there are; as many, of which one lies above the threshold,
+    are all up to that one; otherwise all below the threshold are held.
+    """
+    last = F.coalesce(F.array_max(s), F.lit(-(2**63)))
+    return F.when(F.size(s) < least, F.lit(2**63 - 1)).otherwise(F.greatest(last, F.lit(_ceiling(scale) - 1)))
+
+
+def _shared(a: Column, b: Column, scale: int, least: int, body) -> Column:
+    """body(a, b) of both sketches cut to what both cover."""
+    cut = lambda s, t: F.filter(s, lambda h: h <= t)
+    return let(F.least(covered(a, scale, least), covered(b, scale, least)), lambda t: let(cut(a, t), lambda x: let(cut(b, t), lambda y: body(x, y))))
 
 
-def containment(a: Column, b: Column) -> Column:
-    """Estimated share of a's shingles that b holds, however unequal their lengths; 1 where a has none."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
+def likeness(a: Column, b: Column, scale: int = SCALE, least: int = 1) -> Column:
+    """Estimated Jaccard similarity; two texts without words are alike. Missing where neither has a hash that both sketches cover."""
+    def of(x: Column, y: Column) -> Column:
+        both = F.size(F.array_union(x, y))
+        return F.when(both > 0, F.size(F.array_intersect(x, y)) / F.greatest(both, F.lit(1)))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(_shared(a, b, scale, least, of))
+
+
+def containment(a: Column, b: Column, scale: int = SCALE, least: int = 1) -> Column:
+    """Estimated share of a's shingles that b holds, however unequal their lengths; 1 where a has none.
+
+    Missing, not zero, where a has no hash that both sketches cover: they tell nothing about it then.
+    """
+    def of(x: Column, y: Column) -> Column:
+        return F.when(F.size(x) > 0, F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.lit(1)))
+    return F.when(F.size(a) == 0, F.lit(1.0)).when(F.size(b) == 0, F.lit(0.0)).otherwise(_shared(a, b, scale, least, of))
 
 
-def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, scale: int = SCALE) -> DataFrame:
+def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, scale: int = SCALE, least: int = 1) -> DataFrame:
     """id, sketch (sorted array of hashes) of every whole text; a row-wise pass without a shuffle.
 
+    Short texts can only be compared if `least` is large; compare with the same `least`.
     A missing text counts as empty. Repeated rows get equal sketches.
     """
-    return narrowed(df, id_col, text_col).select("id", sketch(F.col("text"), width, scale).alias("sketch"))
+    return narrowed(df, id_col, text_col).select("id", sketch(F.col("text"), width, scale, least).alias("sketch"))
 
 
 def printed(s: Column) -> Column:
@@ -80,6 +107,8 @@ def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     as the donor's side, whose needed prefix alone is shuffled on to the receiver. Rows that
     share id and text are one document in this order; rows that share the id alone follow
     their text hashes. A missing id is the largest. A single document is its own next one.
+    Sketches hold LEAST hashes at least, so texts up to that many shingles are compared in full; a
+    comparison is missing where the two sketches cover nothing of the text.
     """
     docs = narrowed(df, id_col, text_col).withColumn("th", F.xxhash64("text"))
     keys = docs.select("d", "th", F.char_length("text").alias("n")).groupBy("d", "th").agg(F.max("n").alias("n"))
@@ -94,12 +123,12 @@ def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     base = docs.select("d", "th", "text")
     lent = (base.withColumn("nth", nth).where("nth = 1").join(donors.hint("shuffle_hash"), ["d", "th"])
             .select(F.col("to_d").alias("d"), F.col("to_th").alias("th"), F.substring(F.col("text"), F.lit(1), F.col("need")).alias("loan"),
-                    sketch(F.col("text")).alias("next_s")))
+                    sketch(F.col("text"), least=LEAST).alias("next_s")))
     both = base.join(lent, ["d", "th"]).withColumn("n_chars", F.char_length("text"))
     both = both.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - F.floor(F.col("n_chars") / 3).cast("int")), F.col("loan")))
     both = both.select(F.when(F.col("d") != LAST_ID, F.col("d")).alias("id"), F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-                       sketch(F.col("text")).alias("s"), sketch(F.col("edited")).alias("e"), "next_s")
+                       sketch(F.col("text"), least=LEAST).alias("s"), sketch(F.col("edited"), least=LEAST).alias("e"), "next_s")
     s, e, n = F.col("s"), F.col("e"), F.col("next_s")
     return both.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", printed(s).alias("fingerprint"), printed(e).alias("edited_fingerprint"),
-                       likeness(s, e).alias("near_edited"), likeness(s, n).alias("near_next"),
-                       containment(s, e).alias("held_by_edited"), containment(s, n).alias("held_by_next"))
+                       likeness(s, e, least=LEAST).alias("near_edited"), likeness(s, n, least=LEAST).alias("near_next"),
+                       containment(s, e, least=LEAST).alias("held_by_edited"), containment(s, n, least=LEAST).alias("held_by_next"))
