@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import LAST_ID, numbered, partitions, written
 
 #: distinct anchors in a block, rows of the sample that first thresholds come from, rows and anchors scored at once, dimensions summed at once
-BLOCK, SAMPLE, ROWS, ANCHORS, STEP = 4096, 4096, 4096, 512, 8
+BLOCK, SAMPLE, ROWS, ANCHORS, STEP = 2048, 4096, 4096, 512, 8
 #: relative room for rounding in the bounds; scores themselves are whole numbers
 SLACK = 1e-9
 
@@ -79,7 +79,8 @@ def threshold_join(x: np.ndarray, y: np.ndarray, least: np.ndarray) -> tuple[np.
         n = int(np.searchsorted(skipped, g, "right"))  # rows that index this group of dimensions
         score[:, :n] += x[:, g * STEP:(g + 1) * STEP] @ y[:n, g * STEP:(g + 1) * STEP].T
         if g in (groups // 4, groups // 2) and n:  # what no anchor can reach any more is not carried on
-            live = ((score + nx[:, g, None] * np.where(skipped > g, ny[np.arange(len(y)), skipped], ny[:, g]) * (1 + SLACK)) >= least[:, None]).any(axis=0)
+            open_ = np.maximum(skipped, g)  # leading groups that are not summed yet
+            live = ((score + nx[:, open_] * ny[np.arange(len(y)), open_] * (1 + SLACK)) >= least[:, None]).any(axis=0)
             y, ny, skipped, score, order = y[live], ny[live], skipped[live], score[:, live], order[live]
     rest = nx[:, skipped] * ny[np.arange(len(y)), skipped] * (1 + SLACK)
     a, b = np.nonzero(score + rest >= least[:, None])
@@ -203,20 +204,16 @@ def hard_negatives(df: DataFrame, anchors: Column, positives: int = 5, negatives
         block = distinct.where((F.col("r") >= at) & (F.col("r") < at + BLOCK)).orderBy("r").select("label", "q").toArrow().combine_chunks()
         x, xl = _matrix(block["q"].combine_chunks(), width, exact), block["label"].to_numpy()
         variety = np.argsort(np.einsum("ij,ij->j", x.astype(np.float64), x), kind="stable")  # heavy dimensions last: they are the indexed ones
-        near = x @ sy.T if len(sy) else np.zeros((len(x), 0), exact)
-        equal = xl[:, None] == sl[None, :]
         n = len(x)
         bottom = np.full((n, 1), -np.inf)
-        pos = _filled(classes, variety, Wanted(x, xl, np.zeros((n, 1), np.int64), bottom, -bottom, np.ones((n, 1), bool), True, positives + 1),
-                      [np.where(equal, near, -np.inf)], "positives")
+        pos = _filled(classes, variety, Wanted(x, xl, np.zeros((n, 1), np.int64), bottom, -bottom, np.ones((n, 1), bool), True, positives + 1), sy, sl, "positives")
         scores = {r["a"]: sorted({p["score"] for p in r["best"]}, reverse=True) for r in pos.select("a", "best").collect()}
         tag, bottom, top, open_ = np.zeros((n, positives + 1), np.int64), np.zeros((n, positives + 1)), np.zeros((n, positives + 1)), np.zeros((n, positives + 1), bool)
         for a, ps in scores.items():
             for w, p in enumerate(ps):
                 tag[a, w], bottom[a, w], top[a, w] = p, -(-low * p // 100), high * p // 100
                 open_[a, w] = bottom[a, w] <= top[a, w]
-        inside = [np.where(~equal & (near <= top[:, w, None]) & (near >= bottom[:, w, None]), near, -np.inf) for w in range(positives + 1)]
-        neg = _filled(classes, variety, Wanted(x, xl, tag, bottom, top, open_, False, negatives), inside, "negatives")
+        neg = _filled(classes, variety, Wanted(x, xl, tag, bottom, top, open_, False, negatives), sy, sl, "negatives")
         out = out.union(_named(numbers.where((F.col("r") >= at) & (F.col("r") < at + BLOCK)), at, pos, neg, positives))
     return out
 
@@ -234,15 +231,28 @@ def _named(anchors: DataFrame, at: int, pos: DataFrame, neg: DataFrame, positive
                     given("negative").alias("negative_id"), F.col("tag").alias("positive_score"), F.col("n.score").alias("negative_score")))
 
 
-def _filled(classes: DataFrame, variety: np.ndarray, wanted: Wanted, sample: list[np.ndarray], name: str) -> DataFrame:
+def _suggested(wanted: Wanted, rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best and the count-th best score that the sample has in each window; its least score where there is none."""
+    out = np.repeat(wanted.least[None].astype(np.float64), 2, axis=0)
+    for at in range(0, len(wanted.vectors) if len(rows) >= wanted.count else 0, ANCHORS):
+        some = slice(at, at + ANCHORS)
+        near = (wanted.vectors[some] @ rows.T).astype(np.float64)
+        near[(wanted.labels[some, None] == labels[None, :]) != wanted.same_label] = -np.inf
+        for w in range(wanted.tag.shape[1]):
+            inside = np.where(near <= wanted.most[some, w, None], near, -np.inf)
+            last = np.partition(inside, inside.shape[1] - wanted.count, axis=1)[:, inside.shape[1] - wanted.count:]
+            out[0, some, w] = np.maximum(out[0, some, w], last.max(axis=1))
+            out[1, some, w] = np.maximum(out[1, some, w], last.min(axis=1))
+    return out[0], out[1]
+
+
+def _filled(classes: DataFrame, variety: np.ndarray, wanted: Wanted, sample: np.ndarray, sample_labels: np.ndarray, name: str) -> DataFrame:
     """a, tag, best (score, id) of every window: thresholds fall until it is full, down to its own least score.
 
     First the best score that the sample has in a window, then its count-th best, which all rows
     together must reach, then the window's lower end.
     """
-    ranks = [np.sort(s, axis=1)[:, ::-1] for s in sample]
-    pick = lambda k: np.stack([r[:, k] if r.shape[1] > k else np.full(len(r), -np.inf) for r in ranks], axis=1)
-    rungs = [np.maximum(pick(0), wanted.least), np.maximum(pick(wanted.count - 1), wanted.least), wanted.least]
+    rungs = [*_suggested(wanted, sample, sample_labels), wanted.least]
     waiting, done = wanted.open, None
     for k, rung in enumerate(rungs):
         if k < 2 and not (waiting & (rung > wanted.least)).any():
