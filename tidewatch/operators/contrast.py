@@ -121,12 +121,10 @@ def screen(losses: DataFrame, keys: Sequence[str], best: int, baseline: Column)
     return r.where((F.col("rank") <= best) | F.col("is_baseline"))
 
 
-def loss_error(long: DataFrame, weights: DataFrame, real: DataFrame, scales: DataFrame, cell: Sequence[str], on: Sequence[str]) -> DataFrame:
-    """Monte-Carlo error of a loss: its sd over resampled ensembles (`weights`: who is drawn how often in `rep`)."""
-    members = [c for c in weights.columns if c not in ("rep", "w")]
+def loss_error(medians: DataFrame, real: DataFrame, scales: DataFrame, cell: Sequence[str], on: Sequence[str]) -> DataFrame:
+    """Monte-Carlo error of a loss: its sd over ensembles resampled as a whole (`medians`: cell, statistic, rep, med)."""
     k = [*cell, "rep"]
-    q = quantiles(long.join(weights, members), [*k, "statistic"], "value", {"med": .5}, weight="w")
-    t = q.select(*k, "statistic", expressed(F.col("med"), F.col("statistic")).alias("target"))
+    t = medians.select(*k, "statistic", expressed(F.col("med"), F.col("statistic")).alias("target"))
     lo = loss(loss_terms(t, real, scales, on), k)
     return lo.groupBy(*cell).agg(F.count("loss").alias("n_reps"), F.stddev_samp("loss").alias("loss_mc_se"))
 

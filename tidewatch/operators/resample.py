@@ -1,32 +1,49 @@
 """Resampling whole entities with draws shared by every method and budget.
 
-A draw is an integer hash of (replicate, draw number, salt), so results do not
-depend on partitioning, retries or task order. Draws collapse to multiplicities
-per (replicate, entity) at once; thresholds are weighted order statistics of
-ranks, found by counting draws per rank bucket first, and rates are weighted
-conditional sums. No replicate is ever collected as a group.
+A replicate draws as many entities as a stratum has, with replacement. Nothing is
+repeated per entity and replicate:
+
+* Entities with the same joint outcome are one weighted cell. An outcome is the value
+  itself only in the bands around the wanted ranks; elsewhere a value says which bands it
+  lies between, and that is all a threshold can ask of it.
+* A replicate's draws are split down: first between bands and the rest, then inside both.
+  A stratum of at most LEAF entities is drawn entity by entity from an integer hash.
+* Cells are dealt to groups of replicates. What moves is cells times groups of replicates;
+  cells grow with the square root of a large stratum, not with its size.
+
+A draw depends on (replicate, stratum) alone: not on partitioning, retries or task order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+import zlib
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from tidewatch.config import MonitorConfig
-from tidewatch.functions.ranking import dense_rank_rows, quantiles
+from tidewatch.functions.ranking import order_statistics
 from tidewatch.functions.small import small
 
 # fixed values: constants of the portable draw hash, two words of 31 bits each
 MOD = (2147483647, 2147483629)
 STEPS = ((7919, 104729, 15485863), (1299709, 6700417, 32452843))
 MIX = ((48271, 65537, 40014, 69621, 32749, 12345), (39373, 46337, 20011, 40692, 28657, 54773))
-#: replicates of the protocol
-REPS = 2000
+# fixed values: replicates of the protocol, of its mixture and of its loss error
+REPS, MIXTURE_REPS, LOSS_REPS = 2000, 1000, 400
 
 SALTS = {"calibration_valid": 1, "test_valid": 2, "test_invalid": 3}
-BUCKET = 4096
+#: entities of a stratum drawn one by one, half-width of a band in standard deviations of its rank, blocks of a large stratum
+LEAF, BAND, BLOCKS = 4096, 8.0, 1024
+#: numbers of a matrix of replicates and cells
+MATRIX = 4 << 20
+
+Salt = Callable[[tuple], int]
 
 
 def draw_index(rep: Column, draw: Column, salt: Column, n: Column) -> Column:
@@ -45,93 +62,334 @@ def draw_index(rep: Column, draw: Column, salt: Column, n: Column) -> Column:
     return (words[0] * F.lit(MOD[1]).cast("bigint") + words[1]) % n
 
 
-def weights(entities: DataFrame, cell: Sequence[str], reps: int, salt: Column) -> DataFrame:
-    """(cell, rep, entity, w): how often each entity is drawn in each replicate.
+def draw_indices(rep: int, salt: int, n: int) -> np.ndarray:
+    """`draw_index` of the draws 0 to n - 1."""
+    words = []
+    for m, (r, d, s), (a, b, c, e, f, g) in zip(MOD, STEPS, MIX, strict=True):
+        h = ((rep * r + np.arange(n, dtype=np.int64) * d + salt * s) % m * a) % m
+        h = (h * (h % b) + c) % m
+        h = (h * e) % m
+        words.append((h * (h % f) + g) % m)
+    return (words[0] * MOD[1] + words[1]) % n
 
-    Draw numbers are generated from the entity rows themselves (row i makes draw
-    i of every replicate), so generation is spread like the data.
-    """
-    idx = dense_rank_rows(entities, cell, "entity", name="idx")
-    draws = idx.select(*cell, salt.cast("bigint").alias("_salt"), (F.col("idx") - 1).alias("_d"), F.col("idx_n").alias("_n"),
-                       F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))).alias("rep"))
-    hit = draws.select(*cell, "rep", draw_index(F.col("rep"), F.col("_d"), F.col("_salt"), F.col("_n")).alias("_i"))
-    cnt = hit.groupBy(*cell, "rep", "_i").agg(F.count(F.lit(1)).alias("w"))
-    return cnt.join(idx.select(*cell, (F.col("idx") - 1).alias("_i"), "entity"), [*cell, "_i"]).drop("_i")
 
+def generator(*coordinates) -> np.random.Generator:
+    """Random numbers that depend on the coordinates alone."""
+    text = "/".join(map(str, coordinates)).encode()
+    return np.random.Generator(np.random.Philox(key=np.array([zlib.crc32(text), zlib.adler32(text)], np.uint64)))
 
-def packed(minima: DataFrame, keys: Sequence[str], *values: str) -> DataFrame:
-    """One row per entity with all its methods, so what a replicate repeats does not grow with their number."""
-    return minima.groupBy(*keys, "entity").agg(F.collect_list(F.struct("method", *values)).alias("_m"))
 
+def split(rng: np.random.Generator, total: int, counts: np.ndarray) -> np.ndarray:
+    """Multinomial multiplicities of cells that hold `counts` entities: first the single ones against the others."""
+    out = np.zeros(len(counts), np.int64)
+    one = counts == 1
+    n_one, n = int(one.sum()), int(counts.sum())
+    part = int(rng.binomial(total, n_one / n)) if 0 < n_one < n else (total if n_one else 0)
+    if n_one:
+        out[one] = np.bincount(rng.integers(0, n_one, part), minlength=n_one)
+    if n_one < n:
+        out[~one] = rng.multinomial(total - part, counts[~one] / (n - n_one))
+    return out
 
-def unpacked(p: DataFrame, w: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Entity rows with their multiplicities, opened to methods behind the join: what follows is combined map-side."""
-    return p.join(w, [*keys, "entity"]).select(*keys, "rep", "w", F.explode("_m").alias("_x")).select(*keys, "rep", "w", "_x.*")
 
+def sizes_of(rows: DataFrame, stratum: Sequence[str]) -> dict[tuple, int]:
+    """Entities of every stratum; parameters (roles, scenarios, candidates) bound their number."""
+    got = rows.select(*stratum, "entity").distinct().groupBy(*stratum).agg(F.count(F.lit(1)).alias("n")).collect()
+    return {tuple(r[s] for s in stratum): r["n"] for r in got}
 
-def replicate_thresholds(minima: DataFrame, w: DataFrame, cell: Sequence[str], ranks: DataFrame) -> DataFrame:
-    """Threshold per (cell, rep, method, budget) from resampled calibration minima.
 
-    `ranks` holds (far_target, alpha_rank_of n) as the 1-based rank per cell.
-    Counting draws per bucket of the original rank locates the wanted rank; only
-    that bucket is then summed in order. The located buckets are a row per replicate,
-    method and budget, which parameters bound, so they are broadcast.
-    """
-    r = value_ranks(minima, [*cell, "method"])
-    j = unpacked(packed(r, cell, "rk", "min_stat"), w, cell).withColumn("_b", F.floor((F.col("rk") - 1) / BUCKET))
-    key = [*cell, "rep", "method"]
-    tot = j.groupBy(*key, "_b").agg(F.sum("w").alias("_w"))
-    run = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    tot = tot.withColumn("_hi", F.sum("_w").over(run)).withColumn("_lo", F.col("_hi") - F.col("_w"))
-    need = tot.join(ranks, list(cell)).where((F.col("rank") > F.col("_lo")) & (F.col("rank") <= F.col("_hi")))
-    c = j.join(small(need.select(*key, "_b", "_lo", "far_target", "rank")), [*key, "_b"])
-    c = c.groupBy(*key, "far_target", "rank", "_lo", "rk", "min_stat").agg(F.sum("w").alias("w"))
-    inside = Window.partitionBy(*key, "far_target").orderBy("rk").rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("_c", F.col("_lo") + F.sum("w").over(inside))
-    return c.where(F.col("_c") >= F.col("rank")).groupBy(*key, "far_target").agg(F.min("min_stat").alias("threshold"))
-
-
-def value_ranks(minima: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rank of each entity's minimum among the distinct values of its method; equal minima share a rank.
-
-    Values are counted map-side first, so a mass of equal minima is one row wherever it is ranked.
+def bands(rows: DataFrame, stratum: Sequence[str], column: str, value: str, shares: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """(by, _bands): the values between which the wanted ranks of a resampled stratum lie, exact order statistics."""
+    ranks = {}
+    for k, a in enumerate(shares):
+        half = lambda n, a=a: BAND * F.sqrt(a * (1 - a) * n) + 2
+        ranks[f"lo{k}"] = lambda n, a=a, half=half: F.greatest(F.floor(a * n - half(n)), F.lit(1))
+        ranks[f"hi{k}"] = lambda n, a=a, half=half: F.least(F.ceil(a * n + half(n)), n)
+    got = order_statistics(rows, [*stratum, column], value, ranks)
+    pairs = F.array(*[F.struct(F.col(f"lo{k}").alias("lo"), F.col(f"hi{k}").alias("hi")) for k in range(len(shares))])
+    return got.groupBy(*by).agg(F.flatten(F.collect_list(pairs)).alias("_bands"))
+
+
+def outside_merged(value: Column, bands_: Column) -> Column:
+    """The value itself inside a band; elsewhere one value for all that lie between the same bands."""
+    lower = F.array_max(F.filter(F.transform(bands_, lambda b: b["hi"]), lambda x: x < value))
+    upper = F.array_min(F.filter(F.transform(bands_, lambda b: b["lo"]), lambda x: x > value))
+    inside = F.exists(bands_, lambda b: (b["lo"] <= value) & (value <= b["hi"]))
+    return (F.when(value.isNull() | inside, value).when(lower.isNull(), float("-inf")).when(upper.isNull(), float("inf"))
+            .otherwise((lower + upper) / 2))
+
+
+def cells(rows: DataFrame, stratum: Sequence[str], column: str, value: str, sizes: Mapping[tuple, int], limits: DataFrame | None = None,
+          on: Sequence[str] = ()) -> DataFrame:
+    """(stratum, entity, k, m): k entities with the joint outcome m = (column, value) list.
+
+    Small strata keep one cell per entity and its id; in large ones values outside the bands
+    `limits` (joined by `on`) are merged and the id is missing.
     """
-    distinct = minima.groupBy(*keys, "min_stat").agg(F.count(F.lit(1)).alias("_k")).drop("_k")
-    return minima.join(dense_rank_rows(distinct, keys, "min_stat", name="rk").drop("rk_n"), [*keys, "min_stat"])
-
-
-def replicate_rates(minima: DataFrame, w: DataFrame, thr: DataFrame, cell: Sequence[str]) -> DataFrame:
-    """Weighted share below the replicate's threshold: (cell, path_set, rep, method, far_target, rate)."""
-    keys = ["path_set", *cell]
-    j = unpacked(packed(minima, keys, "min_stat"), w, keys).join(small(thr), [*cell, "rep", "method"])
-    hit = F.when(F.col("min_stat") < F.col("threshold"), F.col("w")).otherwise(0)
-    return j.groupBy(*cell, "path_set", "rep", "method", "far_target").agg((F.sum(hit) / F.sum("w")).alias("rate"))
-
-
-def bootstrap_rates(minima: DataFrame, cfg: MonitorConfig, reps: int = REPS, cell: Sequence[str] = ()) -> DataFrame:
-    """Rates of every method and budget per replicate; replicate -1 is the plain sample."""
-    cal_cell = list(cell) or ["_all_entities"]
-    m = minima if cell else minima.withColumn("_all_entities", F.lit(1))
-    ent = m.select("path_set", *cal_cell, "entity").distinct()
-    salt = F.element_at(F.create_map(*[F.lit(x) for kv in SALTS.items() for x in kv]), F.col("path_set"))
-    w = weights(ent, ["path_set", *cal_cell], reps, salt)
-    plain = ent.select("path_set", *cal_cell, F.lit(-1).cast("bigint").alias("rep"), F.lit(1).cast("bigint").alias("w"), "entity")
-    w = w.select("path_set", *cal_cell, "rep", "w", "entity").unionByName(plain)
-    is_cal = F.col("path_set") == "calibration_valid"
-    n = ent.where(is_cal).groupBy(*cal_cell).agg(F.count(F.lit(1)).alias("_n"))
-    a = F.explode(F.array(*[F.lit(float(x)) for x in cfg.far_targets])).alias("far_target")
-    ranks = n.select(*cal_cell, "_n", a).select(*cal_cell, "far_target",
-                                                (F.least(F.floor(F.col("far_target") * F.col("_n")), F.col("_n") - 1) + 1).alias("rank"))
-    thr = replicate_thresholds(m.where(is_cal), w.where(is_cal).drop("path_set"), cal_cell, ranks)
-    rates = replicate_rates(m.where(~is_cal), w.where(~is_cal), thr, cal_cell)
-    return rates if cell else rates.drop("_all_entities")
+    spark = rows.sparkSession
+    rows = rows.select(*stratum, "entity", F.col(column).cast("string").alias("c"), F.col(value).cast("double").alias("v"),
+                       *[x for x in on if x not in stratum and x != column])
+    kinds = spark.createDataFrame([(*k, n <= LEAF) for k, n in sizes.items()] or [(*[None] * len(stratum), True)],
+                                  StructType([*[rows.schema[s] for s in stratum], StructField("_leaf", rows.selectExpr("true").schema[0].dataType)]))
+    large = any(n > LEAF for n in sizes.values())
+    if large:
+        rows = rows.join(small(kinds), list(stratum))
+        if limits is not None:
+            rows = rows.join(small(limits.withColumnRenamed(column, "c")), [c if c != column else "c" for c in on], "left")
+            rows = rows.withColumn("v", F.when(F.col("_leaf") | F.col("_bands").isNull(), F.col("v")).otherwise(outside_merged(F.col("v"), F.col("_bands"))))
+    one = rows.groupBy(*stratum, "entity", *(["_leaf"] if large else [])).agg(F.sort_array(F.collect_list(F.struct("c", "v"))).alias("m"))
+    if not large:
+        return one.select(*stratum, "entity", F.lit(1).cast("bigint").alias("k"), "m")
+    one = one.withColumn("entity", F.when(F.col("_leaf"), F.col("entity")))
+    return one.groupBy(*stratum, "entity", "m").agg(F.count(F.lit(1)).alias("k")).select(*stratum, "entity", "k", "m")
+
+
+class Stratum:
+    """The cells of one stratum in a task, with multiplicities of any replicate."""
+
+    def __init__(self, key: tuple, table: pa.Table, n: int, salt: int, columns: Sequence[str]):
+        self.key, self.n, self.salt = key, n, salt
+        self.k = table["k"].to_numpy()
+        self.leaf = table["entity"].null_count == 0
+        m = table["m"].combine_chunks()
+        flat = m.flatten()
+        at = np.repeat(np.arange(len(m)), m.value_lengths().to_numpy(zero_copy_only=False))
+        self.values = np.full((len(m), len(columns)), np.nan)
+        place = pa.compute.index_in(flat.field("c"), value_set=pa.array(columns, pa.string())).to_numpy(zero_copy_only=False)
+        self.values[at, place] = flat.field("v").to_numpy(zero_copy_only=False)
+        if self.leaf:
+            self.order = np.argsort(table["entity"].to_numpy(zero_copy_only=False), kind="stable")
+        else:  # one order whatever the order of arrival
+            self.order = np.lexsort((*self.values.T[::-1], self.k))
+
+    def weights(self, rep: int) -> np.ndarray:
+        """How often each cell is drawn; replicate -1 is the plain sample."""
+        if rep < 0:
+            return self.k
+        out = np.zeros(len(self.k), np.int64)
+        if self.leaf:
+            out[self.order] = np.bincount(draw_indices(rep, self.salt, self.n), minlength=self.n)
+        else:
+            out[self.order] = split(generator(rep, self.salt, *self.key), self.n, self.k[self.order])
+        return out
+
+    def running(self, reps: Sequence[int], column: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted values of a column and the running multiplicities of each replicate."""
+        have = np.flatnonzero(~np.isnan(self.values[:, column]))
+        order = have[np.argsort(self.values[have, column], kind="stable")]
+        return self.values[order, column], np.cumsum(self.drawn(reps)[:, order], axis=1)
+
+    def drawn(self, reps: Sequence[int]) -> np.ndarray:
+        if getattr(self, "_reps", None) != tuple(reps):
+            self._reps, self._drawn = tuple(reps), np.stack([self.weights(r) for r in reps])
+        return self._drawn
+
+
+def replicate_groups(cell_rows: DataFrame, sizes: Mapping[tuple, int], reps: int, columns: int, plain: bool = True) -> tuple[DataFrame, Callable[[int], list[list[int]]]]:
+    """Cells dealt to groups of replicates (column _group), and a group's replicates in parts whose matrices stay small."""
+    most = sum(min(n, LEAF + int(columns * 4 * BAND * math.sqrt(n))) for n in sizes.values())
+    per = max(1, min(MATRIX // max(most, 1), -(-reps // 32)))
+    groups = -(-reps // per)
 
+    def of(group: int) -> list[list[int]]:
+        mine = list(range(group * per, min(reps, (group + 1) * per)))
+        return [*([[-1]] if plain and group == 0 else []), *([mine] if mine else [])]
+    dealt = cell_rows.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(max(groups, 1) - 1))))
+    return dealt, of
 
-def interval(draws: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Point value (replicate -1) and percentile interval over the replicates."""
-    point = draws.where(F.col("rep") == -1).groupBy(*keys).agg(F.max(value).alias("point"))
-    q = quantiles(draws.where(F.col("rep") >= 0), keys, value, {"lo": .025, "hi": .975}, count_as="n_reps")
-    return point.join(q, list(keys)).withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
+
+def _strata(table: pa.Table, stratum: Sequence[str], sizes: Mapping[tuple, int], salt: Salt, columns: Sequence[str]) -> Iterator[Stratum]:
+    keys = list(zip(*[table[s].to_pylist() for s in stratum], strict=True))
+    rows: dict[tuple, list[int]] = {}
+    for k, key in enumerate(keys):
+        rows.setdefault(key, []).append(k)
+    for key in sorted(rows, key=str):
+        yield Stratum(key, table.take(pa.array(rows[key], pa.int64())), sizes[key], salt(key), columns)
+
+
+def _fields(df: DataFrame, names: Sequence[str]) -> list[StructField]:
+    return [df.schema[n] for n in names]
+
+
+def bootstrap_rates(minima: DataFrame, cfg: MonitorConfig, reps: int = REPS, cell: Sequence[str] = (), unified: bool = False) -> DataFrame:
+    """(cell, path_set, rep, method, far_target, rate, binding): rates of every method and budget per replicate, -1 is the plain sample.
+
+    A replicate resamples every (path_set, cell) stratum, takes each budget's order statistic of
+    the resampled calibration minima as threshold, and counts the resampled test entities below
+    it. `unified` applies the lowest threshold of all cells everywhere; `binding` names its cell.
+    """
+    stratum = ["path_set", *cell]
+    columns = sorted(r["method"] for r in minima.select("method").distinct().collect())
+    sizes = sizes_of(minima, stratum)
+    is_cal = F.col("path_set") == "calibration_valid"
+    own = ["method"] if unified else [*cell, "method"]
+    limits = bands(minima.where(is_cal), stratum, "method", "min_stat", cfg.far_targets, own) if max(sizes.values(), default=0) > LEAF else None
+    rows = cells(minima, stratum, "method", "min_stat", sizes, limits, own)
+    dealt, of = replicate_groups(rows, sizes, reps, len(columns) * len(cfg.far_targets))
+    targets = [float(a) for a in cfg.far_targets]
+
+    def rates(table: pa.Table) -> pa.Table:
+        all_ = list(_strata(table, stratum, sizes, lambda k: SALTS[k[0]], columns))
+        cal = [s for s in all_ if s.key[0] == "calibration_valid"]
+        tests = [s for s in all_ if s.key[0] != "calibration_valid"]
+        out: list[list] = [[] for _ in range(len(stratum) + 5)]
+        for part in of(table["_group"][0].as_py()) if cal else []:
+            for j, method in enumerate(columns):
+                have = [s for s in cal if (~np.isnan(s.values[:, j])).any()]
+                limit = {(s.key[1:], a): t for s in have for a, t in _thresholds(s, part, j, targets)}
+                for s in tests:
+                    values, run = s.running(part, j)
+                    if not len(values):
+                        continue
+                    for a in targets:
+                        names = [c.key[1:] for c in have]
+                        if unified:
+                            every = np.stack([limit[c, a] for c in names])
+                            best = every.argmin(axis=0)
+                            t, bound = every[best, np.arange(len(part))], [str(names[b][0]) for b in best]
+                        elif (s.key[1:], a) in limit:
+                            t, bound = limit[s.key[1:], a], [None] * len(part)
+                        else:
+                            continue
+                        below = np.searchsorted(values, t, "left")
+                        hits = np.where(below > 0, run[np.arange(len(part)), np.maximum(below - 1, 0)], 0)
+                        for c, x in zip(out, [*[[x] * len(part) for x in s.key], part, [method] * len(part), [a] * len(part), (hits / run[:, -1]).tolist(), bound], strict=True):
+                            c.extend(x)
+        return pa.table([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    schema = StructType([*_fields(minima, stratum), StructField("rep", LongType()), StructField("method", StringType()), StructField("far_target", DoubleType()),
+                         StructField("rate", DoubleType()), StructField("binding", StringType())])
+    arrow = _arrow(schema)
+    got = dealt.groupBy("_group").applyInArrow(rates, schema)
+    return got if unified else got.drop("binding")
+
+
+def _arrow(schema: StructType) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    return to_arrow_schema(schema)
+
+
+def _thresholds(s: Stratum, reps: Sequence[int], column: int, targets: Sequence[float]) -> Iterator[tuple[float, np.ndarray]]:
+    """The floor(a n) + 1-th smallest drawn value of each replicate."""
+    values, run = s.running(reps, column)
+    for a in targets:
+        rank = min(math.floor(a * s.n), s.n - 1) + 1
+        t = values[np.minimum((run < rank).sum(axis=1), len(values) - 1)]
+        if not np.isfinite(t).all():
+            raise ValueError("a resampled rank left its band")  # 8 standard deviations: does not happen by chance
+        yield a, t
+
+
+def resampled_medians(long: DataFrame, stratum: Sequence[str], columns: Sequence[str], reps: int, salt: int) -> DataFrame:
+    """(stratum, columns, rep, med): median of the drawn entities' values for every combination of `columns`.
+
+    An entity without a value is drawn like the others and left out of the median.
+    """
+    long = long.where(F.col("value").isNotNull())
+    sizes = sizes_of(long, stratum)
+    rows = long.select(*stratum, *columns, "entity", "value", F.to_json(F.struct(*columns)).alias("column"))
+    by = [*stratum, "column"]
+    limits = bands(rows, stratum, "column", "value", [.5], by) if max(sizes.values(), default=0) > LEAF else None
+    dealt, of = replicate_groups(cells(rows, stratum, "column", "value", sizes, limits, by), {"any": max(sizes.values(), default=0)}, reps, 8, plain=False)
+
+    def medians(table: pa.Table) -> pa.Table:
+        names = sorted(pa.compute.unique(table["m"].combine_chunks().flatten().field("c")).to_pylist())
+        out: list[list] = [[] for _ in range(len(stratum) + 3)]
+        for s in _strata(table, stratum, sizes, lambda k: salt, names):
+            for part in of(table["_group"][0].as_py()):
+                for j, name in enumerate(names):
+                    values, run = s.running(part, j)
+                    total = run[:, -1]
+                    some = total > 0
+                    low, high = ((run < r[:, None]).sum(axis=1) for r in ((total - 1) // 2 + 1, total // 2 + 1))
+                    last = len(values) - 1
+                    med = (values[np.minimum(low, last)] + values[np.minimum(high, last)]) / 2
+                    if not np.isfinite(med[some]).all():
+                        raise ValueError("a resampled median left its band")
+                    n = int(some.sum())
+                    for c, x in zip(out, [*[[x] * n for x in s.key], np.array(part)[some].tolist(), [name] * n, med[some].tolist()], strict=True):
+                        c.extend(x)
+        return pa.table([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    schema = StructType([*_fields(long, stratum), StructField("rep", LongType()), StructField("column", StringType()), StructField("med", DoubleType())])
+    arrow = _arrow(schema)
+    got = dealt.groupBy(*stratum, "_group").applyInArrow(medians, schema)
+    kinds = StructType(_fields(long, columns))
+    return got.withColumn("_c", F.from_json("column", kinds)).select(*stratum, "rep", *[F.col(f"_c.{c}").alias(c) for c in columns], "med")
+
+
+def conditional_rates(outcomes: DataFrame, stratum: Sequence[str], columns: Sequence[str], reps: int, salt: int) -> DataFrame:
+    """(stratum, columns, rep, rate): share of the drawn entities with `base` that have `hit` as well; missing where none has `base`.
+
+    Entities with the same joint pattern over all combinations of `columns` are one cell, whatever their number.
+    """
+    sizes = sizes_of(outcomes, stratum)
+    rows = outcomes.select(*stratum, "entity", F.to_json(F.struct(*columns)).alias("column"), (F.col("base").cast("int") * (1 + F.col("hit").cast("int"))).cast("double").alias("value"))
+    dealt, of = replicate_groups(cells(rows, stratum, "column", "value", sizes), sizes, reps, 1)
+
+    def rates(table: pa.Table) -> pa.Table:
+        names = sorted(pa.compute.unique(table["m"].combine_chunks().flatten().field("c")).to_pylist())
+        out: list[list] = [[] for _ in range(len(stratum) + 3)]
+        for s in _strata(table, stratum, sizes, lambda k: salt, names):
+            for part in of(table["_group"][0].as_py()):
+                base, hit = s.drawn(part) @ (s.values >= 1), s.drawn(part) @ (s.values == 2)
+                for j, name in enumerate(names):
+                    rate = [h / b if b else None for b, h in zip(base[:, j].tolist(), hit[:, j].tolist(), strict=True)]
+                    for c, x in zip(out, [*[[x] * len(part) for x in s.key], part, [name] * len(part), rate], strict=True):
+                        c.extend(x)
+        return pa.table([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+
+    schema = StructType([*_fields(outcomes, stratum), StructField("rep", LongType()), StructField("column", StringType()), StructField("rate", DoubleType())])
+    arrow = _arrow(schema)
+    got = dealt.groupBy(*stratum, "_group").applyInArrow(rates, schema)
+    return got.withColumn("_c", F.from_json("column", StructType(_fields(outcomes, columns)))).select(*stratum, "rep", *[F.col(f"_c.{c}").alias(c) for c in columns], "rate")
+
+
+def resampled_sums(rows: DataFrame, stratum: Sequence[str], values: Sequence[str], reps: int) -> DataFrame:
+    """(stratum, rep, n, values): sums over the drawn entities; replicate -1 is the plain sample.
+
+    Sums of real numbers need every entity. A large stratum is dealt into blocks by hash, a
+    replicate's draws are split over the blocks by their sizes and then drawn inside; each block
+    sends one row per replicate.
+    """
+    sizes = sizes_of(rows, stratum)
+    whole = F.lit(0).cast("bigint")
+    large = [k for k, n in sizes.items() if n > LEAF]
+    block = F.when(F.struct(*stratum).isin(*[F.struct(*[F.lit(x) for x in k]) for k in large]), F.pmod(F.xxhash64("entity"), F.lit(BLOCKS))).otherwise(whole) if large else whole
+    rows = rows.select(*stratum, "entity", *[F.col(v).cast("double") for v in values], block.alias("_block"))
+    held: dict[tuple, np.ndarray] = {k: np.zeros(BLOCKS, np.int64) for k in large}
+    for r in rows.groupBy(*stratum, "_block").agg(F.count(F.lit(1)).alias("n")).collect() if large else []:
+        if (key := tuple(r[s] for s in stratum)) in held:
+            held[key][r["_block"]] = r["n"]
+
+    def sums(table: pa.Table) -> pa.Table:
+        key, b = tuple(table[s][0].as_py() for s in stratum), table["_block"][0].as_py()
+        table = table.sort_by("entity")
+        x, salt = np.stack([table[v].to_numpy() for v in values], axis=1), SALTS[key[0]]
+        out = [(-1, len(x), *x.sum(axis=0).tolist())]
+        for rep in range(reps):
+            if key in held:
+                n = generator(rep, salt, *key).multinomial(sizes[key], held[key] / sizes[key])[b]
+                w = np.bincount(generator(rep, salt, *key, b).integers(0, len(x), n), minlength=len(x))
+            else:
+                w = np.bincount(draw_indices(rep, salt, len(x)), minlength=len(x))
+            out.append((rep, int(w.sum()), *(w @ x).tolist()))
+        return pa.table([*[pa.array([k] * len(out), f.type) for k, f in zip(key, arrow, strict=False)],
+                         *[pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), list(arrow)[len(key):], strict=True)]], schema=arrow)
+
+    schema = StructType([*_fields(rows, stratum), StructField("rep", LongType()), StructField("n", LongType()), *[StructField(v, DoubleType()) for v in values]])
+    arrow = _arrow(schema)
+    got = rows.groupBy(*stratum, "_block").applyInArrow(sums, schema)
+    return got.groupBy(*stratum, "rep").agg(*[F.sum(c).alias(c) for c in ("n", *values)])
+
+
+def interval(draws: DataFrame, keys: Sequence[str], value: str, more: Sequence[Column] = ()) -> DataFrame:
+    """Point value (replicate -1) and percentile interval over the replicates, whose number is a parameter; `more` aggregates beside."""
+    drawn = F.when(F.col("rep") >= 0, F.col(value))
+    out = draws.groupBy(*keys).agg(F.max(F.when(F.col("rep") == -1, F.col(value))).alias("point"), F.count(drawn).alias("n_reps"),
+                                   F.percentile(drawn, F.array(F.lit(.025), F.lit(.975))).alias("_q"), *more)
+    out = out.withColumn("lo", F.get("_q", F.lit(0))).withColumn("hi", F.get("_q", F.lit(1))).drop("_q")
+    return out.withColumn("excludes_zero", (F.col("lo") > 0) | (F.col("hi") < 0))
 
 
 def contrasts(rates: DataFrame, exprs: dict[str, Sequence[tuple[float, str]]], keys: Sequence[str]) -> DataFrame:
@@ -144,37 +402,5 @@ def contrasts(rates: DataFrame, exprs: dict[str, Sequence[tuple[float, str]]], k
         for c, m in e:
             out = out + F.lit(c) * F.col(m)
         return out
-    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("contrast"), value(e).alias("value")) for n, e in exprs.items()]))
-    return wide.select(*keys, "rep", cells.alias("_c")).select(*keys, "rep", "_c.*")
-
-
-def with_plain(rows: DataFrame, cell: Sequence[str], reps: int, salt: Column | None = None) -> DataFrame:
-    """Multiplicities of the entities in `rows`, plus the plain sample as replicate -1."""
-    ent = rows.select(*cell, "entity").distinct()
-    if salt is None:
-        salt = F.element_at(F.create_map(*[F.lit(x) for kv in SALTS.items() for x in kv]), F.col("path_set"))
-    w = weights(ent, cell, reps, salt)
-    plain = ent.select(*cell, F.lit(-1).cast("bigint").alias("rep"), F.lit(1).cast("bigint").alias("w"), "entity")
-    return w.select(*cell, "rep", "w", "entity").unionByName(plain)
-
-
-def unified_rates(minima: DataFrame, cfg: MonitorConfig, reps: int = REPS) -> tuple[DataFrame, DataFrame]:
-    """Every scenario's calibration block resampled, lowest threshold taken, then tested.
-
-    Returns the replicate rates and which scenario bound the threshold.
-    """
-    cell = ["scenario"]
-    w = with_plain(minima, ["path_set", *cell], reps)
-    is_cal = F.col("path_set") == "calibration_valid"
-    n = minima.where(is_cal).select(*cell, "entity").distinct().groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    a = F.explode(F.array(*[F.lit(float(x)) for x in cfg.far_targets])).alias("far_target")
-    ranks = n.select(*cell, "_n", a).select(*cell, "far_target", (
-        F.least(F.floor(F.col("far_target") * F.col("_n")), F.col("_n") - 1) + 1).alias("rank"))
-    thr = replicate_thresholds(minima.where(is_cal), w.where(is_cal).drop("path_set"), cell, ranks)
-    uni = thr.groupBy("rep", "method", "far_target").agg(
-        F.min("threshold").alias("threshold"), F.min_by("scenario", F.struct("threshold", "scenario")).alias("binding"))
-    keys = ["path_set", *cell]
-    j = unpacked(packed(minima.where(~is_cal), keys, "min_stat"), w.where(~is_cal), keys).join(small(uni), ["rep", "method"])
-    hit = F.when(F.col("min_stat") < F.col("threshold"), F.col("w")).otherwise(0)
-    rates = j.groupBy(*cell, "path_set", "rep", "method", "far_target").agg((F.sum(hit) / F.sum("w")).alias("rate"))
-    return rates, uni
+    named = F.explode(F.array(*[F.struct(F.lit(n).alias("contrast"), value(e).alias("value")) for n, e in exprs.items()]))
+    return wide.select(*keys, "rep", named.alias("_c")).select(*keys, "rep", "_c.*")

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import SUPPLIER as CFG
 from tidewatch.config import USER
-from tidewatch.functions.expr import excludes_zero, ratio
-from tidewatch.functions.small import small
+from tidewatch.functions.expr import excludes_zero
 from tidewatch.operators import calibrate as cal
 from tidewatch.operators import contrast as ct
 from tidewatch.operators import evidence as ev
@@ -22,20 +21,18 @@ from tidewatch.plans import sqlgen as sg
 from tidewatch.plans.catalog import query
 from tidewatch.sources.tables import handoff
 
-#: replicates of the registered queries, a tenth of the protocol's (`resample.REPS`) to keep the SQL comparison short
-REPS = 200
 rr = qd.rr
 M6, GRID = ev.JVM_METHODS, ev.GRID_2X2
 
 
-def _weights_sql(src: str, cell: str = "path_set", salt: str = "CASE path_set WHEN 'calibration_valid' THEN 1 WHEN 'test_valid' THEN 2 ELSE 3 END") -> str:
+def _weights_sql(src: str, cell: str = "path_set", salt: str = "CASE path_set WHEN 'calibration_valid' THEN 1 WHEN 'test_valid' THEN 2 ELSE 3 END", reps: int = rs.REPS) -> str:
     """CTE `wt`: multiplicities per (cell, rep, entity); rep -1 is the plain sample."""
     def word(k):
         m, (r, d, t), (a, b, c, e, f, g) = rs.MOD[k], rs.STEPS[k], rs.MIX[k]
         one = f"((rep * {r} + i * {d} + ({salt}) * {t}) % {m} * {a}) % {m}"
         return one, f"(h{k} * (h{k} % {b}) + {c}) % {m}", f"(h{k} * {e}) % {m}", f"(h{k} * (h{k} % {f}) + {g}) % {m}"
     steps = list(zip(word(0), word(1), strict=True))
-    chain = f"b1 AS (SELECT {cell}, n, rep, {steps[0][0]} AS h0, {steps[0][1]} AS h1 FROM bent, (SELECT unnest(range(0, {REPS})) AS rep) r)"
+    chain = f"b1 AS (SELECT {cell}, n, rep, {steps[0][0]} AS h0, {steps[0][1]} AS h1 FROM bent, (SELECT unnest(range(0, {reps})) AS rep) r)"
     for k, (x, y) in enumerate(steps[1:], 2):
         chain += f", b{k} AS (SELECT {cell}, n, rep, {x} AS h0, {y} AS h1 FROM b{k - 1})"
     return f""",
@@ -44,11 +41,11 @@ bent AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {cell} ORDER BY
 wt AS MATERIALIZED (SELECT {cell}, rep, entity, count(*) AS w FROM b5 JOIN bent USING ({cell}, i) GROUP BY {cell}, rep, entity UNION ALL SELECT {cell}, -1, entity, 1 FROM bent)"""
 
 
-def _rates_sql(extra: str = "") -> str:
+def _rates_sql(extra: str = "", reps: int = rs.REPS) -> str:
     """CTE `rates` from `minima`; `extra` lists further cell columns, comma-terminated."""
     al = ", ".join(f"({a!r}::DOUBLE)" for a in CFG.far_targets)
     part = f"{extra}rep, method"
-    return f"""{_weights_sql('minima', f'{extra}path_set')},
+    return f"""{_weights_sql('minima', f'{extra}path_set', reps=reps)},
 bn AS (SELECT {extra}n FROM (SELECT DISTINCT {extra}path_set, n FROM bent) WHERE path_set = 'calibration_valid'),
 bc AS (SELECT {extra}m.method, w.rep, m.min_stat, sum(w.w) OVER (PARTITION BY {part} ORDER BY m.min_stat) AS c FROM (SELECT * FROM minima WHERE path_set = 'calibration_valid') m JOIN wt w USING ({extra}path_set, entity)),
 bthr AS MATERIALIZED (SELECT {extra}method, rep, far_target, min(min_stat) AS threshold FROM bc {'JOIN bn USING (' + extra.rstrip(', ') + ')' if extra else 'CROSS JOIN bn'} CROSS JOIN (VALUES {al}) v(far_target)
@@ -77,8 +74,8 @@ RULE = ["path_set", "far_target"]
 
 def rates(spark, sf, methods=M6):
     """Replicate rates, a stage table shared by the pair, budget and interaction contrasts."""
-    return handoff(spark, ("replicate_rates", sf, tuple(methods), CFG, REPS),
-                   lambda: rs.bootstrap_rates(qc.minima(spark, sf, methods).drop("scenario"), CFG, REPS))
+    return handoff(spark, ("replicate_rates", sf, tuple(methods), CFG, rs.REPS),
+                   lambda: rs.bootstrap_rates(qc.minima(spark, sf, methods).drop("scenario"), CFG))
 
 
 SQL_R = qc.SQL_MIN.replace("SELECT scenario, path_set, entity, method, min(stat)", "SELECT path_set, entity, method, min(stat)") + _rates_sql()
@@ -116,12 +113,10 @@ sh AS (SELECT method, far_target, {', '.join(f"{sg.rnd(f"count(*) FILTER (WHERE
 ii AS (SELECT scenario, path_set, method, far_target, max(rate) FILTER (WHERE rep = -1) AS point, count(rate) FILTER (WHERE rep >= 0) AS n_reps, quantile_cont(rate, 0.025) FILTER (WHERE rep >= 0) AS lo, quantile_cont(rate, 0.975) FILTER (WHERE rep >= 0) AS hi FROM ur GROUP BY scenario, path_set, method, far_target)
 SELECT scenario, path_set, method, far_target, {sg.rnd('point')} AS point, n_reps, {sg.rnd('lo')} AS lo, {sg.rnd('hi')} AS hi, binding_share_even, binding_share_odd FROM ii JOIN sh USING (method, far_target)""")
 def unified_bootstrap(spark, sf):
-    m = qc.minima(spark, sf)
-    rates_, bind = rs.unified_rates(m, CFG, REPS)
-    out = rs.interval(rates_, ["scenario", "path_set", "method", "far_target"], "rate").drop("excludes_zero")
-    sh = bind.where(F.col("rep") >= 0).groupBy("method", "far_target").agg(*[
-        F.avg((F.col("binding") == s).cast("double")).alias(f"binding_share_{s}") for s in ("even", "odd")])
-    return rr(out.join(small(sh), ["method", "far_target"]), 9, skip=("far_target",))
+    rates_ = rs.bootstrap_rates(qc.minima(spark, sf), CFG, cell=["scenario"], unified=True)
+    keys = ["scenario", "path_set", "method", "far_target"]
+    bound = [F.avg(F.when(F.col("rep") >= 0, (F.col("binding") == s).cast("double"))).alias(f"binding_share_{s}") for s in ("even", "odd")]
+    return rr(rs.interval(rates_, keys, "rate", bound).drop("excludes_zero"), 9, skip=("far_target",))
 
 
 INTERACTION = {
@@ -164,8 +159,7 @@ def paired_brier_bootstrap(spark, sf):
     def sq(m):
         return F.pow(ev.failure_probability(F.col(m)) - y, F.lit(2.0))
     s = wide.select("path_set", "entity", sq(_BA).alias("a"), sq(_BB).alias("b"))
-    j = s.join(rs.with_plain(s, ["path_set"], REPS), ["path_set", "entity"])
-    d = j.groupBy("rep").agg((F.sum(F.col("w") * F.col("a")) / F.sum("w") - F.sum(F.col("w") * F.col("b")) / F.sum("w")).alias("value"))
+    d = rs.resampled_sums(s, ["path_set"], ["a", "b"], rs.REPS).groupBy("rep").agg((F.sum("a") / F.sum("n") - F.sum("b") / F.sum("n")).alias("value"))
     return rr(rs.interval(d.withColumn("k", F.lit(1)), ["k"], "value").drop("k"), 9)
 
 
@@ -175,10 +169,8 @@ def paired_brier_bootstrap(spark, sf):
 def conditional_rate_bootstrap(spark, sf):
     from tidewatch.operators import survival as sv
     fp = qp.failing_passages(spark, sf)
-    s = fp.select("scenario", "entity", "method", "far_target", (~sv.early()).cast("int").alias("surv"), sv.caught(126).cast("int").alias("det"))
-    w = rs.with_plain(s, ["scenario"], REPS, F.lit(7))
-    g = s.join(w, ["scenario", "entity"]).groupBy("scenario", "method", "far_target", "rep").agg(
-        ratio(F.sum(F.col("w") * F.col("det") * F.col("surv")), F.sum(F.col("w") * F.col("surv"))).alias("rate"))
+    s = fp.select("scenario", "entity", "method", "far_target", (~sv.early()).alias("base"), sv.caught(126).alias("hit"))
+    g = rs.conditional_rates(s, ["scenario"], ["method", "far_target"], rs.REPS, 7)
     c = rs.contrasts(g, PAIRS, ["scenario", "far_target"])
     return rr(rs.interval(c, ["scenario", "far_target", "contrast"], "value"), 9, skip=("far_target",))
 
@@ -197,17 +189,17 @@ _HM = tuple(sorted({m for e in GAIN.values() for _, m in e}))
 def gain_change_bootstrap(spark, sf):
     m = cal.prefix_minima(qc.lows(spark, sf).where(F.col("method").isin(*qp._LO)), _HS)
     m = m.select("path_set", "entity", F.concat("method", F.lit("_h"), F.col("horizon").cast("string")).alias("method"), "min_stat")
-    c = rs.contrasts(rs.bootstrap_rates(m, CFG, REPS), GAIN, RULE)
+    c = rs.contrasts(rs.bootstrap_rates(m, CFG), GAIN, RULE)
     return rr(rs.interval(c, [*RULE, "contrast"], "value"), 9, skip=("far_target",))
 
 
-_UM = (f"WITH {fx.SQL_USER}{sg.statistics(USER, M6)}{sg.long_stats(M6)}, minima AS MATERIALIZED (SELECT path_set, entity, method, min(stat) AS min_stat FROM stat WHERE day <= {USER.horizon} GROUP BY path_set, entity, method)" + _rates_sql())
+_UM = (f"WITH {fx.SQL_USER}{sg.statistics(USER, M6)}{sg.long_stats(M6)}, minima AS MATERIALIZED (SELECT path_set, entity, method, min(stat) AS min_stat FROM stat WHERE day <= {USER.horizon} GROUP BY path_set, entity, method)" + _rates_sql(reps=rs.MIXTURE_REPS))
 
 
 @query("mixture_bootstrap", f"{_UM}, {_wide_sql(M6, 'path_set, far_target')}, {_interval_sql(PAIRS, 'path_set, far_target', scale='100.0')}")
 def mixture_bootstrap(spark, sf):
     lw = handoff(spark, ("user_lows", sf, M6, USER), lambda: ev.record_lows(fx.panel_user(spark, sf), M6, USER))
-    c = rs.contrasts(rs.bootstrap_rates(cal.path_minima(lw).drop("scenario"), USER, REPS), PAIRS, RULE).withColumn("value", F.col("value") * 100.0)
+    c = rs.contrasts(rs.bootstrap_rates(cal.path_minima(lw).drop("scenario"), USER, rs.MIXTURE_REPS), PAIRS, RULE).withColumn("value", F.col("value") * 100.0)
     return rr(rs.interval(c, [*RULE, "contrast"], "value"), 9, skip=("far_target",))
 
 
@@ -218,10 +210,9 @@ tt AS (SELECT m.*, power(((CASE WHEN m.statistic IN {qx._RVT} THEN ln(m.med) ELS
 ll AS (SELECT period, scenario, candidate, rep, 0.5 * avg(term) FILTER (WHERE statistic IN {qx._RVT}) + 0.5 * avg(term) FILTER (WHERE statistic NOT IN {qx._RVT}) AS loss FROM tt GROUP BY period, scenario, candidate, rep)"""
 
 
-@query("loss_mc_se", f"""{qx.SQL_T}, src AS (SELECT DISTINCT scenario, candidate, entity FROM pan){_weights_sql('src', 'scenario, candidate', '5')},
+@query("loss_mc_se", f"""{qx.SQL_T}, src AS (SELECT DISTINCT scenario, candidate, entity FROM pan){_weights_sql('src', 'scenario, candidate', '5', rs.LOSS_REPS)},
 {LOSS_REPS}
 SELECT period, scenario, candidate, count(*) AS n_reps, {sg.rnd('stddev_samp(loss)', 5)} AS loss_mc_se FROM ll GROUP BY period, scenario, candidate""")
 def loss_mc_se(spark, sf):
     lg, _, real, sc = qx._loss_parts(spark, sf)
-    w = rs.weights(lg.select("scenario", "candidate", "entity").distinct(), ["scenario", "candidate"], REPS, F.lit(5))
-    return rr(ct.loss_error(lg, w, real, sc, qx.CELL, qx.OBS), 5)
+    return rr(ct.loss_error(rs.resampled_medians(lg, ["scenario", "candidate"], ["period", "statistic"], rs.LOSS_REPS, 5), real, sc, qx.CELL, qx.OBS), 5)

@@ -48,7 +48,7 @@ def stats(spark, sf):
 _WIN = ", ".join([f"('rolling3y_{y}', DATE '{y - 3}-01-01', DATE '{y - 1}-12-31'), ('expanding_{y}', DATE '{DEV_START}', DATE '{y - 1}-12-31'), ('year_{y}', DATE '{y}-01-01', DATE '{y}-12-31')" for y in YEARS])
 _PAN = f"""pan2 AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY period, entity ORDER BY date) AS INTEGER) AS day FROM (SELECT v.period, scenario, candidate, entity, date, ret FROM pan JOIN (VALUES {_WIN}) v(period, s, e) ON date BETWEEN s AND e))"""
 SQL_W = qx.sql_l(_PAN) + qx._TARGETS
-SQL_SEL = f"""{SQL_W}, src AS (SELECT DISTINCT scenario, candidate, entity FROM pan){qr._weights_sql('src', 'scenario, candidate', '5')}, {qr.LOSS_REPS},
+SQL_SEL = f"""{SQL_W}, src AS (SELECT DISTINCT scenario, candidate, entity FROM pan){qr._weights_sql('src', 'scenario, candidate', '5', rs.LOSS_REPS)}, {qr.LOSS_REPS},
 se AS (SELECT period, scenario, candidate, stddev_samp(loss) AS loss_mc_se FROM ll GROUP BY period, scenario, candidate),
 lc AS (SELECT l.*, se.loss_mc_se FROM ls l JOIN se USING (period, scenario, candidate) WHERE period NOT LIKE 'year%'),
 sel AS MATERIALIZED (SELECT period, scenario, arg_min(candidate, loss) AS selected, min(loss) AS loss, arg_min(loss_mc_se, loss) AS loss_mc_se FROM lc GROUP BY period, scenario)"""
@@ -65,11 +65,11 @@ def parts(st):
     return lg, ct.target_values(lg, qx.CELL), small(ct.observed_targets(qx.observed(lg), CAL)), small(sc)
 
 
-def selection(st, reps=rs.REPS):
+def selection(st, reps=rs.LOSS_REPS):
     """The candidate each calibration window chooses, with the Monte-Carlo error of its loss."""
     lg, tv, real, sc = parts(st.where(~_is_year()))
-    w = rs.weights(lg.select("scenario", "candidate", "entity").distinct(), ["scenario", "candidate"], reps, F.lit(5))
-    lo = ct.loss(ct.loss_terms(tv, real, sc, CAL), qx.CELL).join(ct.loss_error(lg, w, real, sc, qx.CELL, CAL), qx.CELL)
+    med = rs.resampled_medians(lg, ["scenario", "candidate"], ["period", "statistic"], reps, 5)
+    lo = ct.loss(ct.loss_terms(tv, real, sc, CAL), qx.CELL).join(ct.loss_error(med, real, sc, qx.CELL, CAL), qx.CELL)
     return ct.select_candidate(lo, CAL, EDGES)
 
 
@@ -91,7 +91,7 @@ _NAMES = "split_part(period, '_', 1) AS rule, CAST(split_part(period, '_', 2) AS
 
 
 def _chosen(spark, sf):
-    return handoff(spark, ("selection", sf, YEARS, CFG, qr.REPS), lambda: selection(stats(spark, sf), qr.REPS))
+    return handoff(spark, ("selection", sf, YEARS, CFG, rs.LOSS_REPS), lambda: selection(stats(spark, sf)))
 
 
 @query("select_candidate", f"""{SQL_SEL} SELECT {_NAMES}, s.scenario, s.selected, {sg.rnd('s.loss', 5)} AS loss, {sg.rnd('s.loss_mc_se', 5)} AS loss_mc_se, count(*) AS n_finalists,
