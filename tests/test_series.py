@@ -155,30 +155,33 @@ def test_frozen_candidate_and_scales(spark):
 
 
 def test_stream_over_restarts_late_rows_and_replays(spark, tmp_path):
+    """All eight methods equal the batch first passage; late and missing rows are counted whatever the entity's state."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", mon.ROCKSDB)
     cfg = MonitorConfig(horizon=40, window=20, report_days=(10, 40))
     rng = random.Random(6)
     rows = [(e, d * 86_400_000_000, 0, rng.gauss(-0.004 * (e % 2), 0.006)) for e in range(6) for d in range(1, 46)]
     schema = "entity bigint, ts_us bigint, event_id bigint, ret double"
-    limits = {"binary_gaussian": -0.15, "binary_student_t": -0.15}
+    panel = spark.createDataFrame([("s", "r", e, t // 86_400_000_000, x) for e, t, _, x in rows], PANEL)
+    lows = ev.record_lows(panel, mon.METHODS, cfg).cache()
+    least = lows.groupBy("method", "entity").agg(F.min("stat").alias("m")).groupBy("method").agg(F.sort_array(F.collect_list("m")).alias("m"))
+    # the fourth smallest minimum: it touches its own entity's statistic, which is no alarm
+    thr = spark.createDataFrame([(r["method"], 0.1, r["m"][3]) for r in least.collect()], "method string, far_target double, threshold double")
     feed, out, ck = (str(tmp_path / x) for x in ("feed", "out", "ck"))
     cut = [15 * 86_400_000_000, 30 * 86_400_000_000]
     parts = [[r for r in rows if r[1] <= cut[0]], [r for r in rows if cut[0] < r[1] <= cut[1]], [r for r in rows if r[1] > cut[1]]]
     parts[1].append((0, 3 * 86_400_000_000 + 5, 1, 9.0))  # late: entity 0 is past day 3
-    stream = None
+    parts[2] += [(1, 31 * 86_400_000_000 + 7, 1, None), (2, 31 * 86_400_000_000 + 7, 1, float("nan"))]
+    parts.append([(e, 5, 2, 0.0) for e in range(3)] + [(1, 99 * 86_400_000_000, 0, 0.1)])  # entities are past their horizon
     for part in parts:
         rng.shuffle(part)
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(feed)
-        stream = spark.readStream.schema(schema).parquet(feed)
-        mon.run_available(stream, cfg, limits, out, ck)
+        mon.run_available(spark.readStream.schema(schema).parquet(feed), cfg, thr, out, ck)
     read = lambda: spark.read.schema(mon.OUTPUT).option("recursiveFileLookup", True).parquet(out)
-    alarms = {(r["entity"], r["method"]): r["tau"] for r in read().where(F.col("method") != mon.LATE).collect()}
-    assert [(r["entity"], r["tau"]) for r in read().where(F.col("method") == mon.LATE).collect()] in ([(0, 1)], [])
-    panel = spark.createDataFrame([("s", "r", e, t // 86_400_000_000, x) for e, t, _, x in rows], PANEL)
-    lows = ev.record_lows(panel, mon.METHODS, cfg)
-    thr = spark.createDataFrame([(m, 0.1, v) for m, v in limits.items()], "method string, far_target double, threshold double")
+    alarms = {(r["entity"], r["method"]): r["tau"] for r in read().where(~F.col("method").isin(*mon.REPORTS)).collect()}
+    told = sorted((r["method"], r["entity"], r["tau"]) for r in read().where(F.col("method").isin(*mon.REPORTS)).collect())
+    assert told == [(mon.LATE, 0, 1), (mon.LATE, 0, 1), (mon.LATE, 1, 1), (mon.LATE, 2, 1), (mon.REFUSED, 1, 1), (mon.REFUSED, 2, 1)]
     batch = {(r["entity"], r["method"]): r["tau"] for r in pa.first_passage(lows, thr, ["method"]).collect() if r["tau"] != -1}
-    assert alarms == batch and alarms
+    assert alarms == batch and {m for _, m in alarms} == set(mon.METHODS) and len(alarms) == 3 * len(mon.METHODS)
     before = read().count()
     mon.alarm_sink(out)(spark.read.parquet(f"{out}/batch=0"), 99)  # another batch adds rows,
     assert read().count() > before
@@ -188,6 +191,49 @@ def test_stream_over_restarts_late_rows_and_replays(spark, tmp_path):
     assert read().count() == before + again.count()
 
 
+@pytest.mark.parametrize("retention,late", [(1, []), (600_000, [20])])
+def test_finished_entities_expire(spark, tmp_path, retention, late):
+    """A finished entity's place goes after the retention time: it then starts as a new one."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", mon.ROCKSDB)
+    cfg = MonitorConfig(horizon=20, window=20, report_days=(20,))
+    thr = spark.createDataFrame([("binary_gaussian", -1e9)], "method string, threshold double")
+    schema = "entity bigint, ts_us bigint, event_id bigint, ret double"
+    feed, out, ck = (str(tmp_path / x) for x in ("feed", "out", "ck"))
+    for _ in range(2):
+        spark.createDataFrame([(1, t, 0, 0.0) for t in range(20)], schema).coalesce(1).write.mode("append").parquet(feed)
+        mon.run_available(spark.readStream.schema(schema).parquet(feed), cfg, thr, out, ck, ("binary_gaussian",), retention)
+    assert [r["tau"] for r in spark.read.schema(mon.OUTPUT).option("recursiveFileLookup", True).parquet(out).where("entity = 1").collect()] == late
+
+
+def test_recursions_do_not_depend_on_triggers():
+    cfg = MonitorConfig(horizon=9000, window=30, report_days=(10,))
+    ret = np.random.default_rng(2).normal(0, 0.006, 6000)
+    whole = mon.Recursions(cfg).advance(ret)
+    state, parts = None, []
+    for at in range(0, len(ret), 517):
+        one = mon.Recursions(cfg, state)
+        parts.append(one.advance(ret[at:at + 517]))
+        state = one.state()
+    for m in mon.METHODS:
+        assert np.array_equal(np.concatenate([p[m] for p in parts]), whole[m], equal_nan=True)
+
+
+def test_capped_variance_in_blocks(spark):
+    """A long series split over blocks equals the recursion, also through shocks, and short series are unchanged."""
+    rng = random.Random(14)
+    series = {1: [rng.gauss(0, 0.006) if k % 700 else 0.4 for k in range(20_000)], 2: [0.02], 3: [rng.gauss(0, 0.006) for _ in range(257)], 4: [CFG.midpoint] * 300}
+    df = spark.createDataFrame([("s", "r", e, d + 1, x) for e, xs in series.items() for d, x in enumerate(xs)], PANEL)
+    got = {(r["entity"], r["day"]): (r["v_trunc"], r["v_trunc_floored"]) for r in ev.with_truncated_variance(df, CFG).collect()}
+    assert len(got) == sum(map(len, series.values()))
+    lam, cap, s2 = CFG.ewma_lambda, CFG.truncation_c ** 2, CFG.sigma_daily ** 2
+    for e, xs in series.items():
+        v = s2
+        for d, x in enumerate(xs):
+            low = CFG.variance_floor_factor * s2
+            assert got[e, d + 1] == (pytest.approx(max(v, low), rel=1e-11), v < low)
+            v = lam * v + (1 - lam) * min((x - CFG.midpoint) ** 2, cap * v)
+
+
 def test_shared_folder_is_required_off_the_local_machine(spark, monkeypatch):
     class Context:
         master, applicationId = "spark://host:7077", "x"

@@ -10,17 +10,15 @@ sort; only the truncated variance leaves the JVM.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewatch.config import MonitorConfig
 from tidewatch.functions.expr import expit, t_log_density_gap, unpivot
+from tidewatch.operators.capped import with_capped_variance
 
 KEYS = ("scenario", "path_set", "entity")
 
@@ -95,45 +93,7 @@ def with_ewma_variance(panel: DataFrame, cfg: MonitorConfig, keys: Sequence[str]
 def with_truncated_variance(panel: DataFrame, cfg: MonitorConfig, keys: Sequence[str] = KEYS,
                             name: str = "v_trunc") -> DataFrame:
     """Adds the forecast whose update caps the squared residual at c^2 times itself."""
-    return _carried_variance(panel, cfg, keys, name, cfg.truncation_c ** 2)
-
-
-def _carried_variance(panel: DataFrame, cfg: MonitorConfig, keys: Sequence[str], name: str,
-                      cap: float) -> DataFrame:
-    """Sequential recursion over sorted partitions.
-
-    Rows are hash-partitioned by entity, sorted inside the partition and
-    streamed through in Arrow batches; only the last forecast is carried from
-    one batch to the next, so no entity is ever held in memory as a group.
-    """
-    lam, s2, m = cfg.ewma_lambda, cfg.sigma_daily ** 2, cfg.midpoint
-    floor = cfg.variance_floor_factor * s2
-    key_cols = list(keys)
-
-    def recurse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, v = None, s2
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            e2 = (pdf["ret"].to_numpy(dtype=float) - m) ** 2
-            change = (pdf[key_cols] != pdf[key_cols].shift()).any(axis=1).to_numpy().copy()
-            first_key = tuple(pdf[key_cols].iloc[0])
-            change[0] = first_key != last_key
-            out = np.empty(len(pdf))
-            for i, (x, fresh) in enumerate(zip(e2.tolist(), change.tolist())):
-                if fresh:
-                    v = s2
-                out[i] = v
-                v = lam * v + (1.0 - lam) * min(x, cap * v)
-            last_key = tuple(pdf[key_cols].iloc[-1])
-            pdf[name] = np.maximum(out, floor)
-            pdf[f"{name}_floored"] = out < floor
-            yield pdf
-
-    schema = T.StructType(panel.schema.fields + [
-        T.StructField(name, T.DoubleType()), T.StructField(f"{name}_floored", T.BooleanType())])
-    return (panel.repartition(*key_cols).sortWithinPartitions(*key_cols, "day")
-            .mapInPandas(recurse, schema))
+    return with_capped_variance(panel, cfg, keys, name)
 
 
 # --- registry -------------------------------------------------------------------

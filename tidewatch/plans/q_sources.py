@@ -23,7 +23,7 @@ from tidewatch.plans import sqlgen as sg
 from tidewatch.plans.catalog import query
 from tidewatch.sources import readers as rd
 from tidewatch.sources import sinks
-from tidewatch.sources.tables import scratch_path
+from tidewatch.sources.tables import handoff, scratch_path, staged
 from tidewatch.streaming import monitor as mon
 
 _ASSETS = tuple(row[0] for row in fx.REGISTRY_ROWS)
@@ -184,16 +184,18 @@ def write_result_tables(spark, sf):
 _A = 0.15
 
 
-@query("live_monitor_stream", f"{qp.SQL_USER} SELECT entity, method, tau, {sg.rnd('threshold', 7)} AS threshold FROM fp WHERE method IN ('binary_gaussian', 'binary_student_t') AND far_target = {_A} AND tau <> -1")
+_LIVE = (f"WITH RECURSIVE {fx.SQL_USER}{sg.statistics(USER, mon.METHODS)}{sg.long_stats(mon.METHODS)}{sg.minima(USER)}{sg.thresholds(USER)}{sg.first_passage(USER)}")
+
+
+@query("live_monitor_stream", f"{_LIVE} SELECT entity, method, tau, {sg.rnd('threshold', 7)} AS threshold FROM fp WHERE far_target = {_A} AND tau <> -1")
 def live_monitor_stream(spark, sf):
-    """All days of all users through the online monitor, landed in three parts; equals the batch first passage.
+    """All days of all users through the online monitor, landed in three parts; all eight methods equal the batch first passage.
 
     After each part the query is started from its checkpoint, so state is carried over a restart.
     """
-    from tidewatch.sources.tables import handoff
-    lw = handoff(spark, ("user_lows", sf, ev.JVM_METHODS, USER), lambda: ev.record_lows(fx.panel_user(spark, sf), ev.JVM_METHODS, USER))
-    thr = cal.thresholds(cal.path_minima(lw), USER).where((F.col("far_target") == _A) & F.col("method").isin(*mon.METHODS))
-    limits = {row["method"]: row["threshold"] for row in thr.collect()}  # two rows
+    lw = handoff(spark, ("user_lows", sf, mon.METHODS, USER), lambda: ev.record_lows(fx.panel_user(spark, sf), mon.METHODS, USER))
+    thr = cal.thresholds(cal.path_minima(lw), USER).where(F.col("far_target") == _A).select("method", "threshold")
+    limits = staged(thr, "limits")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", mon.ROCKSDB)
     days = fx.user_days(spark, sf).select("entity", F.unix_micros(F.col("date").cast("timestamp")).alias("ts_us"), F.lit(0).cast("bigint").alias("event_id"), "ret")
     feed, out, ck = (scratch_path(spark, x) for x in ("feed", "alarms", "alarms-state"))
@@ -204,4 +206,4 @@ def live_monitor_stream(spark, sf):
         days.where(part).write.mode("append").parquet(feed)
         mon.run_available(spark.readStream.schema(days.schema).parquet(feed), USER, limits, out, ck)
     found = spark.read.schema(mon.OUTPUT).option("recursiveFileLookup", True).parquet(out)
-    return found.where(F.col("method") != mon.LATE).select("entity", "method", "tau", r("threshold", 7).alias("threshold"))
+    return found.where(~F.col("method").isin(*mon.REPORTS)).select("entity", "method", "tau", r("threshold", 7).alias("threshold"))
