@@ -2,8 +2,8 @@
 
 Ensembles arrive as long tables of path statistics (keys, candidate, path,
 statistic, value). Quantiles across paths are the distributed ones, because the
-number of paths is not bounded; tables keyed by candidate are small and are
-joined after their size has been measured.
+number of paths is not bounded; tables keyed by candidate are joined without a
+hint unless the caller's parameters bound them.
 """
 
 from __future__ import annotations
@@ -139,24 +139,38 @@ def select_candidate(finalists: DataFrame, keys: Sequence[str], edges: Sequence[
                     "n_finalists", "n_within_one_mc_se", F.col("_b.candidate").isin(*edges).alias("on_grid_boundary"))
 
 
-def evaluate_frozen(selection: DataFrame, sim: DataFrame, real: DataFrame, scales: DataFrame, keys: Sequence[str], baseline: int) -> DataFrame:
+def evaluate_frozen(selection: DataFrame, sim: DataFrame, real: DataFrame, scales: DataFrame, keys: Sequence[str], baseline: int,
+                    medians: DataFrame | None = None) -> DataFrame:
     """Loss in an evaluation year of what its calibration window had fixed: candidate and scales.
 
     `selection` and `scales` are keyed by calibration window (`keys`), `sim` and `real` hold the
-    statistics formed inside the evaluation year under the same keys.
+    statistics formed inside the evaluation year under the same keys. With `medians` of the
+    year's resampled ensembles the Monte-Carlo error of each loss comes along.
     """
     pick = F.explode(F.array(F.struct(F.lit("recalibrated").alias("method"), F.col("selected").alias("candidate")),
                              F.struct(F.lit("fixed_baseline").alias("method"), F.lit(baseline).alias("candidate")))).alias("_p")
     frozen = selection.select(*keys, pick).select(*keys, "_p.*")
-    t = loss_terms(sim.join(frozen, [*keys, "candidate"]), real, scales, keys)
-    return loss(t, [*keys, "method", "candidate"])
+    cell = [*keys, "method", "candidate"]
+    out = loss(loss_terms(sim.join(frozen, [*keys, "candidate"]), real, scales, keys), cell)
+    if medians is None:
+        return out
+    return out.join(loss_error(medians.join(frozen, [*keys, "candidate"]), real, scales, cell, keys).drop("n_reps"), cell)
 
 
-def walk_forward_results(evals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Recalibrated minus fixed baseline per cell, and whether it helped."""
-    p = evals.groupBy(*keys).pivot("method", ["recalibrated", "fixed_baseline"]).agg(F.max("loss"))
-    d = F.col("recalibrated") - F.col("fixed_baseline")
-    return p.withColumn("loss_difference", d).withColumn("recalibration_helped", d < 0)
+#: what the walk-forward table shows of each method
+COMPARED = ("loss", "rv21_component", "acf_abs_component", "loss_mc_se")
+
+
+def walk_forward_results(evals: DataFrame, keys: Sequence[str], calibrations: DataFrame) -> DataFrame:
+    """Recalibrated against fixed baseline per cell, whether it helped, and the calibration that chose it."""
+    p = evals.groupBy(*keys).agg(*[F.max(F.when(F.col("method") == m, F.col(c))).alias(f"{c}_{m}") for m in ("recalibrated", "fixed_baseline") for c in COMPARED])
+    d = F.col("loss_recalibrated") - F.col("loss_fixed_baseline")
+    return p.withColumn("loss_difference", d).withColumn("recalibration_helped", d < 0).join(calibrations, list(keys), "left")
+
+
+def walk_forward_summary(results: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Mean loss difference and cells won."""
+    return results.groupBy(*by).agg(F.count(F.lit(1)).alias("n_cells"), F.avg("loss_difference").alias("mean_difference"), F.count_if("recalibration_helped").alias("n_helped"))
 
 
 def coverage(contrast: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -65,21 +65,35 @@ def parts(st):
     return lg, ct.target_values(lg, qx.CELL), small(ct.observed_targets(qx.observed(lg), CAL)), small(sc)
 
 
-def selection(st, reps=rs.LOSS_REPS):
+def medians(st, reps=rs.LOSS_REPS):
+    """Medians of ensembles resampled as a whole, every window and year on the same draws."""
+    return rs.resampled_medians(dg.stats_long(st, qx.IDS, ct.TARGETS), ["scenario", "candidate"], ["period", "statistic"], reps, 5)
+
+
+def selection(st, reps=rs.LOSS_REPS, med=None):
     """The candidate each calibration window chooses, with the Monte-Carlo error of its loss."""
-    lg, tv, real, sc = parts(st.where(~_is_year()))
-    med = rs.resampled_medians(lg, ["scenario", "candidate"], ["period", "statistic"], reps, 5)
-    lo = ct.loss(ct.loss_terms(tv, real, sc, CAL), qx.CELL).join(ct.loss_error(med, real, sc, qx.CELL, CAL), qx.CELL)
+    _, tv, real, sc = parts(st.where(~_is_year()))
+    med = medians(st, reps) if med is None else med
+    lo = ct.loss(ct.loss_terms(tv, real, sc, CAL), qx.CELL).join(ct.loss_error(med.where(~_is_year()), real, sc, qx.CELL, CAL), qx.CELL)
     return ct.select_candidate(lo, CAL, EDGES)
 
 
-def evaluations(st, chosen):
+def evaluations(st, chosen, med=None):
     """Loss of the chosen and the fixed candidate in the one year after each calibration window."""
     _, tv, real, _ = parts(st.where(_is_year()))
     sc = ct.standardising_scales(dg.stats_long(st.where(~_is_year()), qx.IDS, ct.TARGETS).where(F.col("candidate") == BASELINE), CAL)
     rules = F.explode(F.array(F.lit("rolling3y"), F.lit("expanding"))).alias("_rule")
     ahead = lambda d: d.withColumn("_y", F.substring("period", 6, 4)).select("*", rules).withColumn("period", F.concat_ws("_", "_rule", "_y")).drop("_y", "_rule")
-    return ct.evaluate_frozen(chosen, ahead(tv), ahead(real), sc, CAL, BASELINE)
+    return ct.evaluate_frozen(chosen, ahead(tv), ahead(real), sc, CAL, BASELINE, None if med is None else ahead(med.where(_is_year())))
+
+
+def calibrations(spark, st, chosen):
+    """Each calibration window's bounds, number of returns and annual scale of the observed series, its choice and the boundary flag."""
+    ob = qx.observed(dg.stats_long(st.where(~_is_year()), qx.IDS, ["n_days", "sd_daily"]))
+    of = lambda name: F.max(F.when(F.col("statistic") == name, F.col("value")))
+    sample = ob.groupBy(*CAL).agg(of("n_days").cast("bigint").alias("window_n_returns"), (of("sd_daily") * F.sqrt(F.lit(dg.DAYS_PER_YEAR))).alias("sigma_annual"))
+    bounds = small(windows(spark).select("period", F.col("start").alias("window_start"), F.col("end").alias("window_end")))
+    return chosen.select(*CAL, "selected", "on_grid_boundary").join(sample, CAL).join(bounds, "period")
 
 
 def _named(df):
@@ -90,8 +104,12 @@ def _named(df):
 _NAMES = "split_part(period, '_', 1) AS rule, CAST(split_part(period, '_', 2) AS INTEGER) AS eval_year"
 
 
+def _medians(spark, sf):
+    return handoff(spark, ("loss_medians", sf, YEARS, CFG, rs.LOSS_REPS), lambda: medians(stats(spark, sf)))
+
+
 def _chosen(spark, sf):
-    return handoff(spark, ("selection", sf, YEARS, CFG, rs.LOSS_REPS), lambda: selection(stats(spark, sf)))
+    return handoff(spark, ("selection", sf, YEARS, CFG, rs.LOSS_REPS), lambda: selection(stats(spark, sf), med=_medians(spark, sf)))
 
 
 @query("select_candidate", f"""{SQL_SEL} SELECT {_NAMES}, s.scenario, s.selected, {sg.rnd('s.loss', 5)} AS loss, {sg.rnd('s.loss_mc_se', 5)} AS loss_mc_se, count(*) AS n_finalists,
@@ -112,12 +130,35 @@ def evaluate_frozen_year(spark, sf):
     return rr(_named(evaluations(stats(spark, sf), _chosen(spark, sf))), 5)
 
 
-@query("walk_forward_results", f"""{SQL_EV} SELECT {_NAMES}, r.scenario, r.candidate AS selected, {sg.rnd('r.loss', 5)} AS recalibrated, {sg.rnd('b.loss', 5)} AS fixed_baseline, {sg.rnd('r.loss - b.loss', 5)} AS loss_difference, r.loss - b.loss < 0 AS recalibration_helped
-FROM (SELECT * FROM ev WHERE method = 'recalibrated') r JOIN (SELECT * FROM ev WHERE method = 'fixed_baseline') b USING (period, scenario)""".replace("split_part(period", "split_part(r.period"))
+_CMP = ", ".join(f"max({c}) FILTER (WHERE method = '{m}') AS {c}_{m}" for m in ("recalibrated", "fixed_baseline") for c in ct.COMPARED)
+_CMP_NAMES = [f"{c}_{m}" for m in ("recalibrated", "fixed_baseline") for c in ct.COMPARED]
+SQL_WF = f"""{SQL_EV},
+em AS (SELECT fz.period, fz.scenario, fz.method, md.rep, md.statistic, power(((CASE WHEN md.statistic IN {qx._RVT} THEN ln(md.med) ELSE md.med END) - rt.real) / sc.scale, 2) AS term
+  FROM fz JOIN md ON md.period = 'year_' || split_part(fz.period, '_', 2) AND md.scenario = fz.scenario AND md.candidate = fz.candidate
+  JOIN rt ON rt.period = md.period AND rt.scenario = md.scenario AND rt.statistic = md.statistic JOIN sc ON sc.period = fz.period AND sc.scenario = fz.scenario AND sc.statistic = md.statistic),
+el AS (SELECT period, scenario, method, rep, 0.5 * avg(term) FILTER (WHERE statistic IN {qx._RVT}) + 0.5 * avg(term) FILTER (WHERE statistic NOT IN {qx._RVT}) AS loss FROM em GROUP BY period, scenario, method, rep),
+es AS (SELECT period, scenario, method, stddev_samp(loss) AS loss_mc_se FROM el GROUP BY period, scenario, method),
+ca AS (SELECT s.period, s.scenario, s.selected, s.selected IN {EDGES} AS on_grid_boundary, n.value AS window_n_returns, d.value * sqrt({dg.DAYS_PER_YEAR}) AS sigma_annual, v.s AS window_start, v.e AS window_end FROM sel s
+  JOIN ob n ON n.period = s.period AND n.scenario = s.scenario AND n.statistic = 'agg1d_n_blocks' JOIN ob d ON d.period = s.period AND d.scenario = s.scenario AND d.statistic = 'sd_daily' JOIN (VALUES {_WIN}) v(period, s, e) ON v.period = s.period),
+wf AS MATERIALIZED (SELECT {_NAMES}, w.*, loss_recalibrated - loss_fixed_baseline AS loss_difference, loss_recalibrated - loss_fixed_baseline < 0 AS recalibration_helped
+  FROM (SELECT period, scenario, {_CMP} FROM ev JOIN es USING (period, scenario, method) GROUP BY period, scenario) w)"""
+
+
+@query("walk_forward_results", f"""{SQL_WF} SELECT wf.rule, wf.eval_year, wf.scenario, {', '.join(f"{sg.rnd(f'wf.{c}', 5)} AS {c}" for c in [*_CMP_NAMES, 'loss_difference'])}, wf.recalibration_helped,
+  ca.selected, ca.on_grid_boundary, CAST(ca.window_n_returns AS BIGINT) AS window_n_returns, {sg.rnd('ca.sigma_annual', 7)} AS sigma_annual, ca.window_start, ca.window_end FROM wf JOIN ca USING (period, scenario)""")
 def walk_forward_results(spark, sf):
-    chosen = _chosen(spark, sf)
-    ev = evaluations(stats(spark, sf), chosen).join(chosen.select(*CAL, "selected"), CAL)
-    return rr(_named(ct.walk_forward_results(ev, [*CAL, "selected"])), 5)
+    return rr(_named(_results(spark, sf)).withColumn("sigma_annual", F.round("sigma_annual", 7)), 5, skip=("sigma_annual",))
+
+
+def _results(spark, sf):
+    st, chosen = stats(spark, sf), _chosen(spark, sf)
+    return ct.walk_forward_results(evaluations(st, chosen, _medians(spark, sf)), CAL, calibrations(spark, st, chosen))
+
+
+@query("walk_forward_summary", f"""{SQL_WF} SELECT rule, scenario, count(*) AS n_cells, {sg.rnd('avg(loss_difference)', 5)} AS mean_difference, count(*) FILTER (WHERE recalibration_helped) AS n_helped FROM wf GROUP BY rule, scenario""")
+def walk_forward_summary(spark, sf):
+    """Mean and wins by rule."""
+    return rr(ct.walk_forward_summary(_named(_results(spark, sf)), ["rule", "scenario"]), 5)
 
 
 # --- resampled histories ------------------------------------------------------------------
