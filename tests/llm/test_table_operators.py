@@ -272,7 +272,19 @@ def test_class_model_is_a_distribution(spark):
         assert not len(members) or math.isclose((10 ** m.emission[members]).sum(), 1)
     rare = {r.key: r.n for r in counts.collect() if r.key != class_lm.END_KEY and v.ids(np.array([r.key]).view(np.uint64))[0] == v.rare}
     assert sum(rare.values()) == v.rare_tokens and 0 < v.unseen < 1
-    assert math.isclose(v.unseen + sum((1 - v.unseen) * n / v.rare_tokens for n in rare.values()), 1)
+    every = sum((1 - v.unseen) * n / v.rare_tokens for n in rare.values())
+    assert math.isclose(every + v.unseen_word * v.unseen_types, 1) and v.unseen_types >= 1  # as many unseen words as are estimated
+
+
+def test_random_letters_score_below_clean_text(spark):
+    """Unseen words share what is left; a text of them scores worse per token than any held-out text of the corpus."""
+    rng = np.random.default_rng(12)
+    junk = [(10_001 + 5 * k, " ".join("".join(rng.choice(list("abcdefghijklmnop"), 9)) for _ in range(300))) for k in range(3)]
+    rows = random_texts(300, seed=9, words=200, passage=0.1) + junk
+    got = class_lm.score_documents(rough_frame(spark, rows), F.col("doc_id") % 5 == 1, max_words=120, classes=6, rounds=4).collect()
+    per = {r.id: r.score / r.n_tokens for r in got if r.held_out and r.n_tokens > 1}
+    bad = {i for i, _ in junk}
+    assert bad <= set(per) and max(per[i] for i in bad) < min(x for i, x in per.items() if i not in bad)
 
 
 def test_exchange_finds_planted_classes(spark):

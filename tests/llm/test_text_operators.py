@@ -269,3 +269,31 @@ def test_report_compares_short_texts_in_full(spark):
         edited = t[:len(t) - n] + dict(rows)[(k - 1) % 30][:n]
         a, b = ({tuple(x.split()[j:j + 5]) for j in range(len(x.split()) - 4)} for x in (t, edited))
         assert got[k].near_edited == len(a & b) / len(a | b) > 0 and got[k].held_by_edited == len(a & b) / len(a)
+
+
+def thue_morse(letters, length):
+    return [letters[bin(k).count("1") % 2] for k in range(length)]
+
+
+@pytest.mark.parametrize("length", [256, 1024, 2048, 4096])
+def test_crafted_words_and_windows_do_not_collide(length):
+    """Complementary Thue-Morse words have equal values under every polynomial modulo a power of two."""
+    one, two = "".join(thue_morse("ab", length)), "".join(thue_morse("ba", length))
+    for stream in (0, 1):
+        h = Words(pa.array([one, two])).hashes(stream)
+        assert h[0] != h[1]
+        w = Words(pa.array([" ".join(one), " ".join(two)])).hashes(stream)
+        x = windows(w, length, stream)
+        assert len(x) == length + 1 and x[0] != x[-1] and len(set(x.tolist())) == len(x)
+        again = windows(w[3:3 + length + 5], length, stream)
+        assert np.array_equal(again, x[3:9])
+
+
+def test_crafted_words_lose_nothing(spark):
+    one, two = "".join(thue_morse("ab", 2048)), "".join(thue_morse("ba", 2048))
+    rest = [f"w{k}" for k in range(22)]
+    rows = [(1, " ".join([*rest[:11], one, *rest[11:]])), (2, " ".join([*rest[:11], two, *rest[11:]]))]
+    got = {r.id: r.n_removed for r in substring_dedup.substring_dedup(frame(spark, rows)).collect()}
+    assert got == {1: 0, 2: 0}
+    lines = quality.quality(frame(spark, [(1, f"{one}\n{two}\nshort")])).first()
+    assert lines.n_dup_lines == 0

@@ -39,6 +39,8 @@ class Vocabulary:
     rare_tokens: int
     rare_once: int   # rare words seen once
     edge_tokens: int  # of the clustered words with the smallest count
+    once: int         # words seen once
+    twice: int        # words seen twice
 
     @property
     def rare(self) -> int:
@@ -64,6 +66,17 @@ class Vocabulary:
         return (self.rare_once + 0.5) / (self.rare_tokens + self.edge_tokens + 1.0) if self.rare_tokens else 1.0
 
 
+    @property
+    def unseen_types(self) -> float:
+        """Estimate of how many words were never seen, from those seen once and twice (Chao); one at least."""
+        return max(1.0, self.once * (self.once - 1) / (2.0 * (self.twice + 1)))
+
+    @property
+    def unseen_word(self) -> float:
+        """Share of the rare class that a single unseen word has, so that all of them together have `unseen`."""
+        return self.unseen / self.unseen_types
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary
@@ -89,7 +102,7 @@ def vocabulary(counts: DataFrame, max_words: int) -> Vocabulary:
     band = F.floor(F.log2(F.col("n").cast("double")) * BANDS)
     words = counts.where(F.col("key") != END_KEY)
     table = {r["band"]: r for r in words.groupBy(band.alias("band")).agg(F.count("*").alias("types"), F.sum("n").alias("tokens"),
-                                                                       F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).alias("once")).collect()}
+                                                                       F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()}
     end = counts.where(F.col("key") == END_KEY).agg(F.sum("n").alias("n")).first()["n"] or 0
     chosen, room = None, max_words
     for b in sorted(table, reverse=True):
@@ -103,7 +116,7 @@ def vocabulary(counts: DataFrame, max_words: int) -> Vocabulary:
     rare = [r for b, r in table.items() if chosen is None or b < chosen]
     return Vocabulary(keys[order], n[order], sum(r["tokens"] for r in table.values()) + end, sum(r["types"] for r in table.values()) + (end > 0),
                       end, sum(r["tokens"] for r in rare), sum(r["once"] for r in rare),
-                      int(n[n == n.min()].sum()) if len(n) else 0)
+                      int(n[n == n.min()].sum()) if len(n) else 0, sum(r["once"] for r in table.values()), sum(r["twice"] for r in table.values()))
 
 
 def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
@@ -308,8 +321,9 @@ def score_documents(df: DataFrame, held_out: Column, id_col: str = "doc_id", tex
     (A-Z) words and one end per text. Each word's training count is kept, by 64-bit hash. The
     `max_words` most frequent words (to the edge of a frequency band) are clustered into
     `classes` classes; all others share the rare class, where each has its count's share and
-    unseen words the share of Good and Turing. `score` is the log10 probability under
-    P(class | two classes before) P(word | class), `base_score` that of add-half unigrams.
+    all unseen words together the share of Good and Turing, spread evenly over the estimated number
+    of words never seen, so that probabilities add up to one over that many. `score` is the log10
+    probability under P(class | two classes before) P(word | class), `base_score` that of add-half unigrams.
 
     Texts are read twice: to count words, and to be encoded and written as 16-bit ids with
     the rare words' keys, which alone are joined with the counts. Rows keep their own number, so
@@ -327,7 +341,7 @@ def score_documents(df: DataFrame, held_out: Column, id_col: str = "doc_id", tex
     n = F.col("n")
     rare = (table.select("row", F.explode("rare").alias("key")).join(counts, "key", "left")
             .groupBy("row").agg(F.count(n).alias("r_known"), F.sum(F.log10(F.coalesce(n, F.lit(0)) + 0.5) - cost).alias("r_base"),
-                                F.sum(F.coalesce(F.log10(n.cast("double")) + seen, F.lit(math.log10(v.unseen)))).alias("r_score")))
+                                F.sum(F.coalesce(F.log10(n.cast("double")) + seen, F.lit(math.log10(v.unseen_word)))).alias("r_score")))
     out = main.join(rare, "row", "left")
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return out.select("id", "held_out", "n_tokens", plus("known", "r_known").alias("n_known"), F.lit(int(v.tokens)).cast("long").alias("train_tokens"),

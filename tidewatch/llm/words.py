@@ -14,8 +14,10 @@ _rng = np.random.default_rng(20240229)
 #: one random odd-or-even 64-bit value per byte and stream, and an odd multiplier per stream
 _BYTES = _rng.integers(0, 2**64, (2, 256), dtype=np.uint64)
 _BASE = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-#: longer spans are hashed one by one, so the tables of powers stay small
-LONG = 1 << 16
+#: Polynomials modulo a power of two have collisions that can be written down (Thue-Morse words), from
+#: some 1,000 places on. Spans of more bytes than this are hashed one by one with xxHash, windows of
+#: more values are folded with a mixing step between doublings.
+LONG = 255
 _SEGMENT = 1 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -94,8 +96,8 @@ def _tables(stream: int) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, stream: int = 0) -> np.ndarray:
     """64-bit hash of each byte span; a function of its bytes alone. Spans must be in order and not overlap.
 
-    A span's hash is a polynomial in the stream's base, read off prefix sums, so no span is
-    looped over in Python. The two streams are independent: together they have 128 bits.
+    A span's hash is a polynomial in the stream's base, read off prefix sums; only spans of more
+    than LONG bytes are looped over. The two streams are independent: together they have 128 bits.
     """
     up, down = _tables(stream)
     out = np.zeros(len(start), np.uint64)
@@ -117,10 +119,12 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, stream: in
 
 
 def windows(h: np.ndarray, width: int, stream: int = 0) -> np.ndarray:
-    """Polynomial hash of each `width` consecutive values, by doubling; mix before use."""
+    """Hash of each `width` consecutive values, by doubling: a polynomial up to LONG values; mix before use."""
     total = len(h) - width + 1
     if total <= 0:
         return np.zeros(0, np.uint64)
+    if width > LONG:
+        return _folded(h, width, stream)
     base, size, power, have, out = _BASE[stream], 1, h, 0, np.zeros(total, np.uint64)
     while True:
         if width & size:
@@ -132,6 +136,20 @@ def windows(h: np.ndarray, width: int, stream: int = 0) -> np.ndarray:
         size *= 2
 
 
+def _folded(h: np.ndarray, width: int, stream: int) -> np.ndarray:
+    """As `windows`, but every doubling is mixed, so no algebra holds between windows."""
+    base, size, have, total = np.uint64(_BASE[stream]), 1, 0, len(h) - width + 1
+    power, out = mixed(h + base), np.zeros(total, np.uint64)
+    while True:
+        if width & size:
+            out = mixed(out * base + power[have:have + total])
+            have += size
+        if 2 * size > width:
+            return out
+        power = mixed(power[:len(power) - size] * base + power[size:])
+        size *= 2
+
+
 def _candidates(keys: np.ndarray) -> np.ndarray:
     """Positions whose key may occur again: all that share a slot of a counting table."""
     bits = max(8, int(4 * max(len(keys), 1)).bit_length())
