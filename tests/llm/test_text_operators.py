@@ -199,12 +199,23 @@ def test_decode_replaces_broken_bytes(library):
     assert bpe.vocabulary(PATH).decode(np.array(ids), np.array([0, 3])) == [library.decode([int(i) for i in ids], skip_special_tokens=False)]
 
 
+def threshold(hashes, least, scale=fingerprints.SCALE):
+    """The lowest of the thresholds at 1/8, 1/4, 1/2 of the range that leaves `least` hashes, else none."""
+    while scale > 1:
+        limit = -(2**63) + 2**64 // scale - 1
+        if sum(h <= limit for h in set(hashes)) >= least:
+            return limit
+        scale //= 2
+    return 2**63 - 1
+
+
 def test_sketches(spark, rough, nothing):
     rows = random_texts(40) + [(100, None), (101, ""), (102, "two words"), (103, "two words")]
     got = {r.id: r.sketch for r in fingerprints.sketches(frame(spark, rows)).collect()}
     assert got[100] == [] == got[101] and len(got[102]) == 1 and got[102] == got[103]
-    low = -(2**63) + 2**64 // fingerprints.SCALE
-    assert all(s == sorted(set(s)) and (len(s) <= 1 or s[-1] < low) for s in got.values())
+    every = {r.k: set(r.h) for r in frame(spark, rows).select(F.col("doc_id").alias("k"), fingerprints.shingle_hashes(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    for i, s in got.items():
+        assert s == sorted(h for h in every[i] if h <= threshold(every[i], 1))
     # a sketch merges: the union's sketch follows from the parts'
     pair = spark.createDataFrame([("a b c d e f g h i j k l m n o p q r s t u v", "b b c d e x y z h i j k l m n o p q r s t u v w")], "x string, y string")
     both = F.array_union(fingerprints.shingle_hashes(F.col("x")), fingerprints.shingle_hashes(F.col("y")))
@@ -232,7 +243,6 @@ def test_edit_report(spark):
 @pytest.mark.parametrize("least", [1, 8, fingerprints.LEAST])
 def test_short_texts_against_long_ones(spark, least):
     """Likeness and containment equal those of the whole shingle sets below what both sketches cover; full for short pairs."""
-    full = 2**63 - 1
     words = [f"w{k}" for k in range(1500)]
     long = " ".join(words)
     pairs = [(" ".join(words[k:k + n + 4]), long) for n in range(1, 30) for k in (0, 40, 900)]  # n shingles, all in the long text
@@ -242,15 +252,9 @@ def test_short_texts_against_long_ones(spark, least):
     hashes = df.select(fingerprints.shingle_hashes(F.col("x")).alias("x"), fingerprints.shingle_hashes(F.col("y")).alias("y")).collect()
     a, b = (fingerprints.sketch(F.col(c), least=least) for c in "xy")
     got = df.select(F.lit(0).alias("o"), fingerprints.likeness(a, b, least=least).alias("j"), fingerprints.containment(a, b, least=least).alias("c")).collect()
-    ceiling = -(2**63) + 2**64 // fingerprints.SCALE
-
-    def limit(s):
-        few = sorted(s)[:least]
-        return full if len(s) < least else max(ceiling - 1, few[-1])
-
     for (x, y), h, r in zip(pairs, hashes, got, strict=True):
         p, q = set(h.x), set(h.y)
-        t = min(limit(p), limit(q))
+        t = min(threshold(p, least), threshold(q, least))
         u, v = {k for k in p if k <= t}, {k for k in q if k <= t}
         j = 1.0 if not p and not q else len(u & v) / len(u | v) if u | v else None
         c = 1.0 if not p else 0.0 if not q else len(u & v) / len(u) if u else None

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import LAST_ID, let, narrowed, numbered
 
 SHINGLE = 5
-#: one hash in SCALE is retained
+#: one hash in SCALE is retained; a short text doubles its share until it has LEAST hashes or all
 SCALE = 8
-#: hashes that the report's sketches have at least, if the text has as many
 LEAST = 64
 
 
@@ -28,17 +27,24 @@ def _ceiling(scale: int) -> int:
     return -(2**63) + 2**64 // scale
 
 
+def _scales(scale: int) -> list[int]:
+    """scale, scale / 2, ... 1: the thresholds a text may have."""
+    return [scale >> k for k in range(scale.bit_length())]
+
+
 def retained(hashes: Column, scale: int = SCALE, least: int = 1) -> Column:
-    """Sorted distinct hashes below the threshold, or the `least` smallest ones where fewer are.
+    """Sorted distinct hashes below the text's threshold: the lowest of the scale's thresholds that leaves `least` hashes, else all.
 
-    The rule gives the same sketch whether it is applied to a whole or to a union of
-    sketches of parts, so sketches merge; only a text without words has an empty one.
+    The rule gives the same sketch whether it is applied to a whole or to a union of sketches
+    of parts: a union never has a higher threshold than its parts, so sketches merge; only a
+    text without words has an empty one.
     """
-    def of(all_: Column) -> Column:
-        low = F.array_sort(F.array_distinct(F.filter(all_, lambda h: h < _ceiling(scale))))
-        few = F.slice(F.array_sort(F.array_distinct(all_)), 1, least)
-        return let(low, lambda x: F.when(F.size(x) >= least, x).otherwise(few))
-    return let(hashes, of)
+    def below(all_: Column, scales: list[int]) -> Column:
+        if scales == [1]:
+            return all_
+        low = F.filter(all_, lambda h: h < _ceiling(scales[0]))
+        return let(low, lambda x: F.when(F.size(x) >= least, x).otherwise(below(all_, scales[1:])))
+    return let(F.array_distinct(hashes), lambda all_: F.array_sort(below(all_, _scales(scale))))
 
 
 def sketch(text: Column, width: int = SHINGLE, scale: int = SCALE, least: int = 1) -> Column:
@@ -51,13 +57,13 @@ def merged(a: Column, b: Column, scale: int = SCALE, least: int = 1) -> Column:
 
 
 def covered(s: Column, scale: int = SCALE, least: int = 1) -> Column:
-    """The largest hash value up to which the sketch holds every hash of its text.
-
-    Fewer than `least` hashes are all there are; as many, of which one lies above the threshold,
-    are all up to that one; otherwise all below the threshold are held.
-    """
-    last = F.coalesce(F.array_max(s), F.lit(-(2**63)))
-    return F.when(F.size(s) < least, F.lit(2**63 - 1)).otherwise(F.greatest(last, F.lit(_ceiling(scale) - 1)))
+    """The sketch's threshold: the largest value up to which it holds every hash of its text; follows from the sketch alone."""
+    def among(scales: list[int]) -> Column:
+        if scales == [1]:
+            return F.lit(2**63 - 1)
+        limit = _ceiling(scales[0])
+        return F.when(F.size(F.filter(s, lambda h: h < limit)) >= least, F.lit(limit - 1)).otherwise(among(scales[1:]))
+    return among(_scales(scale))
 
 
 def _shared(a: Column, b: Column, scale: int, least: int, body) -> Column:
@@ -87,7 +93,7 @@ def containment(a: Column, b: Column, scale: int = SCALE, least: int = 1) -> Col
 def sketches(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, scale: int = SCALE, least: int = 1) -> DataFrame:
     """id, sketch (sorted array of hashes) of every whole text; a row-wise pass without a shuffle.
 
-    Short texts can only be compared if `least` is large; compare with the same `least`.
+    Compare sketches that were made with the same `least`; the larger, the surer are short texts.
     A missing text counts as empty. Repeated rows get equal sketches.
     """
     return narrowed(df, id_col, text_col).select("id", sketch(F.col("text"), width, scale, least).alias("sketch"))
@@ -107,8 +113,9 @@ def edit_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     as the donor's side, whose needed prefix alone is shuffled on to the receiver. Rows that
     share id and text are one document in this order; rows that share the id alone follow
     their text hashes. A missing id is the largest. A single document is its own next one.
-    Sketches hold LEAST hashes at least, so texts up to that many shingles are compared in full; a
-    comparison is missing where the two sketches cover nothing of the text.
+    A text's threshold is the lowest that leaves LEAST hashes, so texts with fewer shingles are
+    compared in full; two sketches are compared below the lower of their thresholds. Only the
+    containment columns can be missing: where that part holds nothing of the contained text.
     """
     docs = narrowed(df, id_col, text_col).withColumn("th", F.xxhash64("text"))
     keys = docs.select("d", "th", F.char_length("text").alias("n")).groupBy("d", "th").agg(F.max("n").alias("n"))
