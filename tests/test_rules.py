@@ -88,9 +88,15 @@ def test_variance_degenerate_cases(spark):
     wide = CFG.with_(truncation_c=1e9)
     j = ev.with_ewma_variance(ev.with_truncated_variance(p, wide), wide)
     assert j.where(F.abs(F.col("v_ewma") / F.col("v_trunc") - 1) > 1e-12).count() == 0
-    # the closed form equals the recursion carried from day to day
-    k = ev._carried_variance(ev.with_ewma_variance(p, CFG, name="a"), CFG, ev.KEYS, "b", math.inf)
-    assert k.where(F.abs(F.col("a") / F.col("b") - 1) > 1e-12).count() == 0
+    # both forms equal the recursion carried from day to day
+    rows = ev.with_truncated_variance(ev.with_ewma_variance(p, CFG, name="a"), CFG, name="b").orderBy("entity", "day").collect()
+    lam, m, s2, cap = CFG.ewma_lambda, CFG.midpoint, CFG.sigma_daily ** 2, CFG.truncation_c ** 2
+    for r in rows:
+        if r["day"] == 1:
+            a = b = s2
+        assert r["a"] == pytest.approx(a, rel=1e-12) and r["b"] == pytest.approx(b, rel=1e-12)
+        e2 = (r["ret"] - m) ** 2
+        a, b = lam * a + (1 - lam) * e2, lam * b + (1 - lam) * min(e2, cap * b)
 
 
 def test_rolling_matches_direct_window(spark):
