@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import MonitorConfig
 from tidewatch.functions.expr import expit, ratio, wilson
+from tidewatch.functions.temporal import latest_before
 from tidewatch.operators.evidence import KEYS, by_day, wide_statistics
 
 NEVER = -1
@@ -273,14 +274,11 @@ def paired(fp: DataFrame, pairs: Sequence[tuple[str, str]], cfg: MonitorConfig,
 def event_classes(fp: DataFrame, panel: DataFrame, window: int, keep: Sequence[str] = ("method", "far_target")) -> DataFrame:
     """1 on an event day, 2 within `window` days after the latest earlier event, 3 elsewhere, 0 none.
 
-    As-of lookup as an ordered window over the panel, then an equi-join on the
-    alarm day: events after the alarm are invisible.
+    As-of lookup of the alarm day among the entity's event days, by bins of time: events after
+    the alarm are invisible, and days without an event do not take part.
     """
-    before = by_day(KEYS).rowsBetween(Window.unboundedPreceding, -1)
-    has = F.col("event_count") >= 1
-    ev = panel.select(*KEYS, "day", has.alias("on_event"),
-                      F.last(F.when(has, F.col("day")), ignorenulls=True).over(before).alias("prev_event"))
-    j = fp.join(ev.withColumnRenamed("day", "tau"), [*KEYS, "tau"], "left")
+    events = panel.where(F.col("event_count") >= 1).select(*KEYS, F.col("day").alias("tau"))
+    j = latest_before(fp, events, KEYS, "tau", previous="prev_event", same="on_event")
     recent = F.col("prev_event").isNotNull() & (F.col("tau") - F.col("prev_event") <= window)
     return j.select(*KEYS, *keep, "tau", F.when(~alarmed(), 0).when(F.col("on_event"), 1)
                     .when(recent, 2).otherwise(3).alias("event_class"))
