@@ -49,10 +49,11 @@ def test_landed_file_reasons(spark, tmp_path):
     body = "\n".join(f"2020-01-{d:02d},{d}.0" for d in range(1, 20))
     write(tmp_path, "ok.csv", "observation_date,ABC\n" + body)
     write(tmp_path, "short.csv", "observation_date,ABC\n")
+    write(tmp_path, "empty.csv", "")
     write(tmp_path, "page.csv", "  <!DOCTYPE html><html>" + body)
     write(tmp_path, "other.csv", "observation_date,XYZ\n" + body)
     got = {r["path"].rsplit("/", 1)[1]: (r["ok"], r["reason"]) for r in rd.validate_landed(spark, str(tmp_path), "ABC").collect()}
-    assert got == {"ok.csv": (True, ""), "short.csv": (False, "too short to be a data file"),
+    assert got == {"ok.csv": (True, ""), "short.csv": (False, "too short to be a data file"), "empty.csv": (False, "too short to be a data file"),
                    "page.csv": (False, "looks like HTML"), "other.csv": (False, "unexpected header")}
 
 
@@ -87,3 +88,22 @@ def test_thresholds_survive_csv_exactly(spark, tmp_path):
     assert back == vals
     with pytest.raises(ValueError):
         sinks.write_table(df, str(tmp_path / "u"), "avro")
+
+
+def test_digests_of_files_of_any_size(spark, tmp_path):
+    """Both ways agree with hashlib; a sparse file above the 2 GB limit of a value is summed in chunks."""
+    d = tmp_path / "landed files"
+    d.mkdir()
+    write(d, "empty.csv", "")
+    write(d, "a b.csv", "x" * 1000)
+    with open(d / "big.bin", "wb") as f:
+        f.truncate((2 << 30) + 5)
+    zeros, block = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(2 << 10):
+        zeros.update(block)
+    zeros.update(bytes(5))
+    want = {"empty.csv": hashlib.sha256(b"").hexdigest(), "a b.csv": hashlib.sha256(b"x" * 1000).hexdigest(), "big.bin": zeros.hexdigest()}
+    for limit in (rd.WHOLE_BYTES, 10, -1):
+        got = rd.file_digests(spark, str(d), whole_bytes=limit).collect()
+        assert {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in got} == want
+        assert len(got) == 3

@@ -7,12 +7,18 @@ marks a day without trading.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_BYTES = 64
+#: longest file whose checksum is taken from one value; a longer one is read in chunks
+WHOLE_BYTES, CHUNK_BYTES = 64 << 20, 4 << 20
 # fixed values: missing codes of the factor file
 MISSING_CODES = (-99.99, -999.0)
 
@@ -74,14 +80,22 @@ def load_series(spark: SparkSession, files: dict[str, str], registry: list[tuple
     return reduce(DataFrame.unionByName, parts)
 
 
+def _empty_files(f: DataFrame) -> DataFrame:
+    """uri of the files that a scan lists but skips because they have no byte; `f` has `_metadata`."""
+    # the listing writes file:///a, a row's metadata file:/a
+    names = f.sparkSession.createDataFrame([(n,) for n in f.inputFiles()], "uri string").select(F.regexp_replace("uri", "^file:/+", "file:/").alias("uri"))
+    return names.join(f.select(F.col("_metadata.file_path").alias("uri")), "uri", "left_anti")
+
+
 def validate_landed(spark: SparkSession, path: str, series_id: str, pattern: str = "*") -> DataFrame:
     """(path, length, ok, reason): too short, HTML, or a header that is not two columns with the id.
 
-    Lengths come from the listing. First lines are found line by line, by place in the file, so
+    Lengths come from the listing, and so do files without a byte, which a scan skips. First lines are found line by line, by place in the file, so
     no file is held as one value.
     """
-    sizes = (spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-             .select(F.col("_metadata.file_path").alias("path"), "length"))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    sizes = files.select(F.col("_metadata.file_path").alias("path"), "length").unionByName(
+        _empty_files(files).select(F.col("uri").alias("path"), F.lit(0).cast("long").alias("length")))
     lines = (spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)
              .select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i")))
     first = lines.groupBy("path").agg(F.min_by("value", F.struct("at", "i")).alias("head"))
@@ -105,18 +119,50 @@ def read_provenance(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(stem(F.col("raw_file")).alias("series"), F.col("raw_file").alias("file"), "sha256", "bytes", "downloaded_at")
 
 
+def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = []
+        for path in batch["path"].to_pylist():
+            if path.startswith("file:"):
+                system, name = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+            else:
+                system, name = fs.FileSystem.from_uri(path)
+            digest = hashlib.sha256()
+            with system.open_input_stream(name) as stream:
+                while chunk := stream.read(CHUNK_BYTES):
+                    digest.update(chunk)
+            sums.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch["path"], batch["length"], pa.array(sums, pa.string())], ["path", "length", "sha256"])
+
+
+def file_digests(spark: SparkSession, path: str, whole_bytes: int = WHOLE_BYTES) -> DataFrame:
+    """path, length, sha256 of every file under `path`, of any size.
+
+    Files of up to `whole_bytes` are one value each, summed in the JVM. The content of longer ones is
+    not read by the scan: the task that holds the file's row reads it in chunks through
+    Arrow's file systems (local, HDFS, object stores), so its memory does not depend on the file.
+    Both ways give the same sum; the split is by length alone and every file is in one of them. Files without a byte,
+    which a scan skips, are added from its listing.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    short = f.where(F.col("length") <= whole_bytes).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    long = f.where(F.col("length") > whole_bytes).select("path", "length")
+    none = _empty_files(f).select(F.try_url_decode(F.replace("uri", F.lit("+"), F.lit("%2B"))).alias("path"),
+                                  F.lit(0).cast("long").alias("length"), F.sha2(F.lit(b""), 256).alias("sha256"))
+    return short.unionByName(long.mapInArrow(_in_chunks, "path string, length long, sha256 string")).unionByName(none)
+
+
 def pinned_snapshots(spark: SparkSession, path: str, provenance: DataFrame, series: DataFrame, strict: bool = False) -> DataFrame:
     """series, file, pinned_by, sha_ok of each row of `series`: the file it is pinned to and whether its checksum agrees.
 
     `provenance` has series, file, sha256 and, if known, bytes. Without a record the series'
     last file by name is used and `pinned_by` says so. A series without any file, and a
-    record whose file is not there, are errors. A file is read whole for its checksum (2 GB at
-    most, Spark's limit for a value), one file per row; if the recorded length already differs
-    the checksum cannot agree.
+    record whose file is not there, are errors. Checksums come from `file_digests`; if the
+    recorded length already differs the checksum cannot agree.
     """
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    f = file_digests(spark, path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    got = f.select(name.alias("file"), stem(name).alias("series"), F.sha2("content", 256).alias("actual"), "length")
+    got = f.select(name.alias("file"), stem(name).alias("series"), F.col("sha256").alias("actual"), "length")
     newest = got.groupBy("series").agg(F.max("file").alias("newest"))
     if "bytes" not in provenance.columns:
         provenance = provenance.withColumn("bytes", F.lit(None).cast("long"))
