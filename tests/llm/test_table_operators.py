@@ -245,7 +245,7 @@ def test_class_model(spark, rough, nothing):
     rows = random_texts(200) + [(i + 500, t) for i, t in enumerate([None, "", "unseen words only here", "x" * 200_000])]
     held = F.col("doc_id") % 5 == 1
     df = rough_frame(spark, rows)
-    got = {r.id: r for r in class_lm.score_documents(df, held, max_words=120, classes=6, rounds=4).collect()}
+    got = {r.id: r for r in class_lm.score_documents(df, held, core=120, classes=6, rounds=4).collect()}
     tokens = {i: WORD.findall((t or "").translate(LOWER)) + [None] for i, t in rows}
     count = Counter(w for i in tokens if i % 5 != 1 for w in tokens[i])
     n, v = sum(count.values()), len(count)
@@ -261,27 +261,89 @@ def test_class_model(spark, rough, nothing):
 
 
 def test_class_model_is_a_distribution(spark):
-    """Transitions of every context and emissions of every class add up to one."""
+    """Transitions of every context and emissions of every class add up to one, words outside the core included."""
     docs = rough_frame(spark, random_texts(80)).select(F.col("doc_id").alias("id"), F.lit(False).alias("held_out"), "text")
     counts = class_lm.token_counts(docs).cache()
-    v = class_lm.vocabulary(counts, 100)
-    m = class_lm.train(class_lm.encoded(docs, v), v, classes=5, rounds=3)
-    assert np.allclose((10 ** m.transition).sum(2), 1)
+    v = class_lm.vocabulary(counts, 20)
+    table = class_lm.encoded(docs, v)
+    of = class_lm.exchange(table, v, 5, 3)
+    triples = class_lm._class_trigrams(table.select("ids"), np.uint16, of, 7)
+    assert np.allclose(class_lm.smoothed(triples).sum(2), 1)
+    others = class_lm.joined(table, v, of, triples.sum(0).astype(float), 5)
+    mass = class_lm.class_mass(v, of, others, 5)
+    got = {r.key: r for r in others.collect()}
+    core = set(v.keys.view(np.int64).tolist())
+    words = {r.key: r.n for r in counts.collect() if r.key != class_lm.END_KEY}
+    assert {k: r.n for k, r in got.items()} == {k: n for k, n in words.items() if k not in core}  # every word of any count, once
+    assert all((r["class"] < 5) == (r.n >= v.least) for r in got.values()) and any(r["class"] < 5 for r in got.values())
+    member = {**{k: of[j] for j, k in enumerate(v.keys.view(np.int64).tolist())}, **{k: r["class"] for k, r in got.items()}}
     for g in range(5):
-        members = np.flatnonzero(m.classes[:v.rare] == g)
-        assert not len(members) or math.isclose((10 ** m.emission[members]).sum(), 1)
-    rare = {r.key: r.n for r in counts.collect() if r.key != class_lm.END_KEY and v.ids(np.array([r.key]).view(np.uint64))[0] == v.rare}
-    assert sum(rare.values()) == v.rare_tokens and 0 < v.unseen < 1
-    every = sum((1 - v.unseen) * n / v.rare_tokens for n in rare.values())
+        inside = [n for k, n in words.items() if member[k] == g]
+        assert not inside or math.isclose(sum(n / mass[g] for n in inside), 1)
+    rare = [r.n for r in got.values() if r["class"] == 5]
+    assert sum(rare) == v.rare_tokens == mass[5] and 0 < v.unseen < 1
+    every = sum((1 - v.unseen) * n / v.rare_tokens for n in rare)
     assert math.isclose(every + v.unseen_word * v.unseen_types, 1) and v.unseen_types >= 1  # as many unseen words as are estimated
 
 
+def test_class_model_score_by_brute_force(spark):
+    """Every text's score is the sum over its tokens of transition and emission, from the word classes that the model found."""
+    rows = random_texts(120, seed=4)
+    held = F.col("doc_id") % 5 == 1
+    docs = rough_frame(spark, rows).select(F.col("doc_id").alias("id"), held.alias("held_out"), "text")
+    v = class_lm.vocabulary(class_lm.token_counts(docs), 25)
+    table = class_lm.encoded(docs, v)
+    of = class_lm.exchange(table, v, 4, 3)
+    groups, end, other = 6, 5, 4
+    matrix = class_lm._class_trigrams(class_lm._columns(table), np.uint16, of, groups).sum(0).astype(float)
+    others = {r.key: r for r in class_lm.joined(table, v, of, matrix, 4).collect()}
+    import pyarrow as pa
+    tokens = {i: WORD.findall((t or "").translate(LOWER)) for i, t in rows}
+    vocabulary = sorted({w for t in tokens.values() for w in t})
+    key = dict(zip(vocabulary, class_lm.Words(pa.array([" ".join(vocabulary)])).hashes().view(np.int64).tolist(), strict=True))
+    core = {k: j for j, k in enumerate(v.keys.view(np.int64).tolist())}
+    own = {w: of[core[k]] if k in core else others[k]["class"] if k in others else other for w, k in key.items()}
+    count = Counter(w for i, t in tokens.items() if i % 5 != 1 for w in t)
+    triples, mass = np.zeros((groups,) * 3), Counter()
+    for w, n in count.items():
+        mass[own[w]] += n
+    for i, t in tokens.items():
+        c = [end, end, *(own[w] for w in t), end]
+        for x in zip(c, c[1:], c[2:], strict=False):
+            triples[x] += i % 5 != 1
+    p = class_lm.smoothed(triples)
+    got = {r.id: r.score for r in class_lm.score_documents(rough_frame(spark, rows), held, core=25, classes=4, rounds=3).collect()}
+    for i, t in tokens.items():
+        c, want = [end, end, *(own[w] for w in t), end], 0.0
+        for x in zip(c, c[1:], c[2:], strict=False):
+            want += math.log10(p[x])
+        for w in t:
+            want += math.log10(v.unseen_word if not count[w] else count[w] / mass[own[w]] * ((1 - v.unseen) if own[w] == other else 1))
+        assert got[i] == pytest.approx(want)
+
+
+def test_words_join_the_class_that_suits_them(spark):
+    """A word outside the core ends where trying every class in turn gives the highest likelihood."""
+    rng = np.random.default_rng(8)
+    matrix = rng.integers(0, 500, (8, 8)).astype(float)
+    follow, precede = rng.integers(0, 4, (300, 8)) * (rng.random((300, 8)) < 0.4), np.zeros((300, 8), int)
+    for k in range(300):
+        precede[k] = rng.permutation(follow[k])
+    x = lambda m: (m * np.log(np.maximum(m, 1))).sum()
+    for k, c in enumerate(class_lm.suited(follow, precede, matrix, 6)):
+        gain = []
+        for g in range(6):
+            rows, cols = matrix[g] + follow[k], matrix[:, g] + precede[k]
+            gain.append(x(rows) - x(matrix[g]) + x(cols) - x(matrix[:, g]) - x(rows.sum()) + x(matrix[g].sum()) - x(cols.sum()) + x(matrix[:, g].sum()))
+        assert gain[c] == pytest.approx(max(gain))
+
+
 def test_random_letters_score_below_clean_text(spark):
     """Unseen words share what is left; a text of them scores worse per token than any held-out text of the corpus."""
     rng = np.random.default_rng(12)
     junk = [(10_001 + 5 * k, " ".join("".join(rng.choice(list("abcdefghijklmnop"), 9)) for _ in range(300))) for k in range(3)]
     rows = random_texts(300, seed=9, words=200, passage=0.1) + junk
-    got = class_lm.score_documents(rough_frame(spark, rows), F.col("doc_id") % 5 == 1, max_words=120, classes=6, rounds=4).collect()
+    got = class_lm.score_documents(rough_frame(spark, rows), F.col("doc_id") % 5 == 1, core=120, classes=6, rounds=4).collect()
     per = {r.id: r.score / r.n_tokens for r in got if r.held_out and r.n_tokens > 1}
     bad = {i for i, _ in junk}
     assert bad <= set(per) and max(per[i] for i in bad) < min(x for i, x in per.items() if i not in bad)

@@ -8,15 +8,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import written
+from tidewatch.llm.common import partitions, written
 from tidewatch.llm.words import Words, binaries, mixed, slices, values_of
 
-#: words with a class of their own choice; at most 65,533, as ids are 16-bit
-MAX_WORDS = 1 << 15
-CLASSES, ROUNDS = 64, 8
+#: words that are clustered jointly, round by round; every other word of LEAST or more occurrences then
+#: joins the class that suits it best. At most 65,533, as their ids are 16-bit
+CORE = 1 << 15
+#: words seen less often than this share the rare class
+LEAST = 4
+#: the exchange ends when fewer than SETTLED of the core's tokens moved in two rounds, at the latest after ROUNDS
+CLASSES, ROUNDS, SETTLED = 64, 16, 0.01
 #: weight of the shorter context in a smoothed transition, in tokens
 ALPHA = 20.0
 #: frequency bands per doubling of the count
@@ -29,16 +34,16 @@ END_KEY = int(mixed(np.array([0x454E44], np.uint64)).view(np.int64)[0])
 
 @dataclass
 class Vocabulary:
-    """Clustered words in key order with counts; ids: word, then rare (all other words), then end."""
+    """The core words in key order with counts; ids: word, then other (all words outside the core), then end."""
 
     keys: np.ndarray
     counts: np.ndarray
+    least: int       # occurrences from which on a word has a class of its own choice
     tokens: int      # all training tokens, ends included
     types: int       # distinct ones
     ends: int
-    rare_tokens: int
-    rare_once: int   # rare words seen once
-    edge_tokens: int  # of the clustered words with the smallest count
+    rare_tokens: int  # of the words seen less than `least` times
+    edge_tokens: int  # of the words seen `least` times
     once: int         # words seen once
     twice: int        # words seen twice
 
@@ -63,8 +68,7 @@ class Vocabulary:
         Words seen r times are expected to have what those seen r + 1 times had: unseen words
         have n_1, and the class, which ends below count t, has r n_r over all r from 1 to t.
         """
-        return (self.rare_once + 0.5) / (self.rare_tokens + self.edge_tokens + 1.0) if self.rare_tokens else 1.0
-
+        return (self.once + 0.5) / (self.rare_tokens + self.edge_tokens + 1.0) if self.rare_tokens else 1.0
 
     @property
     def unseen_types(self) -> float:
@@ -77,14 +81,6 @@ class Vocabulary:
         return self.unseen / self.unseen_types
 
 
-@dataclass
-class Model:
-    vocabulary: Vocabulary
-    classes: np.ndarray        # of each id
-    transition: np.ndarray     # log10 P(class | two classes before)
-    emission: np.ndarray       # log10 P(id's word | class); 0 for rare words, whose part follows from their count
-
-
 def token_counts(docs: DataFrame) -> DataFrame:
     """key, n: training count of each word's 64-bit hash and of the end token, combined map-side."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,30 +93,32 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return docs.where(~F.col("held_out")).select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame, max_words: int) -> Vocabulary:
-    """The words of the highest frequency bands that together have at most `max_words` words; their number bounds what the driver gets."""
-    band = F.floor(F.log2(F.col("n").cast("double")) * BANDS)
+def vocabulary(counts: DataFrame, core: int, least: int = LEAST) -> Vocabulary:
+    """The words of the highest frequency bands that together have at most `core` words of `least` or more
+    occurrences; their number bounds what the driver gets."""
+    n, tokens = F.col("n"), F.sum("n")
+    band = F.floor(F.log2(n.cast("double")) * BANDS)
     words = counts.where(F.col("key") != END_KEY)
-    table = {r["band"]: r for r in words.groupBy(band.alias("band")).agg(F.count("*").alias("types"), F.sum("n").alias("tokens"),
-                                                                       F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()}
-    end = counts.where(F.col("key") == END_KEY).agg(F.sum("n").alias("n")).first()["n"] or 0
-    chosen, room = None, max_words
+    table = {r["band"]: r for r in words.where(n >= least).groupBy(band.alias("band")).agg(F.count("*").alias("types")).collect()}
+    total = words.agg(tokens.alias("tokens"), F.count("*").alias("types"), F.sum(F.when(n < least, n)).alias("rare"), F.sum(F.when(n == least, n)).alias("edge"),
+                      F.count_if(n == 1).alias("once"), F.count_if(n == 2).alias("twice")).first()
+    end = counts.where(F.col("key") == END_KEY).agg(tokens.alias("n")).first()["n"] or 0
+    chosen, room = None, core
     for b in sorted(table, reverse=True):
         room -= table[b]["types"]
         if room < 0:
             break
         chosen = b
-    top = words.where(band >= chosen).select("key", "n").toArrow() if chosen is not None else pa.table({"key": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+    top = (words.where((band >= chosen) & (n >= least)).select("key", "n").toArrow() if chosen is not None
+           else pa.table({"key": pa.array([], pa.int64()), "n": pa.array([], pa.int64())}))
     keys, n = top["key"].to_numpy().view(np.uint64), top["n"].to_numpy()
     order = np.argsort(keys)
-    rare = [r for b, r in table.items() if chosen is None or b < chosen]
-    return Vocabulary(keys[order], n[order], sum(r["tokens"] for r in table.values()) + end, sum(r["types"] for r in table.values()) + (end > 0),
-                      end, sum(r["tokens"] for r in rare), sum(r["once"] for r in rare),
-                      int(n[n == n.min()].sum()) if len(n) else 0, sum(r["once"] for r in table.values()), sum(r["twice"] for r in table.values()))
+    return Vocabulary(keys[order], n[order], least, (total["tokens"] or 0) + end, total["types"] + (end > 0), end, total["rare"] or 0, total["edge"] or 0,
+                      total["once"], total["twice"])
 
 
 def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """row, id, held_out, ids (16-bit, with the end), rare (keys of the words outside the vocabulary)."""
+    """row, id, held_out, ids (16-bit, with the end), rare (keys of the words outside the core)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             w = Words(part.column(2), lower=True)
@@ -202,19 +200,20 @@ def moved(follow: np.ndarray, precede: np.ndarray, own: np.ndarray, matrix: np.n
 
 
 def exchange(table: DataFrame, v: Vocabulary, classes: int, rounds: int) -> np.ndarray:
-    """Class of each id after `rounds` rounds of exchange.
+    """Class of each core id when the exchange has settled, at the latest after `rounds` rounds.
 
     A round counts each word's neighbouring classes over the whole training text, sums the
     class bigrams, and lets half of the words (by hash, in turn) move to their best class with the
     others held. Counts of CHUNK words are one group; the class matrix and the assignment, whose
-    sizes are set by the parameters, are what the driver sees. Rare words and the end token are
-    classes of their own.
+    sizes are set by the parameters, are what the driver sees. Words outside the core and the end
+    token are classes of their own here.
     """
     n, groups = len(v.keys) + 2, classes + 2
     of = np.empty(n, np.int64)
     of[np.argsort(-v.counts, kind="stable")] = np.arange(len(v.keys)) % classes
     of[v.rare], of[v.end] = classes, classes + 1
     turn = (mixed(v.keys) & np.uint64(1)).astype(np.int64)
+    restless = []
     for k in range(rounds if len(v.keys) else 0):
         now = of.copy()
         counts = _neighbours(table, now, groups)
@@ -242,22 +241,26 @@ def exchange(table: DataFrame, v: Vocabulary, classes: int, rounds: int) -> np.n
 
         moves = counts.mapInArrow(move, "id long, to long").toArrow()
         of[moves["id"].to_numpy()] = moves["to"].to_numpy()
+        restless.append(int(v.counts[of[:v.rare] != now[:v.rare]].sum()))
+        if k and sum(restless[-2:]) < SETTLED * v.counts.sum():
+            break
     return of
 
 
-def _class_trigrams(table: DataFrame, of: np.ndarray, groups: int) -> np.ndarray:
-    """Training counts of class triples; a text begins after two ends. At most groups^3 rows reach the driver."""
+def _class_trigrams(rows: DataFrame, dtype, of: np.ndarray | None, groups: int) -> np.ndarray:
+    """Counts of class triples in the rows' ids (or classes, without `of`); a text begins after two ends. At most groups^3 rows reach the driver."""
     end = groups - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(groups ** 3, np.int64)
         for batch in batches:
-            ids, sizes = values_of(batch.column(0), np.uint16)
-            total += np.bincount(context(of[ids], sizes, groups, end)[0], minlength=groups ** 3)
+            ids, sizes = values_of(batch.column(0), dtype)
+            c = ids.astype(np.int64) if of is None else of[ids]
+            total += np.bincount(context(c, sizes, groups, end)[0], minlength=groups ** 3)
         cell = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(total[cell])], names=["cell", "n"])
 
-    found = _columns(table).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(groups ** 3, np.int64)
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(groups, groups, groups)
@@ -283,67 +286,166 @@ def smoothed(triples: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
     return (triples + alpha * two[None]) / (triples.sum(2, keepdims=True) + alpha)
 
 
-def train(table: DataFrame, v: Vocabulary, classes: int = CLASSES, rounds: int = ROUNDS) -> Model:
-    of = exchange(table, v, classes, rounds)
-    groups = classes + 2
-    transition = np.log10(smoothed(_class_trigrams(table, of, groups)))
-    mass = np.bincount(of[:len(v.keys)], weights=v.counts, minlength=groups)
-    emission = np.zeros(len(of))
-    emission[:len(v.keys)] = np.log10(v.counts / mass[of[:len(v.keys)]])
-    return Model(v, of, transition, emission)
+def suited(follow: np.ndarray, precede: np.ndarray, matrix: np.ndarray, movable: int) -> np.ndarray:
+    """Class that each word, which is in none, joins: the one that raises the class bigrams' likelihood most.
+
+    The criterion of `moved` for words with few neighbours: only the cells that a word fills are looked at.
+    """
+    rows, cols, out = matrix.sum(1)[:movable], matrix.sum(0)[:movable], np.zeros(len(follow), np.int64)
+    own = _xlogx(rows), _xlogx(cols)
+    for lo in range(0, len(follow), 256):
+        gain = np.zeros((len(follow[lo:lo + 256]), movable))
+        for counts, m in ((follow, matrix[:movable].T), (precede, matrix[:, :movable])):
+            word, cell = np.nonzero(counts[lo:lo + 256])
+            if len(word):
+                more = _xlogx(m[cell] + counts[lo + word, cell][:, None]) - _xlogx(m[cell])
+                first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+                gain[word[first]] += np.add.reduceat(more, first, 0)
+        n = follow[lo:lo + 256].sum(1)[:, None]
+        gain -= _xlogx(rows + n) - own[0] + _xlogx(cols + n) - own[1]
+        out[lo:lo + 256] = gain.argmax(1)
+    return out
+
+
+def joined(table: DataFrame, v: Vocabulary, of: np.ndarray, matrix: np.ndarray, classes: int) -> DataFrame:
+    """key, n, class of every training word outside the core; the rare class for words of less than `v.least` occurrences.
 
+    Occurrences with the classes beside them are shuffled by word and sorted, so a task holds the
+    counts of one batch's words, however many words there are. A word outside the core is no hot
+    key: each of the core's words is more frequent.
+    """
+    groups, rare = classes + 2, v.rare
 
-def _scores(table: DataFrame, model: Model) -> DataFrame:
-    """Per row what follows from ids alone: n_tokens, known, base and score without the rare words' own parts."""
-    v, groups = model.vocabulary, model.transition.shape[0]
-    cost = np.log10(v.tokens + 0.5 * (v.types + 1))
-    known = np.r_[np.ones(len(v.keys), bool), False, v.ends > 0]
-    base = np.r_[np.log10(v.counts + 0.5) - cost, 0.0, np.log10(v.ends + 0.5) - cost]
-    flat, of, emission = model.transition.reshape(-1), model.classes, model.emission
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, _ = values_of(batch.column(0), np.uint16)
+            at = np.flatnonzero(ids == rare)
+            before = np.where(at > 0, of[ids[at - 1]], groups - 1)  # what ends the text before is the end token
+            yield pa.RecordBatch.from_arrays([batch.column(1).flatten(), pa.array((before * groups + of[ids[at + 1]]).astype(np.int32))], names=["key", "cell"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            n = counts[:, 0].sum(1)
+            own = np.full(len(keys), classes, np.int64)
+            often = np.flatnonzero(n >= v.least)
+            own[often] = suited(counts[often, 0], counts[often, 1], matrix, classes)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(own.astype(np.int16))], names=["key", "n", "class"])
+
+        last, held = np.zeros(0, np.int64), np.zeros((0, 2, groups), np.int64)
+        for batch in batches:
+            keys, cell = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64)
+            if not len(keys):
+                continue
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            run = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))
+            counts = np.stack([np.bincount(run * groups + side, minlength=len(first) * groups).reshape(-1, groups) for side in (cell % groups, cell // groups)], 1)
+            if len(last) and last[0] == keys[0]:
+                counts[0] += held[0]
+            elif len(last):
+                yield result(last, held)
+            last, held = keys[first[-1:]], counts[-1:]
+            yield result(keys[first[:-1]], counts[:-1])
+        if len(last):
+            yield result(last, held)
+
+    found = table.where(~F.col("held_out")).select("ids", "rare").mapInArrow(beside, "key long, cell int")
+    found = found.repartition(partitions(table.sparkSession), "key").sortWithinPartitions("key")
+    return written(found.mapInArrow(place, "key long, n long, class short"), "joined")
+
+
+def _classed(table: DataFrame, others: DataFrame, v: Vocabulary, of: np.ndarray, mass: np.ndarray) -> DataFrame:
+    """id, held_out, classes (one byte or two a token), n_tokens, known, base, emission (sum of the words' log10 P(word | class)) of every row."""
+    groups = len(mass)
+    dtype = _class_type(groups)
+    cost = math.log10(v.tokens + 0.5 * (v.types + 1))
+    known = np.r_[np.ones(v.rare, bool), False, v.ends > 0].astype(np.int64)
+    base = np.r_[np.log10(v.counts + 0.5) - cost, 0.0, math.log10(v.ends + 0.5) - cost]
+    emission = np.r_[np.log10(v.counts / mass[of[:v.rare]]), 0.0, 0.0]
+    weight = mass.copy()
+    weight[groups - 2] = v.rare_tokens / (1 - v.unseen) if v.unseen < 1 else 1.0  # the rare class keeps a share for unseen words
+    new = math.log10(v.unseen_word)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes = values_of(batch.column(3), np.uint16)
-            cell, heads = context(of[ids], sizes, groups, groups - 1)
-            total = lambda x: np.add.reduceat(x, heads) if len(heads) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sizes), pa.array(total(known[ids].astype(np.int64)), pa.int64()),
-                                              pa.array(total(base[ids]), pa.float64()), pa.array(total(flat[cell] + emission[ids]), pa.float64())],
-                                             names=["row", "id", "held_out", "n_tokens", "known", "base", "score"])
+            ids, sizes = values_of(batch.column(2), np.uint16)
+            c, heads = of[ids].astype(dtype), np.cumsum(sizes) - sizes
+            k, b, e = known[ids], base[ids], emission[ids]
+            at, place = np.flatnonzero(ids == v.rare), batch.column(3)
+            if len(at):
+                found = place.flatten()  # of the rows in order; the places of a row are a permutation of its rare words
+                row = np.repeat(np.arange(len(place)), np.diff(place.offsets.to_numpy()) if place.null_count == 0 else pa.compute.fill_null(pa.compute.list_value_length(place), 0).to_numpy())
+                n, own = found.field("n").fill_null(0).to_numpy(), found.field("class").fill_null(groups - 2).to_numpy()
+                order = np.lexsort((found.field("pos").to_numpy(), row))
+                n, own = n[order], own[order]
+                c[at], k[at], b[at] = own, n > 0, np.log10(n + 0.5) - cost
+                e[at] = np.where(n > 0, np.log10(np.maximum(n, 1) / weight[own]), new)
+            total = lambda x: np.add.reduceat(x, heads) if len(heads) else x
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binaries(c, np.r_[heads, len(c)]), pa.array(sizes), pa.array(total(k)), pa.array(total(b)), pa.array(total(e))],
+                                             names=["id", "held_out", "classes", "n_tokens", "known", "base", "emission"])
+
+    places = (table.select("row", F.posexplode("rare").alias("pos", "key")).join(others, "key", "left")
+              .groupBy("row").agg(F.collect_list(F.struct("pos", "n", "class")).alias("places")))
+    rows = table.select("row", "id", "held_out", "ids").join(places, "row", "left").select("id", "held_out", "ids", "places")
+    return written(rows.mapInArrow(run, "id long, held_out boolean, classes binary, n_tokens long, known long, base double, emission double"), "classed")
+
+
+def _class_type(groups: int):
+    return np.uint8 if groups <= 256 else np.uint16
+
+
+def _scores(rows: DataFrame, transition: np.ndarray) -> DataFrame:
+    """score of every classed row: its transitions and the emissions that it carries."""
+    groups, flat = len(transition), transition.reshape(-1)
 
-    return table.select("row", "id", "held_out", "ids").mapInArrow(run, "row long, id long, held_out boolean, n_tokens long, known long, base double, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, sizes = values_of(batch.column(6), _class_type(groups))
+            cell, heads = context(c.astype(np.int64), sizes, groups, groups - 1)
+            moves = np.add.reduceat(flat[cell], heads) if len(heads) else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(moves + batch.column(5).to_numpy())], names=["id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
+    return rows.select("id", "held_out", "n_tokens", "known", "base", "emission", "classes").mapInArrow(
+        run, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
-def score_documents(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS,
-                    classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
+
+def class_mass(v: Vocabulary, of: np.ndarray, others: DataFrame, classes: int) -> np.ndarray:
+    """Training tokens of each class; one row a class reaches the driver."""
+    mass = np.bincount(of[:v.rare], weights=v.counts, minlength=classes + 2)
+    for r in others.groupBy("class").agg(F.sum("n").alias("n")).collect():
+        mass[r["class"]] += r["n"]
+    mass[classes + 1] = v.ends
+    return mass
+
+
+def score_documents(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", core: int = CORE,
+                    classes: int = CLASSES, rounds: int = ROUNDS, least: int = LEAST) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every whole text.
 
     The model learns from the rows for which `held_out` is not true. Tokens are lower-cased
     (A-Z) words and one end per text. Each word's training count is kept, by 64-bit hash. The
-    `max_words` most frequent words (to the edge of a frequency band) are clustered into
-    `classes` classes; all others share the rare class, where each has its count's share and
-    all unseen words together the share of Good and Turing, spread evenly over the estimated number
-    of words never seen, so that probabilities add up to one over that many. `score` is the log10
-    probability under P(class | two classes before) P(word | class), `base_score` that of add-half unigrams.
+    `core` most frequent words (to the edge of a frequency band) are clustered into `classes`
+    classes by exchange; then every other word of `least` or more occurrences, however many there
+    are, joins the class that its neighbours' classes suit best. Words seen less often share the
+    rare class, where each has its count's share and all unseen words together the share of Good
+    and Turing, spread evenly over the estimated number of words never seen, so that probabilities
+    add up to one over that many. `score` is the log10 probability under P(class | two classes
+    before) P(word | class), `base_score` that of add-half unigrams.
 
     Texts are read twice: to count words, and to be encoded and written as 16-bit ids with
-    the rare words' keys, which alone are joined with the counts. Rows keep their own number, so
-    repeated rows and ids are scored alike, each for itself; a missing or empty text is one end
-    token. Without training texts every base probability is 1 and transitions are uniform.
+    the keys of words outside the core, which alone are joined with their classes. Rows keep their own
+    number, so repeated rows and ids are scored alike, each for itself; a missing or empty text is one
+    end token. Without training texts every base probability is 1 and transitions are uniform.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                      F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    counts = written(token_counts(docs), "counts")
-    v = vocabulary(counts, max_words)
+    v = vocabulary(written(token_counts(docs), "counts"), core, least)
     table = encoded(docs, v)
-    main = _scores(table, train(table, v, classes, rounds))
-    cost = math.log10(v.tokens + 0.5 * (v.types + 1))
-    seen = math.log10((1 - v.unseen) / v.rare_tokens) if v.rare_tokens and v.unseen < 1 else 0.0
-    n = F.col("n")
-    rare = (table.select("row", F.explode("rare").alias("key")).join(counts, "key", "left")
-            .groupBy("row").agg(F.count(n).alias("r_known"), F.sum(F.log10(F.coalesce(n, F.lit(0)) + 0.5) - cost).alias("r_base"),
-                                F.sum(F.coalesce(F.log10(n.cast("double")) + seen, F.lit(math.log10(v.unseen_word)))).alias("r_score")))
-    out = main.join(rare, "row", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return out.select("id", "held_out", "n_tokens", plus("known", "r_known").alias("n_known"), F.lit(int(v.tokens)).cast("long").alias("train_tokens"),
-                      plus("base", "r_base").alias("base_score"), plus("score", "r_score").alias("score")) \
-        .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+    groups = classes + 2
+    of = exchange(table, v, classes, rounds)
+    matrix = _class_trigrams(_columns(table), np.uint16, of, groups).sum(0).astype(float)
+    others = joined(table, v, of, matrix, classes)
+    rows = _classed(table, others, v, of, class_mass(v, of, others, classes))
+    triples = _class_trigrams(rows.where(~F.col("held_out")).select("classes"), _class_type(groups), None, groups)
+    return (_scores(rows, np.log10(smoothed(triples))).withColumn("train_tokens", F.lit(int(v.tokens)).cast("long"))
+            .select("id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+            .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))))
