@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,9 +117,10 @@ def vocabulary(counts: DataFrame, core: int, least: int = LEAST) -> Vocabulary:
 
 
 def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
-    """row, id, held_out, ids (16-bit, with the end), rare (keys of the words outside the core)."""
+    """id, held_out, ids (16-bit, with the end), rare (keys of the words outside the core), block (rows of some
+    8 MB of text), asked (a block's distinct such keys, on its first row)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
+        for number, part in enumerate(slices(batches, most=8 << 20)):
             w = Words(part.column(2), lower=True)
             keys = w.hashes()
             word = v.ids(keys)
@@ -128,11 +128,16 @@ def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
             ids = np.full(len(keys) + len(w.per_text), v.end, np.uint16)
             ids[np.arange(len(keys)) + w.doc] = word
             rare = np.flatnonzero(word == v.rare)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, w.first), pa.int32()), pa.array(keys[rare].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), binaries(ids, at), lists], names=["id", "held_out", "ids", "rare"])
+            other = keys[rare].view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, w.first), pa.int32()), pa.array(other))
+            distinct = np.unique(other)
+            asked = pa.ListArray.from_arrays(pa.array(np.r_[0, np.full(part.num_rows, len(distinct))], pa.int32()), pa.array(distinct))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), binaries(ids, at), lists, pa.array(np.full(part.num_rows, number)), asked],
+                                             names=["id", "held_out", "ids", "rare", "slice", "asked"])
 
-    rows = docs.select("id", "held_out", "text").mapInArrow(run, "id long, held_out boolean, ids binary, rare array<long>")
-    return written(rows.withColumn("row", F.monotonically_increasing_id()), "tokens")
+    rows = docs.select("id", "held_out", "text").mapInArrow(run, "id long, held_out boolean, ids binary, rare array<long>, slice long, asked array<long>")
+    block = F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("slice")
+    return written(rows.withColumn("block", block).drop("slice"), "tokens")
 
 
 def _columns(table: DataFrame) -> DataFrame:
@@ -354,7 +359,10 @@ def joined(table: DataFrame, v: Vocabulary, of: np.ndarray, matrix: np.ndarray,
 
 
 def _classed(table: DataFrame, others: DataFrame, v: Vocabulary, of: np.ndarray, mass: np.ndarray) -> DataFrame:
-    """id, held_out, classes (one byte or two a token), n_tokens, known, base, emission (sum of the words' log10 P(word | class)) of every row."""
+    """id, held_out, classes (one byte or two a token), n_tokens, known, base, emission (sum of the words' log10 P(word | class)) of every row.
+
+    A block asks once about each of its words; its rows and the answers meet in one group, which the block's text bounds.
+    """
     groups = len(mass)
     dtype = _class_type(groups)
     cost = math.log10(v.tokens + 0.5 * (v.types + 1))
@@ -365,28 +373,26 @@ def _classed(table: DataFrame, others: DataFrame, v: Vocabulary, of: np.ndarray,
     weight[groups - 2] = v.rare_tokens / (1 - v.unseen) if v.unseen < 1 else 1.0  # the rare class keeps a share for unseen words
     new = math.log10(v.unseen_word)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, sizes = values_of(batch.column(2), np.uint16)
-            c, heads = of[ids].astype(dtype), np.cumsum(sizes) - sizes
-            k, b, e = known[ids], base[ids], emission[ids]
-            at, place = np.flatnonzero(ids == v.rare), batch.column(3)
-            if len(at):
-                found = place.flatten()  # of the rows in order; the places of a row are a permutation of its rare words
-                row = np.repeat(np.arange(len(place)), np.diff(place.offsets.to_numpy()) if place.null_count == 0 else pa.compute.fill_null(pa.compute.list_value_length(place), 0).to_numpy())
-                n, own = found.field("n").fill_null(0).to_numpy(), found.field("class").fill_null(groups - 2).to_numpy()
-                order = np.lexsort((found.field("pos").to_numpy(), row))
-                n, own = n[order], own[order]
-                c[at], k[at], b[at] = own, n > 0, np.log10(n + 0.5) - cost
-                e[at] = np.where(n > 0, np.log10(np.maximum(n, 1) / weight[own]), new)
-            total = lambda x: np.add.reduceat(x, heads) if len(heads) else x
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binaries(c, np.r_[heads, len(c)]), pa.array(sizes), pa.array(total(k)), pa.array(total(b)), pa.array(total(e))],
-                                             names=["id", "held_out", "classes", "n_tokens", "known", "base", "emission"])
-
-    places = (table.select("row", F.posexplode("rare").alias("pos", "key")).join(others, "key", "left")
-              .groupBy("row").agg(F.collect_list(F.struct("pos", "n", "class")).alias("places")))
-    rows = table.select("row", "id", "held_out", "ids").join(places, "row", "left").select("id", "held_out", "ids", "places")
-    return written(rows.mapInArrow(run, "id long, held_out boolean, classes binary, n_tokens long, known long, base double, emission double"), "classed")
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        ids, sizes = values_of(rows["ids"], np.uint16)
+        c, heads = of[ids].astype(dtype), np.cumsum(sizes) - sizes
+        k, b, e = known[ids], base[ids], emission[ids]
+        at = np.flatnonzero(ids == v.rare)
+        if len(at):
+            keys = found["key"].to_numpy()
+            order = np.argsort(keys)
+            place = order[np.searchsorted(keys, rows["rare"].combine_chunks().flatten().to_numpy(), sorter=order)]
+            n, own = found["n"].to_numpy()[place], found["class"].to_numpy()[place]
+            c[at], k[at], b[at] = own, n > 0, np.log10(n + 0.5) - cost
+            e[at] = np.where(n > 0, np.log10(np.maximum(n, 1) / weight[own]), new)
+        total = lambda x: np.add.reduceat(x, heads)
+        return pa.table({"id": rows["id"], "held_out": rows["held_out"], "classes": binaries(c, np.r_[heads, len(c)]), "n_tokens": sizes, "known": total(k),
+                         "base": total(b), "emission": total(e)})
+
+    found = table.select("block", F.explode("asked").alias("key")).join(others, "key", "left").select(
+        F.col("block").alias("of"), "key", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("class", F.lit(groups - 2)).cast("short").alias("class"))
+    rows = table.select("block", "id", "held_out", "ids", "rare").groupBy("block").cogroup(found.groupBy("of"))
+    return written(rows.applyInArrow(run, "id long, held_out boolean, classes binary, n_tokens long, known long, base double, emission double"), "classed")
 
 
 def _class_type(groups: int):
@@ -432,9 +438,8 @@ def score_documents(df: DataFrame, held_out: Column, id_col: str = "doc_id", tex
     before) P(word | class), `base_score` that of add-half unigrams.
 
     Texts are read twice: to count words, and to be encoded and written as 16-bit ids with
-    the keys of words outside the core, which alone are joined with their classes. Rows keep their own
-    number, so repeated rows and ids are scored alike, each for itself; a missing or empty text is one
-    end token. Without training texts every base probability is 1 and transitions are uniform.
+    the keys of words outside the core; each block of rows asks once for the class of each such word.
+    Repeated rows and ids are scored alike, each for itself; a missing or empty text is one end token. Without training texts every base probability is 1 and transitions are uniform.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                      F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
