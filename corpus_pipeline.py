@@ -26,7 +26,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more): the one with the smallest id."""
+    """One document of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more): the one with the smallest id.
+
+    Candidates come from op9's SimHash join and from MinHash bands; the shingle sets decide.
+    """
     return simhash.representatives(docs, groups=near_copies.near_copies)
 
 

@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles: MinHash bands propose, shingle sets decide."""
+"""Near copies by exact Jaccard similarity of word shingles: SimHash links and MinHash bands propose, shingle sets decide."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm import simhash
 from tidewatch.llm.common import LAST_ID, narrowed, written
 from tidewatch.llm.components import components
 from tidewatch.llm.words import Words, binaries, mixed, slices, values_of, windows
@@ -55,17 +56,18 @@ def _bands(sets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """id, d, th (hash of the text), p (digest of the shingle set) and the keys of its bands, in one pass."""
+    """id, d, th (hash of the text), p (digest of the shingle set), fp (op9's fingerprint) and the keys of the set's bands, in one pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, most=1 << 20):
             sets, bounds = shingle_sets(part.column(3))
             raw = sets.tobytes()
             p = np.array([xxhash.xxh64_intdigest(raw[8 * a:8 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)], np.uint64)
+            fp = np.array([simhash.fingerprint(t) for t in part.column(3).cast(pa.binary()).to_pylist()], np.uint64)
             at = np.r_[0, np.cumsum(bounds[1:] > bounds[:-1])] * BANDS
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(p.view(np.int64)), binaries(_bands(sets, bounds).reshape(-1), at)],
-                                             names=["id", "d", "th", "p", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(p.view(np.int64)), pa.array(fp.view(np.int64)),
+                                              binaries(_bands(sets, bounds).reshape(-1), at)], names=["id", "d", "th", "p", "fp", "bands"])
 
-    return docs.select("id", "d", "th", "text").mapInArrow(run, "id long, d long, th long, p long, bands binary")
+    return docs.select("id", "d", "th", "text").mapInArrow(run, "id long, d long, th long, p long, fp long, bands binary")
 
 
 def _cells(points: DataFrame) -> DataFrame:
@@ -77,6 +79,19 @@ def _cells(points: DataFrame) -> DataFrame:
     return points.select("p", "bands").mapInArrow(run, "cell long, p long")
 
 
+def _fingerprint_ties(prints: DataFrame) -> DataFrame:
+    """a, b: points (`prints`: p, fp) whose SimHash fingerprints are equal, or linked by op9's grid join within its 4 bits.
+
+    A fingerprint stands for its smallest point, and the join gives enough links to connect
+    all that its links connect, so the points of one SimHash group are one group here too.
+    """
+    heads = prints.groupBy("fp").agg(F.min("p").alias("a"))
+    same = prints.join(heads, "fp").where("a <> p").select("a", F.col("p").alias("b"))
+    links = simhash.links(heads.select("fp")).toDF("fa", "fb")
+    left, right = heads.select(F.col("fp").alias("fa"), "a"), heads.select(F.col("fp").alias("fb"), F.col("a").alias("b"))
+    return same.union(links.join(left, "fa").join(right, "fb").where("a <> b").select("a", "b"))
+
+
 def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links between similar sets that connect whatever all such links connect, breadth first: one less than the sets at most."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -107,16 +122,17 @@ def linked(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _links(docs: DataFrame, points: DataFrame) -> DataFrame:
+def _links(docs: DataFrame, points: DataFrame, prints: DataFrame) -> DataFrame:
     """a, b: linked points, enough of them to connect all that links connect.
 
-    Points that share a band are tied to the smallest one there; whatever these ties connect is
-    one group, so that a point's shingle set moves to one place. A group of more than
+    Points that share a band are tied to the smallest one there, and points of one SimHash group are
+    tied as well; whatever these ties connect is one group, so that a point's shingle set moves to one place. A group of more than
     PIECE_BYTES is dealt out as pairs of pieces, each compared in full.
     """
     cells = _cells(points)
     heads = cells.groupBy("cell").agg(F.min("p").alias("a"), F.max("p").alias("b")).where("a < b").select("cell", "a")
-    ties = cells.join(heads, "cell").where("a <> p").select("a", F.col("p").alias("b")).distinct()
+    ties = cells.join(heads, "cell").where("a <> p").select("a", F.col("p").alias("b"))
+    ties = ties.union(_fingerprint_ties(prints)).distinct()
     groups = written(components(ties).withColumnRenamed("node", "p"), "groups")
     some = points.join(groups, "p").select("p", "root", F.col("at.d").alias("d"), F.col("at.th").alias("th"))
 
@@ -147,14 +163,15 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """id, component_id of every row: documents joined by a chain of pairs of Jaccard similarity 0.8 or more share a component.
 
     Similarity is that of the sets of distinct 5-word shingles, held as 64-bit hashes. Every link
-    is decided on the whole sets; a pair that shares no band is not looked at. Texts with equal
+    is decided on the whole sets; pairs are proposed by op9's SimHash join and by MinHash bands, and a pair
+    that neither proposes is not looked at. Texts with equal
     sets (those without words too) are one point from the start. component_id is the smallest id
     of the component: a missing id counts as the largest, and a component of missing ids has none.
     """
     docs = narrowed(df, id_col, text_col).withColumn("th", F.xxhash64("text"))
     signed = written(_signed(docs), "signatures")
     points = written(signed.groupBy("p").agg(F.first("bands").alias("bands"), F.min(F.struct("d", "th")).alias("at")), "points")
-    roots = components(_links(docs, points))
+    roots = components(_links(docs, points, written(signed.select("p", "fp").distinct(), "prints")))
     named = points.join(roots.withColumnRenamed("node", "p"), "p", "left").select("p", F.coalesce("root", "p").alias("root"), F.col("at.d").alias("low"))
     lows = named.groupBy("root").agg(F.min("low").alias("low"))
     of = named.select("p", "root").join(lows, "root").select("p", F.when(F.col("low") != LAST_ID, F.col("low")).alias("component_id"))

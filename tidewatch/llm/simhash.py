@@ -168,6 +168,11 @@ def _links(cells: DataFrame) -> DataFrame:
     return some.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
 
 
+def links(fps: DataFrame) -> DataFrame:
+    """a, b: links between distinct fingerprints (fp) within the radius, enough of them to connect all that such links connect."""
+    return _links(_cells(fps))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp, component_id of every row: documents whose fingerprints are linked in a chain share a component.
 
@@ -179,7 +184,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = written(fingerprints(df, id_col, text_col), "fingerprints")
     points = written(docs.groupBy("fp").agg(F.min("d").alias("low")), "points")
-    roots = components(_links(_cells(points.select("fp"))))
+    roots = components(links(points.select("fp")))
     named = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     lows = named.groupBy("root").agg(F.min("low").alias("low"))
     of = named.select("fp", "root").join(lows, "root").select("fp", F.when(F.col("low") != LAST_ID, F.col("low")).alias("component_id"))
