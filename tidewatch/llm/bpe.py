@@ -16,7 +16,7 @@ from tidewatch.llm.words import raw, slices
 
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 0
 #: encoded words a task remembers; past it the memory is emptied, which changes nothing but time
-MEMORY = 1 << 19
+MEMORY = 1 << 16
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -245,11 +245,11 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     `path` is a tokenizer file that every executor can open. A missing text counts as empty
     and gives an empty list. Special strings in a text are their own token. Rows are encoded
-    alone in batches of a few MB (one text at least) without a shuffle, so repeated rows and ids
+    alone in batches of about 1 MB (one text at least) without a shuffle, so repeated rows and ids
     and empty tables need no special case; other columns are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "value", 2 << 20):
+        for part in slices(batches, "value", 1 << 20):
             ids, off = vocabulary(path).encode(part.column(1))
             lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["id", "ids"])
@@ -275,7 +275,7 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     """doc_id, n_tokens, ids, ids_sha256, decoded_sha256: `encode`'s ids, and digests of them and of the text they decode to, in one pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for part in slices(batches, "value", 2 << 20):
+        for part in slices(batches, "value", 1 << 20):
             ids, off = bpe.encode(part.column(1))
             spans = list(zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
             listed = ids.tolist()
