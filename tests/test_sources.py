@@ -107,3 +107,16 @@ def test_digests_of_files_of_any_size(spark, tmp_path):
         got = rd.file_digests(spark, str(d), whole_bytes=limit).collect()
         assert {r["path"].rsplit("/", 1)[1]: r["sha256"] for r in got} == want
         assert len(got) == 3
+
+
+def test_panel_parts_grow_with_the_table(spark, monkeypatch):
+    """A task's share of the panel is bounded by the table's files, not by a fixed number of partitions."""
+    from tidewatch.plans import fixtures as fx
+    from tidewatch.sources import tables
+    sf = "/root/testdata/sf0.001"
+    few = fx.panel_supplier(spark, sf)
+    monkeypatch.setattr(tables, "DEAL_BYTES", 2048)
+    many = fx.panel_supplier(spark, sf)
+    assert tables.deal_parts(spark, sf, "lineitem") > spark.sparkContext.defaultParallelism
+    assert many.rdd.getNumPartitions() == tables.deal_parts(spark, sf, "lineitem")
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
