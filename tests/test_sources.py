@@ -120,3 +120,11 @@ def test_panel_parts_grow_with_the_table(spark, monkeypatch):
     assert tables.deal_parts(spark, sf, "lineitem") > spark.sparkContext.defaultParallelism
     assert many.rdd.getNumPartitions() == tables.deal_parts(spark, sf, "lineitem")
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_ranks_use_one_set_of_cuts(spark):
+    """The sketch behind the buckets is evaluated once; a second evaluation may cut elsewhere."""
+    from tidewatch.functions.ranking import order_statistics
+    got = order_statistics(spark.range(1000).selectExpr("id % 2 AS g", "id AS v"), ["g"], "v", {"third": lambda n: n * 0 + 3})
+    assert "percentile_approx" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["g"], r["n"], r["third"]) for r in got.collect()) == [(0, 500, 4), (1, 500, 5)]
