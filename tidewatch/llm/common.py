@@ -45,6 +45,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side of a join whose rows go by key on both sides, never through the driver.
+
+    Spark sizes a written table by its compressed files, and mapInArrow by its input, however many
+    rows it makes of one; by such a size it would broadcast a table that the driver cannot hold.
+    """
+    return df.hint("merge")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

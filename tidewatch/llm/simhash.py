@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import LAST_ID, narrowed, packed, written
+from tidewatch.llm.common import LAST_ID, narrowed, packed, shuffled, written
 from tidewatch.llm.components import components
 from tidewatch.llm.words import slices
 
@@ -128,7 +128,7 @@ def _links(cells: DataFrame) -> DataFrame:
     of over PIECE points is dealt out in pieces: a group holds one pair of pieces and compares it in full.
     """
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("home").alias("any_home")).where("n > 1 AND any_home")
-    some = cells.join(sizes.select("cell", "n"), "cell")
+    some = cells.join(shuffled(sizes.select("cell", "n")), "cell")
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
     mine = F.pmod(F.xxhash64("fp"), pieces).cast("int")
     some = some.withColumn("pieces", pieces).withColumn("mine", mine)
@@ -185,10 +185,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = written(fingerprints(df, id_col, text_col), "fingerprints")
     points = written(docs.groupBy("fp").agg(F.min("d").alias("low")), "points")
     roots = components(links(points.select("fp")))
-    named = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
+    named = points.join(shuffled(roots.withColumnRenamed("node", "fp")), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "low")
     lows = named.groupBy("root").agg(F.min("low").alias("low"))
     of = named.select("fp", "root").join(lows, "root").select("fp", F.when(F.col("low") != LAST_ID, F.col("low")).alias("component_id"))
-    return docs.join(of, "fp").select("id", "fp", "component_id")
+    return docs.join(shuffled(of), "fp").select("id", "fp", "component_id")
 
 
 def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
